@@ -40,29 +40,34 @@ def position_columns(prefix: str) -> list[str]:
 def with_position(df: DataFrame, lng: str, lat: str, prefix: str) -> DataFrame:
     """Add earth-centred coordinates and the sine of the latitude of one point."""
     phi, lam = F.radians(F.col(lat)), F.radians(F.col(lng))
-    df = df.withColumns({f"{prefix}_sin": F.sin(phi), f"{prefix}_cos": F.cos(phi)})
-    sin, cos = F.col(f"{prefix}_sin"), F.col(f"{prefix}_cos")
-    df = df.withColumn(
-        f"{prefix}_n", F.lit(SEMI_MAJOR_M) / F.sqrt(1 - F.lit(_E2) * sin * sin)
-    )
-    n = F.col(f"{prefix}_n")
+    sin, cos = F.sin(phi), F.cos(phi)
+    # repeated terms are computed once: they share one projection
+    n = F.lit(SEMI_MAJOR_M) / F.sqrt(1 - F.lit(_E2) * sin * sin)
     return df.withColumns(
         {
             f"{prefix}_ex": n * cos * F.cos(lam),
             f"{prefix}_ey": n * cos * F.sin(lam),
             f"{prefix}_ez": n * (1 - _E2) * sin,
+            f"{prefix}_sin": sin,
         }
-    ).drop(f"{prefix}_cos", f"{prefix}_n")
+    )
+
+
+def _gaps(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}_{c}") - F.col(f"{b}_{c}") for c in ("ex", "ey", "ez")]
+
+
+def chord_squared(a: str, b: str) -> Column:
+    dx, dy, dz = _gaps(a, b)
+    return dx * dx + dy * dy + dz * dz
 
 
-def distance_m(a: str, b: str) -> Column:
-    """Distance in metres between two points placed by :func:`with_position`."""
-    dx, dy, dz = (F.col(f"{a}_{c}") - F.col(f"{b}_{c}") for c in ("ex", "ey", "ez"))
-    chord2 = dx * dx + dy * dy + dz * dz
-    stretched = chord2 + F.lit(_EP2) * dz * dz
-    mid = (F.col(f"{a}_sin") + F.col(f"{b}_sin")) / 2
+def path_length(chord2: Column, dz2: Column, sin2: Column) -> Column:
+    """Length of the surface path over a chord: ``chord2`` squared length, ``dz2`` its
+    squared polar component, ``sin2`` squared sine of the latitude in between."""
+    stretched = chord2 + F.lit(_EP2) * dz2
     w = (
-        (1 - F.lit(_E2) * mid * mid)
+        (1 - F.lit(_E2) * sin2)
         / (SEMI_MAJOR_M * SEMI_MAJOR_M)
         * stretched
         * stretched
@@ -73,6 +78,29 @@ def distance_m(a: str, b: str) -> Column:
     )
 
 
+#: A path of up to 60 km exceeds its chord by less than this share.
+_MAX_STRETCH, _STRETCH_VALID_M = 4e-6, 60_000
+
+
+def within_distance(df: DataFrame, a: str, b: str, radius: str) -> DataFrame:
+    """Keep pairs less than ``radius`` metres apart and add their ``distance``.
+
+    Almost all pairs are decided by their squared chord; the path itself is only
+    measured for those within a few millionths of the radius, and for the result.  The
+    condition carries no computed column, so it can become part of a join condition.
+    """
+    r = F.col(radius)
+    _, _, dz = _gaps(a, b)
+    sin = F.col(f"{a}_sin") + F.col(f"{b}_sin")
+    chord2, dz2, sin2 = chord_squared(a, b), dz * dz, sin * sin * 0.25
+    surely = (chord2 < r * r * (1 - 2 * _MAX_STRETCH)) & (r <= _STRETCH_VALID_M)
+    rim = (chord2 <= r * r * (1 + 1e-9)) & (path_length(chord2, dz2, sin2) < r)
+    near = df.where(surely | rim)
+    terms = {"_chord2": chord2, "_dz2": dz2, "_sin2": sin2}
+    path = path_length(*[F.col(t) for t in terms])
+    return near.withColumns(terms).withColumn("distance", path).drop(*terms)
+
+
 def whole_metres(distance: Column) -> Column:
     """Round to the nearest integer metre, halves to even."""
     return F.rint(distance).cast("int")

@@ -11,8 +11,8 @@ from waymark.operators.screening import MAX_LIMIT, accepted_points
 from waymark.operators.shares import share_answers
 from waymark.plans import contains
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
-from waymark.plans.results import answer_points, nearest
-from waymark.plans.tiles import radius_candidates
+from waymark.plans.results import answer_points
+from waymark.plans.tiles import radius_nearest
 
 
 def land_use_at_point(
@@ -81,7 +81,6 @@ def land_use_search(
     with_geometry = "include_geometry" in points.columns
     site = [c for c in accepted.columns if c != "query_id"]
     keep = {
-        "id": F.col("id"),
         "class": F.col("class"),
         "names_primary": F.col("names.primary"),
         "parcel_lat": F.col("rep_y"),
@@ -89,17 +88,15 @@ def land_use_search(
     }
     if with_geometry:
         keep |= {"geom_type": F.col("geom_type"), "parts": F.col("parts")}
-    pairs = radius_candidates(
+    top = radius_nearest(
         accepted.select(*site).distinct(),
         parcels,
         keep,
         F.col("limit"),
+        MAX_LIMIT,
         Criteria(match={"subtype": F.col("subtype")}),
         options,
-    ).withColumn("distance_m", whole_metres(F.col("distance")))
-    top = nearest(pairs, site, F.col("limit"), MAX_LIMIT).withColumn(
-        "found", F.lit(True)
-    )
+    ).withColumn("found", F.lit(True))
     # Wording of the suggestion.
     suggestion = F.concat(
         F.lit("No "), F.col("subtype"), F.lit(" land use found within "),
@@ -121,7 +118,7 @@ def land_use_search(
         "names_primary": F.col("names_primary"),
         "lat": F.bround("parcel_lat", 7),
         "lng": F.bround("parcel_lng", 7),
-        "distance_m": F.col("distance_m"),
+        "distance_m": whole_metres(F.col("distance")),
     }
     if with_geometry:
         shape |= shaping.geometry_columns(

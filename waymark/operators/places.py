@@ -9,8 +9,8 @@ from waymark.functions import shaping
 from waymark.functions.geodesy import whole_metres
 from waymark.operators.screening import MAX_LIMIT, accepted_points, stripped
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
-from waymark.plans.results import answer_points, nearest
-from waymark.plans.tiles import radius_candidates, radius_counts
+from waymark.plans.results import answer_points
+from waymark.plans.tiles import radius_counts, radius_nearest
 
 #: Most rows a catalogue search returns.
 CATALOG_LIMIT = 50
@@ -27,7 +27,6 @@ def _criteria() -> Criteria:
 
 def _place_columns(with_geometry: bool) -> dict[str, Column]:
     columns = {
-        "id": F.col("id"),
         "name": F.col("names.primary"),
         "place_lat": F.col("rep_y"),
         "place_lng": F.col("rep_x"),
@@ -53,10 +52,9 @@ def _search(
 ) -> DataFrame:
     site = [c for c in points.columns if c != "query_id"]
     sites = points.select(*site).distinct()
-    pairs = radius_candidates(
-        sites, places, _place_columns(with_geometry), limit, _criteria(), options
-    ).withColumn("distance_m", whole_metres(F.col("distance")))
-    top = nearest(pairs, site, limit, most).withColumn("found", F.lit(True))
+    top = radius_nearest(
+        sites, places, _place_columns(with_geometry), limit, most, _criteria(), options
+    ).withColumn("found", F.lit(True))
     answers = answer_points(points, top, site, suggestion)
     shape = {
         "query_id": F.col("query_id"),
@@ -69,7 +67,7 @@ def _search(
         "name": F.col("name"),
         "lat": F.col("place_lat"),
         "lng": F.col("place_lng"),
-        "distance_m": F.col("distance_m"),
+        "distance_m": whole_metres(F.col("distance")),
         **{
             c: F.col(c)
             for c in ("confidence", "address", "phone", "website", "brand")

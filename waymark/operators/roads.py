@@ -14,8 +14,8 @@ from waymark.functions.geodesy import whole_metres
 from waymark.operators.screening import accepted_points
 from waymark.operators.shares import share_answers
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
-from waymark.plans.results import answer_points, nearest
-from waymark.plans.tiles import radius_candidates
+from waymark.plans.results import answer_points
+from waymark.plans.tiles import radius_nearest
 
 
 def _roads(segments: DataFrame) -> DataFrame:
@@ -70,7 +70,6 @@ def nearest_road_of_class(
     site = [c for c in accepted.columns if c != "query_id"]
     flags = F.col("road_flags")
     keep = {
-        "id": F.col("id"),
         "name": F.col("names.primary"),
         "road_surface": shaping.first(F.col("road_surface"))["value"],
         "road_lat": F.col("rep_y"),
@@ -81,15 +80,15 @@ def nearest_road_of_class(
     }
     if with_geometry:
         keep |= {"geom_type": F.col("geom_type"), "parts": F.col("parts")}
-    pairs = radius_candidates(
+    best = radius_nearest(
         accepted.select(*site).distinct(),
         _roads(segments),
         keep,
         F.lit(1),
+        1,
         Criteria(match={"road_class": F.col("class")}),
         options,
-    ).withColumn("distance_m", whole_metres(F.col("distance")))
-    best = nearest(pairs, site, F.lit(1), 1).withColumn("found", F.lit(True))
+    ).withColumn("found", F.lit(True))
     # Wording of the suggestion.
     suggestion = F.concat(
         F.lit("No "), F.col("road_class"), F.lit(" road found within "),
@@ -105,7 +104,7 @@ def nearest_road_of_class(
         "id": F.col("id"),
         "name": F.col("name"),
         "road_surface": F.col("road_surface"),
-        "distance_m": F.col("distance_m"),
+        "distance_m": whole_metres(F.col("distance")),
         "lat": F.bround("road_lat", 7),
         "lng": F.bround("road_lng", 7),
         "is_bridge": F.col("is_bridge"),

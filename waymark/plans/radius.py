@@ -117,6 +117,7 @@ ANY = Criteria()
 class SiteFacts:
     """What the layout of the join depends on; one small row read up front."""
 
+    sites: int
     cells: int
     pairs: list[int]
     box: tuple[float, float, float, float] | None
@@ -124,6 +125,7 @@ class SiteFacts:
 
 def site_facts(ranged: DataFrame) -> SiteFacts:
     row = ranged.agg(
+        F.count(F.lit(1)).alias("sites"),
         F.sum(grid.covered_count()).alias("cells"),
         F.collect_set("rungs").alias("pairs"),  # at most RUNGS^2 values
         F.min("lng_min"),
@@ -132,8 +134,8 @@ def site_facts(ranged: DataFrame) -> SiteFacts:
         F.max("lat_max"),
     ).first()
     if row["cells"] is None:
-        return SiteFacts(0, [0], None)
-    return SiteFacts(row["cells"], sorted(row["pairs"]), tuple(row[2:6]))
+        return SiteFacts(0, 0, [0], None)
+    return SiteFacts(row["sites"], row["cells"], sorted(row["pairs"]), tuple(row[3:7]))
 
 
 def ranged_sites(sites: DataFrame, options: RadiusOptions) -> DataFrame:
@@ -173,6 +175,14 @@ def feature_rows(
     )
 
 
+def payload_rows(
+    layer: DataFrame, columns: list[Column], facts: SiteFacts, options: RadiusOptions
+) -> DataFrame:
+    """Further columns of the features a search may have found, with their ``id``."""
+    rows = feature_rows(layer, [F.col("id"), *columns], facts, options)
+    return rows.drop("_px", "_py", "_slice", *geodesy.position_columns("rep"))
+
+
 def with_cells(df: DataFrame, pairs: list[int]) -> DataFrame:
     """Key features by grid cell: one row per rung pair in use."""
     x, y = F.col("_px"), F.col("_py")
@@ -183,14 +193,11 @@ def with_cells(df: DataFrame, pairs: list[int]) -> DataFrame:
 
 def within_reach(joined: DataFrame) -> DataFrame:
     """Keep candidate pairs that pass the search box and the exact distance."""
-    return (
-        joined.where(
-            F.col("_px").between(F.col("lng_min"), F.col("lng_max"))
-            & F.col("_py").between(F.col("lat_min"), F.col("lat_max"))
-        )
-        .withColumn("distance", geodesy.distance_m("rep", "site"))
-        .where(F.col("distance") < F.col("radius_m"))
+    boxed = joined.where(
+        F.col("_px").between(F.col("lng_min"), F.col("lng_max"))
+        & F.col("_py").between(F.col("lat_min"), F.col("lat_max"))
     )
+    return geodesy.within_distance(boxed, "rep", "site", "radius_m")
 
 
 def radius_join(

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 def nearest(pairs: DataFrame, site: list[str], k: Column, most: int) -> DataFrame:
     """The ``k`` nearest rows of each site, ``k <= most``, numbered in ``rank``.
 
-    Ordered by whole metres, then by the distance itself, then by ``id``.  The constant
-    bound lets Spark drop rows beyond it before the shuffle.
+    Ordered by distance, hence also by whole metres, then by ``id``.  The constant bound
+    lets Spark drop rows beyond it before the shuffle.
     """
-    order = W.partitionBy(*site).orderBy("distance_m", "distance", "id")
+    order = W.partitionBy(*site).orderBy("distance", "id")
     ranked = pairs.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= most).where(F.col("rank") <= k)
 

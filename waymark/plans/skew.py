@@ -13,15 +13,19 @@ ROWS_PER_TASK = 1_000_000
 MAX_SPLIT_KEYS = 10_000
 
 
-def _large_keys(df: DataFrame, keys: list[str], rows: int) -> dict[tuple, int]:
-    counted = (
-        df.groupBy(*keys)
-        .count()
-        .where(F.col("count") > rows)
-        .orderBy(F.desc("count"), *keys)
+def key_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per key, in the column ``n``."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _large_keys(sizes: DataFrame, keys: list[str], rows: int) -> dict[tuple, int]:
+    large = (
+        sizes.where(F.col("n") > rows)
+        .select(*keys, "n")
+        .orderBy(F.desc("n"), *keys)
         .limit(MAX_SPLIT_KEYS)
     )
-    return {tuple(r[k] for k in keys): -(-r["count"] // rows) for r in counted.collect()}
+    return {tuple(r[k] for k in keys): -(-r["n"] // rows) for r in large.collect()}
 
 
 def balanced_join(
@@ -31,17 +35,24 @@ def balanced_join(
     left_id: list[str],
     right_id: list[str],
     rows_per_task: int = ROWS_PER_TASK,
+    left_sizes: DataFrame | None = None,
+    right_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join on ``keys`` in which large keys are cut on both sides.
 
+    The sizes of keys are counted first, unless they are passed in as tables of
+    :func:`key_sizes` form.
+
     A key with ``m`` slices on the left and ``n`` on the right becomes ``m * n`` keys:
     every left row goes to one of the ``m`` slices and is repeated for the ``n`` slices
     of the other side, and the reverse.  Each pair of rows meets exactly once.  The
     slice of a row is a hash of its identifying columns, so a recomputed task puts it
     in the same place.
     """
-    slices = {k: [n, 1] for k, n in _large_keys(left, keys, rows_per_task).items()}
-    for key, n in _large_keys(right, keys, rows_per_task).items():
+    sizes = key_sizes(left, keys) if left_sizes is None else left_sizes
+    slices = {k: [n, 1] for k, n in _large_keys(sizes, keys, rows_per_task).items()}
+    sizes = key_sizes(right, keys) if right_sizes is None else right_sizes
+    for key, n in _large_keys(sizes, keys, rows_per_task).items():
         slices.setdefault(key, [1, 1])[1] = n
     if not slices:
         return left.join(right, keys)

@@ -16,6 +16,7 @@ circle with the ellipsoid's smallest radius of curvature.
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,11 +26,12 @@ from waymark.functions import geodesy
 from waymark.plans import grid
 from waymark.plans.radius import (
     ANY,
+    BOX,
     DEFAULT_OPTIONS,
     Criteria,
     RadiusOptions,
-    SiteFacts,
     feature_rows,
+    payload_rows,
     radius_join,
     ranged_sites,
     site_facts,
@@ -37,6 +39,7 @@ from waymark.plans.radius import (
     with_cells,
     within_reach,
 )
+from waymark.plans.results import nearest
 from waymark.plans.skew import balanced_join
 
 #: Tile size below the cell size, in rungs (factor 4 each).
@@ -119,10 +122,11 @@ def _tile_hits(
     options: RadiusOptions,
 ) -> DataFrame:
     """Site-tile pairs that may hold matches: ``n``, ``near``, ``far``, ``whole``."""
+    keys = ["rungs", "cell", *criteria.match]
     joined = balanced_join(
         spread,
         tiles,
-        ["rungs", "cell", *criteria.match],
+        keys,
         sites.columns,
         ["tile", *criteria.traits],
         options.rows_per_task,
@@ -153,26 +157,37 @@ def _open_tiles(
     opened: DataFrame,
     sites: DataFrame,
     features: DataFrame,
+    tiles: DataFrame,
     kind: list[str],
     options: RadiusOptions,
 ) -> DataFrame:
     """Exact pairs for the listed site-tile combinations."""
-    search = [
-        *sites.columns,
-        *("lng_min", "lng_max", "lat_min", "lat_max"),
-        *geodesy.position_columns("site"),
-    ]
+    search = [*sites.columns, *BOX, *geodesy.position_columns("site")]
+    keys = ["rungs", "tile", *kind]
     joined = balanced_join(
-        features,
+        features.drop("cell"),
         opened.select("rungs", "tile", *[k for k in kind if k not in search], *search),
-        ["rungs", "tile", *kind],
+        keys,
         ["_slice"],
         sites.columns,
         options.rows_per_task,
+        left_sizes=tiles,
     )
     return within_reach(joined)
 
 
+def _saved(tiles: DataFrame) -> DataFrame:
+    """Store the tile table, so that the layer is read for it only once.
+
+    It goes to the session's checkpoint folder, which a cluster shares.
+    """
+    context = tiles.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = tiles.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="waymark-"))
+    return tiles.checkpoint()
+
+
 def _null_safe(column: Column) -> tuple[Column, Column]:
     return F.coalesce(column, F.lit("")), column.isNull()
 
@@ -203,13 +218,11 @@ def radius_counts(
     )
     kind = [*criteria.match, *criteria.traits, "_g", "_g0"]
     keyed = _with_tiles(features, facts.pairs)
-    hits = _tile_hits(
-        spread_sites(ranged), sites, _tile_table(keyed, kind), criteria, options
-    )
+    tiles = _saved(_tile_table(keyed, kind))
+    hits = _tile_hits(spread_sites(ranged), sites, tiles, criteria, options)
     whole = hits.where("whole").select(*sites.columns, "_g", "_g0", "n")
-    rim = _open_tiles(
-        hits.where(~F.col("whole")), sites, keyed.drop("cell"), kind, options
-    ).select(*sites.columns, "_g", "_g0", F.lit(1).cast("bigint").alias("n"))
+    rim = _open_tiles(hits.where("NOT whole"), sites, keyed, tiles, kind, options)
+    rim = rim.select(*sites.columns, "_g", "_g0", F.lit(1).cast("bigint").alias("n"))
     return (
         whole.unionByName(rim)
         .groupBy(*sites.columns, "_g", "_g0")
@@ -222,45 +235,56 @@ def radius_counts(
     )
 
 
-def radius_candidates(
+def radius_nearest(
     sites: DataFrame,
     layer: DataFrame,
     keep: dict[str, Column],
-    wanted: Column,
+    k: Column,
+    most: int,
     criteria: Criteria = ANY,
     options: RadiusOptions = DEFAULT_OPTIONS,
 ) -> DataFrame:
-    """Pairs within reach that include at least the ``wanted`` nearest of each site.
+    """The ``k`` nearest features within reach of each site, ``k <= most``.
+
+    The result has the site columns, ``id``, the kept columns, ``distance`` and
+    ``rank``.
 
-    With few sites this is the plain radius join.  With many, tile counts bound the
-    distance of the ``wanted``-th feature first, and tiles beyond it are never opened.
+    With few sites, ranking runs over bare ids and the kept columns are fetched for the
+    winners only.  With many, tile counts bound the distance of the ``k``-th feature
+    first, and tiles beyond it are never opened.
     """
     ranged = ranged_sites(sites, options)
     facts = site_facts(ranged)
+    columns = [c.alias(n) for n, c in keep.items()]
     if facts.cells <= options.broadcast_site_cells:
-        return radius_join(sites, layer, keep, criteria, options, facts)
-    columns = [*criteria.columns, *[c.alias(n) for n, c in keep.items()]]
-    features = feature_rows(layer, columns, facts, options)
+        bare = {"id": F.col("id")}
+        pairs = radius_join(sites, layer, bare, criteria, options, facts)
+        top = nearest(pairs, sites.columns, k, most)
+        if facts.sites * most <= options.broadcast_site_cells:
+            top = F.broadcast(top)
+        return payload_rows(layer, columns, facts, options).join(top, "id")
+    features = feature_rows(
+        layer, [*criteria.columns, F.col("id"), *columns], facts, options
+    )
     kind = [*criteria.match, *criteria.traits]
     keyed = _with_tiles(features, facts.pairs)
-    hits = _tile_hits(
-        spread_sites(ranged), sites, _tile_table(keyed, kind), criteria, options
-    )
+    tiles = _saved(_tile_table(keyed, kind))
+    hits = _tile_hits(spread_sites(ranged), sites, tiles, criteria, options)
     # per site at most a few thousand tiles, however many features they stand for
-    by_reach = W.partitionBy(*sites.columns).orderBy("far", "tile", *criteria.traits)
     per_site = W.partitionBy(*sites.columns)
+    by_reach = per_site.orderBy("far", "rungs", "tile", *criteria.traits)
     sure = F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).over(
         by_reach.rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     bounded = (
         hits.withColumn("_sure", sure)
         .withColumn(
-            "_limit",
-            F.min(F.when(F.col("_sure") >= wanted, F.col("far"))).over(per_site),
+            "_limit", F.min(F.when(F.col("_sure") >= k, F.col("far"))).over(per_site)
         )
         .where(
             F.col("_limit").isNull() | (F.col("near") <= F.col("_limit") + MARGIN_M)
         )
     )
-    pairs = _open_tiles(bounded, sites, keyed.drop("cell"), kind, options)
-    return pairs.select(*sites.columns, *keep, "distance")
+    pairs = _open_tiles(bounded, sites, keyed, tiles, kind, options)
+    pairs = pairs.select(*sites.columns, "id", *keep, "distance")
+    return nearest(pairs, sites.columns, k, most)

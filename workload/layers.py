@@ -19,12 +19,18 @@ _TABLE_OF = {
 }
 
 
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """A driver table.  One that arrives in fewer splits than there are cores is spread
+    over them, because the work per row that follows outweighs the row."""
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table, without geometry preparation."""
     text = getattr(shapes, name)(shapes.SPARK)
-    tables = {
-        t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLE_OF[name]
-    }
+    tables = {t: _table(spark, f"{sf_dir}/{t}.parquet") for t in _TABLE_OF[name]}
     for table in tables:
         text = text.replace(f"FROM {table}", f"FROM {{{table}}}")
     return spark.sql(text, **tables)
