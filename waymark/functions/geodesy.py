@@ -39,43 +39,39 @@ def position_columns(prefix: str) -> list[str]:
 
 def with_position(df: DataFrame, lng: str, lat: str, prefix: str) -> DataFrame:
     """Add earth-centred coordinates and the sine of the latitude of one point."""
-    phi, lam = F.radians(F.col(lat)), F.radians(F.col(lng))
-    sin, cos = F.sin(phi), F.cos(phi)
+    sin, cos = f"sin(radians({lat}))", f"cos(radians({lat}))"
     # repeated terms are computed once: they share one projection
-    n = F.lit(SEMI_MAJOR_M) / F.sqrt(1 - F.lit(_E2) * sin * sin)
-    return df.withColumns(
-        {
-            f"{prefix}_ex": n * cos * F.cos(lam),
-            f"{prefix}_ey": n * cos * F.sin(lam),
-            f"{prefix}_ez": n * (1 - _E2) * sin,
-            f"{prefix}_sin": sin,
-        }
-    )
-
-
-def _gaps(a: str, b: str) -> list[Column]:
-    return [F.col(f"{a}_{c}") - F.col(f"{b}_{c}") for c in ("ex", "ey", "ez")]
-
-
-def chord_squared(a: str, b: str) -> Column:
-    dx, dy, dz = _gaps(a, b)
-    return dx * dx + dy * dy + dz * dz
-
-
-def path_length(chord2: Column, dz2: Column, sin2: Column) -> Column:
-    """Length of the surface path over a chord: ``chord2`` squared length, ``dz2`` its
-    squared polar component, ``sin2`` squared sine of the latitude in between."""
-    stretched = chord2 + F.lit(_EP2) * dz2
+    n = f"{SEMI_MAJOR_M}D / sqrt(1 - {_E2}D * {sin} * {sin})"
+    terms = {
+        "ex": f"{n} * {cos} * cos(radians({lng}))",
+        "ey": f"{n} * {cos} * sin(radians({lng}))",
+        "ez": f"{n} * {1 - _E2}D * {sin}",
+        "sin": sin,
+    }
+    return df.withColumns({f"{prefix}_{t}": F.expr(text) for t, text in terms.items()})
+
+
+def _pair_terms(a: str, b: str) -> dict[str, str]:
+    """Squared chord, its squared polar component, and the squared sine of the latitude
+    in between, as SQL text."""
+    gap = {c: f"({a}_e{c} - {b}_e{c})" for c in "xyz"}
+    squares = {c: f"{g} * {g}" for c, g in gap.items()}
+    return {
+        "chord2": f"({squares['x']} + {squares['y']} + {squares['z']})",
+        "dz2": squares["z"],
+        "sin2": f"({a}_sin + {b}_sin) * ({a}_sin + {b}_sin) * 0.25D",
+    }
+
+
+def _path_length(chord2: str, dz2: str, sin2: str) -> str:
+    """Length of the surface path over a chord, as SQL text."""
+    stretched = f"({chord2} + {_EP2}D * {dz2})"
     w = (
-        (1 - F.lit(_E2) * sin2)
-        / (SEMI_MAJOR_M * SEMI_MAJOR_M)
-        * stretched
-        * stretched
-        / chord2
-    )
-    return F.when(chord2 == 0, F.lit(0.0)).otherwise(
-        F.sqrt(chord2) * (1 + w * (1 / 24 + w * (3 / 640)))
+        f"((1 - {_E2}D * {sin2}) / {SEMI_MAJOR_M * SEMI_MAJOR_M}D "
+        f"* {stretched} * {stretched} / {chord2})"
     )
+    path = f"sqrt({chord2}) * (1 + {w} * ({1 / 24}D + {w} * {3 / 640}D))"
+    return f"CASE WHEN {chord2} = 0 THEN 0D ELSE {path} END"
 
 
 #: A path of up to 60 km exceeds its chord by less than this share.
@@ -89,16 +85,17 @@ def within_distance(df: DataFrame, a: str, b: str, radius: str) -> DataFrame:
     measured for those within a few millionths of the radius, and for the result.  The
     condition carries no computed column, so it can become part of a join condition.
     """
-    r = F.col(radius)
-    _, _, dz = _gaps(a, b)
-    sin = F.col(f"{a}_sin") + F.col(f"{b}_sin")
-    chord2, dz2, sin2 = chord_squared(a, b), dz * dz, sin * sin * 0.25
-    surely = (chord2 < r * r * (1 - 2 * _MAX_STRETCH)) & (r <= _STRETCH_VALID_M)
-    rim = (chord2 <= r * r * (1 + 1e-9)) & (path_length(chord2, dz2, sin2) < r)
-    near = df.where(surely | rim)
-    terms = {"_chord2": chord2, "_dz2": dz2, "_sin2": sin2}
-    path = path_length(*[F.col(t) for t in terms])
-    return near.withColumns(terms).withColumn("distance", path).drop(*terms)
+    terms = _pair_terms(a, b)
+    square = f"cast({radius} AS double) * {radius}"
+    surely = (
+        f"{terms['chord2']} < {square} * {1 - 2 * _MAX_STRETCH}D "
+        f"AND {radius} <= {_STRETCH_VALID_M}"
+    )
+    rim = f"{terms['chord2']} <= {square} * {1 + 1e-9}D AND {_path_length(**terms)} < {radius}"
+    near = df.where(f"({surely}) OR ({rim})")
+    named = {f"_{t}": F.expr(text) for t, text in terms.items()}
+    path = F.expr(_path_length(*named))
+    return near.withColumns(named).withColumn("distance", path).drop(*named)
 
 
 def whole_metres(distance: Column) -> Column:

@@ -6,6 +6,7 @@ parameter is bad, the name of the first bad one and a message.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,7 +42,7 @@ class _Check:
     param: str
     cleaned: Column
     accepted: Column
-    failures: list[tuple[Column, Column]]
+    failures: Callable[[], list[tuple[Column, Column]]]
 
 
 def _text(*pieces: str | Column) -> Column:
@@ -88,16 +89,15 @@ def _finite(number: Column) -> Column:
 
 def _degrees(df: DataFrame, name: str, most: int) -> _Check:
     number, is_number = _number(df, name)
-    shown = _shown(df, name)
     return _Check(
         name,
         number,
         number.between(-most, most),
-        [
-            (~is_number, _text(f"{name} must be a number. Received: ", shown)),
+        lambda: [
+            (~is_number, _text(f"{name} must be a number. Received: ", _shown(df, name))),
             (
                 number.isNull() | ~_finite(number),
-                _text(f"{name} must be a finite number. Received: ", shown),
+                _text(f"{name} must be a finite number. Received: ", _shown(df, name)),
             ),
             (
                 ~number.between(-most, most),
@@ -120,9 +120,11 @@ def _whole(
                 name,
                 F.lit(None).cast("int"),
                 F.lit(False),
-                [(F.lit(True), F.lit(f"{name} must be a number. Received: None"))],
+                lambda: [
+                    (F.lit(True), F.lit(f"{name} must be a number. Received: None"))
+                ],
             )
-        return _Check(name, F.lit(default), F.lit(True), [])
+        return _Check(name, F.lit(default), F.lit(True), list)
     number, is_number = _number(df, column)
     cut = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
     missing = F.lit(False) if default is None else F.col(column).isNull()
@@ -136,7 +138,7 @@ def _whole(
         name,
         cleaned,
         accepted,
-        [
+        lambda: [
             (
                 ~missing & (~is_number | number.isNull() | ~_finite(number)),
                 _text(f"{name} must be a number. Received: ", _shown(df, column)),
@@ -158,14 +160,14 @@ def _word(df: DataFrame, name: str, known: Column, unknown: Column, low: bool) -
     ):
         required = F.lit(f"{name} is required and must be a non-empty string.")
         nothing = F.lit(None).cast("string")
-        return _Check(name, nothing, F.lit(False), [(F.lit(True), required)])
+        return _Check(name, nothing, F.lit(False), lambda: [(F.lit(True), required)])
     cleaned = stripped(F.col(name))
     cleaned = F.lower(cleaned) if low else cleaned
     return _Check(
         name,
         cleaned,
         known,
-        [
+        lambda: [
             (
                 F.coalesce(F.col(name), F.lit("")) == "",
                 F.lit(f"{name} is required and must be a non-empty string."),
@@ -267,7 +269,7 @@ def screen_points(
     points, checks = _checks(points, operator, taxonomy)
     which, message = F.lit(None).cast("string"), F.lit(None).cast("string")
     for check in reversed(checks):
-        for failed, text in reversed(check.failures):
+        for failed, text in reversed(check.failures()):
             failed = F.coalesce(failed, F.lit(False))
             which = F.when(failed, F.lit(check.param)).otherwise(which)
             message = F.when(failed, text).otherwise(message)

@@ -75,7 +75,7 @@ def _with_piece_box(df: DataFrame, band: Column) -> DataFrame:
         ),
         _PIECE_BOX,
         finer=0,
-        extent=((F.col("bbox.xmax") - F.col("bbox.xmin")).cast("double"), step),
+        extent=("cast(bbox.xmax - bbox.xmin AS double)", "_ymax_gap / _bands"),
     )
 
 
@@ -138,7 +138,7 @@ def contains_join(
         .drop(*grid.SCRATCH)
         .withColumn("_slice", F.xxhash64("_x0", "_y0", "_x1", "_band"))
     )
-    spread = sites.withColumn("cell", F.explode(grid.cells_at(pairs or [0], x, y)))
+    spread = sites.withColumn("cell", F.explode(grid.cells_at(pairs or [0], "lng", "lat")))
     if count * max(len(pairs), 1) > options.broadcast_site_cells:
         joined = balanced_join(
             spread, pieces, ["cell"], sites.columns, ["_slice"], options.rows_per_task

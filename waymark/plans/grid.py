@@ -19,79 +19,82 @@ _AXIS_BITS = 27
 _AXIS_SHIFT = 1 << (_AXIS_BITS - 1)
 
 
-def rung(extent: Column, finer: int) -> Column:
-    """Rung whose cell is at most ``extent``, so that a box touches 2 to 5 cells per
-    axis (``finer=1``), or at least ``extent``, so that it touches at most 2
-    (``finer=0``)."""
-    exact = F.ceil(F.log2(F.greatest(extent, F.lit(1e-9))) / 2).cast("int") - finer
-    return F.least(F.greatest(exact, F.lit(MIN_RUNG)), F.lit(MAX_RUNG))
+def _rung(extent: str, finer: int) -> str:
+    exact = f"cast(ceil(log2(greatest({extent}, 1e-9D)) / 2) AS int) - {finer}"
+    return f"least(greatest({exact}, {MIN_RUNG}), {MAX_RUNG})"
 
 
-def rung_pair(x_rung: Column, y_rung: Column) -> Column:
-    """Both rungs as one small integer."""
-    return ((x_rung - MIN_RUNG) * RUNGS + (y_rung - MIN_RUNG)).cast("int")
+def rung(extent: str, finer: int) -> Column:
+    """Rung whose cell is at most ``extent`` wide, so that a box touches 2 to 5 cells per
+    axis (``finer=1``), or at least as wide, so that it touches at most 2
+    (``finer=0``).  ``extent`` is SQL text."""
+    return F.expr(_rung(extent, finer))
 
 
 def split_pair(pair: int) -> tuple[int, int]:
+    """The rungs of both axes from their combined number."""
     return pair // RUNGS + MIN_RUNG, pair % RUNGS + MIN_RUNG
 
 
-def _pack(pair: Column, cx: Column, cy: Column) -> Column:
+def join_pair(x_rung: int, y_rung: int) -> int:
+    return (x_rung - MIN_RUNG) * RUNGS + (y_rung - MIN_RUNG)
+
+
+def _pack(pair: str, cx: str, cy: str) -> str:
     return (
-        F.shiftleft(pair.cast("bigint"), 2 * _AXIS_BITS)
-        + F.shiftleft(cx + F.lit(_AXIS_SHIFT), _AXIS_BITS)
-        + (cy + F.lit(_AXIS_SHIFT))
+        f"(shiftleft(cast({pair} AS bigint), {2 * _AXIS_BITS}) "
+        f"+ shiftleft({cx} + {_AXIS_SHIFT}L, {_AXIS_BITS}) + ({cy} + {_AXIS_SHIFT}L))"
     )
 
 
-def cell_at(pair: int, x: Column, y: Column) -> Column:
-    """Cell of one position on a given rung pair."""
+def _cell_at(pair: int, x: str, y: str) -> str:
     kx, ky = split_pair(pair)
-    return _pack(F.lit(pair), F.floor(x * F.lit(4.0**-kx)), F.floor(y * F.lit(4.0**-ky)))
+    return _pack(str(pair), f"floor({x} * {4.0**-kx}D)", f"floor({y} * {4.0**-ky}D)")
+
+
+def cell_at(pair: int, x: str, y: str) -> Column:
+    """Cell of one position on a given rung pair; positions are SQL text."""
+    return F.expr(_cell_at(pair, x, y))
 
 
-def cells_at(pairs: list[int], x: Column, y: Column) -> Column:
+def cells_at(pairs: list[int], x: str, y: str) -> Column:
     """Cells of one position on several rung pairs."""
-    return F.array(*[cell_at(p, x, y) for p in pairs])
+    return F.expr(f"array({', '.join(_cell_at(p, x, y) for p in pairs)})")
 
 
 def with_rungs(
     df: DataFrame,
     box: tuple[str, str, str, str],
     finer: int,
-    extent: tuple[Column, Column] | None = None,
+    extent: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Add ``rungs`` and the cell ranges of a box ``(xmin, xmax, ymin, ymax)``.
 
-    ``extent`` overrides the size the rungs are chosen by, where boxes of slightly
-    different size must share one."""
-    xmin, xmax, ymin, ymax = (F.col(c) for c in box)
-    width, height = extent or (xmax - xmin, ymax - ymin)
+    ``extent``, SQL text of a width and a height, overrides the size the rungs are
+    chosen by, where boxes of slightly different size must share one."""
+    xmin, xmax, ymin, ymax = box
+    width, height = extent or (f"{xmax} - {xmin}", f"{ymax} - {ymin}")
     df = df.withColumns({"_kx": rung(width, finer), "_ky": rung(height, finer)})
-    sx, sy = F.pow(F.lit(4.0), -F.col("_kx")), F.pow(F.lit(4.0), -F.col("_ky"))
-    return df.withColumns(
-        {
-            "rungs": rung_pair(F.col("_kx"), F.col("_ky")),
-            "_cx0": F.floor(xmin * sx),
-            "_cx1": F.floor(xmax * sx),
-            "_cy0": F.floor(ymin * sy),
-            "_cy1": F.floor(ymax * sy),
-        }
-    ).drop("_kx", "_ky")
+    added = {
+        "rungs": f"(_kx - {MIN_RUNG}) * {RUNGS} + (_ky - {MIN_RUNG})",
+        "_cx0": f"floor({xmin} * pow(4D, -_kx))",
+        "_cx1": f"floor({xmax} * pow(4D, -_kx))",
+        "_cy0": f"floor({ymin} * pow(4D, -_ky))",
+        "_cy1": f"floor({ymax} * pow(4D, -_ky))",
+    }
+    return df.withColumns({c: F.expr(text) for c, text in added.items()}).drop("_kx", "_ky")
 
 
 def covered_cells() -> Column:
     """All cells of a box prepared by :func:`with_rungs`."""
-    rungs, y0, y1 = F.col("rungs"), F.col("_cy0"), F.col("_cy1")
-    columns = F.transform(
-        F.sequence(F.col("_cx0"), F.col("_cx1")),
-        lambda cx: F.transform(F.sequence(y0, y1), lambda cy: _pack(rungs, cx, cy)),
+    return F.expr(
+        "flatten(transform(sequence(_cx0, _cx1), cx -> "
+        f"transform(sequence(_cy0, _cy1), cy -> {_pack('rungs', 'cx', 'cy')})))"
     )
-    return F.flatten(columns)
 
 
 def covered_count() -> Column:
-    return (F.col("_cx1") - F.col("_cx0") + 1) * (F.col("_cy1") - F.col("_cy0") + 1)
+    return F.expr("(_cx1 - _cx0 + 1) * (_cy1 - _cy0 + 1)")
 
 
 SCRATCH = ("rungs", "_cx0", "_cx1", "_cy0", "_cy1")

@@ -50,21 +50,21 @@ DEFAULT_OPTIONS = RadiusOptions()
 def with_search_box(sites: DataFrame, prefilter: str) -> DataFrame:
     """Add the search box; without a prefilter a box crossing the antimeridian is cut
     in two."""
-    r, lat, lng = F.col("radius_m"), F.col("lat"), F.col("lng")
     if prefilter == "corner":
-        d_lat = r / F.lit(METRES_PER_DEGREE)
-        cosine = F.cos(F.radians(lat))
-        d_lng = F.when(cosine < POLAR_COSINE, F.lit(POLAR_SPAN_DEGREES)).otherwise(
-            r / (F.lit(METRES_PER_DEGREE) * cosine)
-        )
-        return sites.withColumns(
-            {
-                "lat_min": lat - d_lat,
-                "lat_max": lat + d_lat,
-                "lng_min": lng - d_lng,
-                "lng_max": lng + d_lng,
-            }
+        d_lat = f"radius_m / {METRES_PER_DEGREE}"
+        cosine = "cos(radians(lat))"
+        d_lng = (
+            f"CASE WHEN {cosine} < {POLAR_COSINE}D THEN {POLAR_SPAN_DEGREES}D "
+            f"ELSE radius_m / ({METRES_PER_DEGREE} * {cosine}) END"
         )
+        box = {
+            "lat_min": f"lat - {d_lat}",
+            "lat_max": f"lat + {d_lat}",
+            "lng_min": f"lng - {d_lng}",
+            "lng_max": f"lng + {d_lng}",
+        }
+        return sites.withColumns({c: F.expr(text) for c, text in box.items()})
+    r, lat, lng = F.col("radius_m"), F.col("lat"), F.col("lng")
     d_lat = r * 1.01 / F.lit(METRES_PER_DEGREE)
     reach = F.abs(lat) + d_lat
     d_lng = F.when(reach >= 89.9, F.lit(360.0)).otherwise(
@@ -185,17 +185,15 @@ def payload_rows(
 
 def with_cells(df: DataFrame, pairs: list[int]) -> DataFrame:
     """Key features by grid cell: one row per rung pair in use."""
-    x, y = F.col("_px"), F.col("_py")
     if len(pairs) == 1:
-        return df.withColumn("cell", grid.cell_at(pairs[0], x, y))
-    return df.withColumn("cell", F.explode(grid.cells_at(pairs, x, y)))
+        return df.withColumn("cell", grid.cell_at(pairs[0], "_px", "_py"))
+    return df.withColumn("cell", F.explode(grid.cells_at(pairs, "_px", "_py")))
 
 
 def within_reach(joined: DataFrame) -> DataFrame:
     """Keep candidate pairs that pass the search box and the exact distance."""
     boxed = joined.where(
-        F.col("_px").between(F.col("lng_min"), F.col("lng_max"))
-        & F.col("_py").between(F.col("lat_min"), F.col("lat_max"))
+        "_px BETWEEN lng_min AND lng_max AND _py BETWEEN lat_min AND lat_max"
     )
     return geodesy.within_distance(boxed, "rep", "site", "radius_m")
 

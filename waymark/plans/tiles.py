@@ -55,19 +55,17 @@ _AXES = ("ex", "ey", "ez")
 
 
 def _finer(pair: int) -> int:
-    kx, ky = grid.split_pair(pair)
-    fine = [max(k - TILE_STEP, grid.MIN_RUNG) - grid.MIN_RUNG for k in (kx, ky)]
-    return fine[0] * grid.RUNGS + fine[1]
+    fine = (max(k - TILE_STEP, grid.MIN_RUNG) for k in grid.split_pair(pair))
+    return grid.join_pair(*fine)
 
 
 def _with_tiles(features: DataFrame, pairs: list[int]) -> DataFrame:
     """Key features by cell and tile, one row per rung pair in use."""
-    x, y = F.col("_px"), F.col("_py")
     keys = F.array(
         *[
             F.struct(
-                grid.cell_at(p, x, y).alias("cell"),
-                grid.cell_at(_finer(p), x, y).alias("tile"),
+                grid.cell_at(p, "_px", "_py").alias("cell"),
+                grid.cell_at(_finer(p), "_px", "_py").alias("tile"),
                 F.lit(p).alias("rungs"),
             )
             for p in pairs

@@ -121,8 +121,8 @@ def cluster(prepared: DataFrame, partitions: int | None = None) -> DataFrame:
     Range partitioning on cell, position and id keeps neighbours in one file, so that
     row-group statistics on ``bbox`` are tight, and cuts dense cells across files.
     """
-    pair = (CLUSTER_RUNG - grid.MIN_RUNG) * (grid.RUNGS + 1)
-    cell = grid.cell_at(pair, F.col("bbox.xmin"), F.col("bbox.ymin"))
+    pair = grid.join_pair(CLUSTER_RUNG, CLUSTER_RUNG)
+    cell = grid.cell_at(pair, "bbox.xmin", "bbox.ymin")
     keyed = prepared.withColumn("cell", cell)
     by = ["cell", "rep_y", "rep_x", "id"]
     ranged = (

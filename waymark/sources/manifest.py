@@ -48,22 +48,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def _ladder(df: DataFrame, box: tuple[str, str, str, str]) -> DataFrame:
     """Key boxes by the cells they touch on the square rung of their size and on every
     coarser one.  Two boxes that intersect share a cell on the larger one's rung."""
-    xmin, xmax, ymin, ymax = (F.col(c) for c in box)
-    own = grid.rung(F.greatest(xmax - xmin, ymax - ymin), finer=0)
-
-    def cells(k: Column) -> Column:
-        scale = F.pow(F.lit(4.0), -k)
-        return F.transform(
-            F.sequence(F.floor(xmin * scale), F.floor(xmax * scale)),
-            lambda cx: F.transform(
-                F.sequence(F.floor(ymin * scale), F.floor(ymax * scale)),
-                lambda cy: F.struct(k.alias("k"), cx.alias("cx"), cy.alias("cy")),
-            ),
-        )
-
-    rungs = F.sequence(F.col("_own"), F.lit(grid.MAX_RUNG))
-    keys = F.flatten(F.flatten(F.transform(rungs, cells)))
-    return df.withColumn("_own", own).select("*", F.inline(keys))
+    xmin, xmax, ymin, ymax = box
+    cells = (
+        f"transform(sequence(floor({xmin} * pow(4D, -k)), floor({xmax} * pow(4D, -k))), cx -> "
+        f"transform(sequence(floor({ymin} * pow(4D, -k)), floor({ymax} * pow(4D, -k))), cy -> "
+        "named_struct('k', k, 'cx', cx, 'cy', cy)))"
+    )
+    rungs = f"sequence(_own, {grid.MAX_RUNG})"
+    own = grid.rung(f"greatest({xmax} - {xmin}, {ymax} - {ymin})", finer=0)
+    return df.withColumn("_own", own).select(
+        "*", F.expr(f"inline(flatten(flatten(transform({rungs}, k -> {cells}))))")
+    )
 
 
 def _prune(
