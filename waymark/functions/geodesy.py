@@ -4,7 +4,7 @@ Each point is placed once, per row, in earth-centred coordinates (metres).  For
 pair, the straight chord between the two positions is stretched to the length of
 the surface path with the curvature of the ellipsoid along that direction:
 
-    path = chord * (1 + w / 24 + 3 * w^2 / 640),   w = (chord * curvature)^2
+    path = chord * (1 + w / 24 + 3 * w^2 / 640 + ...),   w = (chord * curvature)^2
 
 By Euler's formula the curvature along a direction with northward share ``cos a`` is
 ``(1 + e'^2 * cos^2(lat) * cos^2(a)) / N``; the product of the two cosines is simply
@@ -63,15 +63,16 @@ def _pair_terms(a: str, b: str) -> dict[str, str]:
     }
 
 
-def _path_length(chord2: str, dz2: str, sin2: str) -> str:
-    """Length of the surface path over a chord, as SQL text."""
-    stretched = f"({chord2} + {_EP2}D * {dz2})"
-    w = (
-        f"((1 - {_E2}D * {sin2}) / {SEMI_MAJOR_M * SEMI_MAJOR_M}D "
-        f"* {stretched} * {stretched} / {chord2})"
-    )
-    path = f"sqrt({chord2}) * (1 + {w} * ({1 / 24}D + {w} * {3 / 640}D))"
-    return f"CASE WHEN {chord2} = 0 THEN 0D ELSE {path} END"
+def _squared_path(chord2: str, dz2: str, sin2: str) -> str:
+    """Squared length of the surface path over a chord, as SQL text.
+
+    The square of the series in the module's description, multiplied out so that no
+    division is left: with ``u = chord^2 * (1 + e'^2 * polar share)`` and
+    ``c = (1 - e^2 sin^2) / a^2`` it is ``chord^2 + c u^2 (1/12 + c u / 90)``.
+    """
+    u = f"({chord2} + {_EP2}D * {dz2})"
+    c = f"({1 / SEMI_MAJOR_M**2}D - {_E2 / SEMI_MAJOR_M**2}D * {sin2})"
+    return f"{chord2} + {c} * {u} * {u} * ({1 / 12}D + {c} * {u} * {1 / 90}D)"
 
 
 #: A path of up to 60 km exceeds its chord by less than this share.
@@ -91,10 +92,9 @@ def within_distance(df: DataFrame, a: str, b: str, radius: str) -> DataFrame:
         f"{terms['chord2']} < {square} * {1 - 2 * _MAX_STRETCH}D "
         f"AND {radius} <= {_STRETCH_VALID_M}"
     )
-    rim = f"{terms['chord2']} <= {square} * {1 + 1e-9}D AND {_path_length(**terms)} < {radius}"
-    near = df.where(f"({surely}) OR ({rim})")
+    near = df.where(f"({surely}) OR {_squared_path(**terms)} < {square}")
     named = {f"_{t}": F.expr(text) for t, text in terms.items()}
-    path = F.expr(_path_length(*named))
+    path = F.expr(f"sqrt({_squared_path(*named)})")
     return near.withColumns(named).withColumn("distance", path).drop(*named)
 
 

@@ -143,10 +143,16 @@ def ranged_sites(sites: DataFrame, options: RadiusOptions) -> DataFrame:
     return grid.with_rungs(with_search_box(sites, options.prefilter), BOX, finer=1)
 
 
+def _never_null(ranged: DataFrame) -> DataFrame:
+    """Tell the planner that site numbers are present (screening has seen to it)."""
+    numbers = ("lat", "lng", "radius_m", *BOX)
+    return ranged.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
+
+
 def spread_sites(ranged: DataFrame) -> DataFrame:
     """One row per site and grid cell, with the site's position."""
     return (
-        geodesy.with_position(ranged, "lng", "lat", "site")
+        geodesy.with_position(_never_null(ranged), "lng", "lat", "site")
         .withColumn("cell", F.explode(grid.covered_cells()))
         .drop(*(c for c in grid.SCRATCH if c != "rungs"))
     )
@@ -159,19 +165,19 @@ def feature_rows(
 
     ``_px``/``_py`` is the position the search box is tested against.
     """
-    corner = options.prefilter == "corner"
-    features = layer.select(
+    x, y = ("bbox.xmin", "bbox.ymin") if options.prefilter == "corner" else ("rep_x", "rep_y")
+    if facts.box is None:
+        layer = layer.where(F.lit(False))
+    else:
+        west, east, south, north = facts.box
+        layer = layer.where(F.col(x).between(west, east) & F.col(y).between(south, north))
+    # NaN for missing positions: such rows match nothing, and the pair arithmetic is
+    # spared the null checks
+    position = {"_px": x, "_py": y} | {c: c for c in geodesy.position_columns("rep")}
+    return layer.select(
         *columns,
-        (F.col("bbox.xmin") if corner else F.col("rep_x")).alias("_px"),
-        (F.col("bbox.ymin") if corner else F.col("rep_y")).alias("_py"),
+        *[F.expr(f"coalesce({c}, double('NaN'))").alias(n) for n, c in position.items()],
         F.xxhash64("id").alias("_slice"),
-        *geodesy.position_columns("rep"),
-    )
-    if facts.box is None:
-        return features.where(F.lit(False))
-    west, east, south, north = facts.box
-    return features.where(
-        F.col("_px").between(west, east) & F.col("_py").between(south, north)
     )
 
 
