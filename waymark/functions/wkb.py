@@ -8,15 +8,21 @@ columns pass through as Arrow buffers, and the vertex arrays are built from offs
 from __future__ import annotations
 
 import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from waymark.functions.geometry import PARTS_TYPE
 
+# The few functions below travel to the workers with the job, so that executors need not
+# have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Geometry type codes of the WKB format.
 TYPE_NAMES = {
     1: "POINT",
