@@ -182,7 +182,11 @@ def _saved(tiles: DataFrame) -> DataFrame:
     context = tiles.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = tiles.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="waymark-"))
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all nodes share")
+            folder = tempfile.mkdtemp(prefix="waymark-")
+        context.setCheckpointDir(folder)
     return tiles.checkpoint()
 
 
