@@ -1,6 +1,7 @@
 """Operators on a small hand-made world with known answers."""
 
 import math
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,16 @@ def test_envelope_reaches_the_scan(spark, cafes, tmp_path):
     scan = next(l for l in plan.splitlines() if "FileScan parquet" in l and "rep_ex" in l)
     assert "GreaterThanOrEqual(bbox.xmin" in scan and "LessThanOrEqual(bbox.ymin" in scan
     assert "BroadcastHashJoin" in plan and "parts" not in scan.split("ReadSchema")[1]
+
+
+def test_float_boxes_and_missing_columns(spark, tmp_path):
+    """Releases store boxes as floats and lack some columns."""
+    raw_file = str(tmp_path / "b")
+    point = bytes.fromhex("0101000000") + struct.pack("<dd", LNG, LAT)
+    ddl = "id string, geometry binary, bbox struct<xmin:float,xmax:float,ymin:float,ymax:float>"
+    box = {"xmin": LNG, "xmax": LNG, "ymin": LAT, "ymax": LAT}
+    spark.createDataFrame([("b", point, box)], ddl).write.parquet(raw_file)
+    layer = normalise_geometry(scan_layer(spark, "building", source=raw_file))
+    points = spark.createDataFrame([(1, LAT, LNG, 5)], POINTS)
+    answer = buildings.building_class_composition(points, layer).first()
+    assert (answer["class"], answer["count"]) == ("unknown", 1)

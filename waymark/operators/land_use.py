@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions import shaping
@@ -35,7 +36,7 @@ def land_use_at_point(
     }
     matches = contains.contains_join(
         accepted.select(*site).distinct(), parcels, keep, options
-    )
+    ).withColumn("count", F.count(F.lit(1)).over(W.partitionBy(*site)))
     # Wording of the suggestion.
     suggestion = F.lit(
         "No land use designation found for this point. The area may lack land use "
@@ -45,6 +46,7 @@ def land_use_at_point(
         "query_id",
         F.col("lat").alias("query_lat"),
         F.col("lng").alias("query_lng"),
+        F.coalesce("count", F.lit(0)).alias("count"),
         "id",
         "subtype",
         "class",
@@ -112,6 +114,7 @@ def land_use_search(
         "query_lng": F.col("lng"),
         "radius_m": F.col("radius_m"),
         "subtype": F.col("subtype"),
+        "count": F.coalesce("count", F.lit(0)),
         "rank": F.col("rank"),
         "id": F.col("id"),
         "class": F.col("class"),

@@ -62,6 +62,7 @@ def _search(
         "query_lng": F.col("lng"),
         "radius_m": F.col("radius_m"),
         "category": F.col("category"),
+        "count": F.coalesce("count", F.lit(0)),
         "rank": F.col("rank"),
         "id": F.col("id"),
         "name": F.col("name"),

@@ -101,6 +101,7 @@ def nearest_road_of_class(
         "query_lng": F.col("lng"),
         "max_radius_m": F.col("radius_m"),
         "road_class": F.col("road_class"),
+        "count": F.coalesce("count", F.lit(0)),
         "id": F.col("id"),
         "name": F.col("name"),
         "road_surface": F.col("road_surface"),

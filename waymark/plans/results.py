@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 
 def nearest(pairs: DataFrame, site: list[str], k: Column, most: int) -> DataFrame:
-    """The ``k`` nearest rows of each site, ``k <= most``, numbered in ``rank``.
+    """The ``k`` nearest rows of each site, ``k <= most``, numbered in ``rank``, with
+    their number in ``count``.
 
     Ordered by distance, hence also by whole metres, then by ``id``.  The constant bound
     lets Spark drop rows beyond it before the shuffle.
     """
     order = W.partitionBy(*site).orderBy("distance", "id")
     ranked = pairs.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= most).where(F.col("rank") <= k)
+    top = ranked.where(F.col("rank") <= most).where(F.col("rank") <= k)
+    return top.withColumn("count", F.count(F.lit(1)).over(W.partitionBy(*site)))
 
 
 def composition(counts: DataFrame, site: list[str]) -> DataFrame:
@@ -49,6 +51,11 @@ def _with_tenths(df: DataFrame, value: Column, out: str) -> DataFrame:
     )
 
 
+def with_data_version(answers: DataFrame, version: str) -> DataFrame:
+    """Note the release the layers came from in every row."""
+    return answers.withColumn("data_version", F.lit(version))
+
+
 def answer_points(
     points: DataFrame,
     matches: DataFrame,

@@ -248,8 +248,8 @@ def radius_nearest(
 ) -> DataFrame:
     """The ``k`` nearest features within reach of each site, ``k <= most``.
 
-    The result has the site columns, ``id``, the kept columns, ``distance`` and
-    ``rank``.
+    The result has the site columns, ``id``, the kept columns, ``distance``,
+    ``rank`` and ``count``.
 
     With few sites, ranking runs over bare ids and the kept columns are fetched for the
     winners only.  With many, tile counts bound the distance of the ``k``-th feature

@@ -218,7 +218,7 @@ def places_in_radius() -> str:
     ]
     return f"""{_with(*ctes)}
 SELECT q.query_id, q.lat AS query_lat, q.lng AS query_lng, q.radius_m, q.category, rank,
-  id, name, ry AS lat, rx AS lng, distance_m, confidence, address, phone, website,
+  count(id) OVER (PARTITION BY q.query_id) AS count, id, name, ry AS lat, rx AS lng, distance_m, confidence, address, phone, website,
   concat('POINT (', CAST(rx AS VARCHAR), ' ', CAST(ry AS VARCHAR), ')')
     || CASE WHEN rx IS NULL THEN NULL ELSE '' END AS geometry,
   CAST(NULL AS VARCHAR) AS geometry_note,
@@ -241,7 +241,7 @@ def nearest_place_of_type() -> str:
     ]
     return f"""{_with(*ctes)}
 SELECT q.query_id, q.lat AS query_lat, q.lng AS query_lng, q.radius_m AS max_radius_m, q.category,
-  id, name, ry AS lat, rx AS lng, distance_m, confidence, address, phone, website,
+  count(id) OVER (PARTITION BY q.query_id) AS count, id, name, ry AS lat, rx AS lng, distance_m, confidence, address, phone, website,
   CASE WHEN found IS NULL THEN concat('No ', q.category, ' found within ', q.radius_m,
     'm. Try increasing max_radius_m.') END AS suggestion, brand_name, brand_wikidata
 FROM points q LEFT JOIN top t USING (query_id)"""
@@ -404,7 +404,7 @@ def nearest_road_of_class() -> str:
     ]
     return f"""{_with(*ctes)}
 SELECT q.query_id, q.lat AS query_lat, q.lng AS query_lng, q.radius_m AS max_radius_m, q.road_class,
-  id, name, road_surface, distance_m, round(ry, 7) AS lat, round(rx, 7) AS lng,
+  count(id) OVER (PARTITION BY q.query_id) AS count, id, name, road_surface, distance_m, round(ry, 7) AS lat, round(rx, 7) AS lng,
   is_bridge, is_tunnel, is_link, geometry, CAST(NULL AS VARCHAR) AS geometry_note,
   CASE WHEN found IS NULL THEN concat('No ', q.road_class, ' road found within ', q.radius_m,
     'm. Try increasing max_radius_m or use a more common road class.') END AS suggestion
@@ -424,7 +424,7 @@ def land_use_search() -> str:
         _ranked('coalesce("limit", 20)'),
     ]
     return f"""{_with(*ctes)}
-SELECT q.query_id, q.lat AS query_lat, q.lng AS query_lng, q.radius_m, q.subtype, rank, id,
+SELECT q.query_id, q.lat AS query_lat, q.lng AS query_lng, q.radius_m, q.subtype, rank, count(id) OVER (PARTITION BY q.query_id) AS count, id,
   class, names_primary, round(ry, 7) AS lat, round(rx, 7) AS lng, distance_m,
   geometry, CAST(NULL AS VARCHAR) AS geometry_note,
   CASE WHEN found IS NULL THEN concat('No ', q.subtype, ' land use found within ', q.radius_m,
@@ -501,7 +501,7 @@ def land_use_at_point() -> str:
         ),
     ]
     return f"""{_with(*ctes)}
-SELECT q.query_id, q.lat AS query_lat, q.lng AS query_lng, id, m.subtype, class, names_primary, source,
+SELECT q.query_id, q.lat AS query_lat, q.lng AS query_lng, count(id) OVER (PARTITION BY q.query_id) AS count, id, m.subtype, class, names_primary, source,
   CASE WHEN id IS NULL THEN 'No land use designation found for this point. The area may lack land use mapping coverage, or the point may be in water/unmapped territory.' END AS suggestion
 FROM points q LEFT JOIN matched m USING (query_id)"""
 
