@@ -159,7 +159,7 @@ def _cleaned(min_chars: int):
             lengths = ends[stay] - starts[stay]
             final = np.ones(len(stay), bool)
             final[:-1] = rows[stay][1:] != rows[stay][:-1]
-            pieces = gather(np.append(block.data, 10), starts[stay], lengths + ~final)
+            pieces = gather(np.append(block.data, np.uint8(10)), starts[stay], lengths + ~final)
             breaks = np.cumsum(lengths + ~final)[~final] - 1
             pieces[breaks] = 10
             sizes = np.bincount(rows[stay], lengths + ~final, len(block)).astype(np.int64)
