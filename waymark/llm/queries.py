@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.llm.jaccard import similar_documents
 from waymark.llm.kneser_ney import quality
 from waymark.llm.line_dedup import drop_shared_lines
 
@@ -22,6 +23,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_line_dedup)
+    f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op7_ngram_jaccard)
 }
