@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.llm.decontaminate import leaks
 from waymark.llm.jaccard import similar_documents
 from waymark.llm.kneser_ney import quality
 from waymark.llm.line_dedup import drop_shared_lines
@@ -19,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -28,5 +33,5 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op7_ngram_jaccard)
+    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op7_ngram_jaccard)
 }
