@@ -28,7 +28,7 @@ from waymark.llm.tables import picked
 
 #: Least similarity: 1 - edits / words of the item.
 SIMILARITY = 0.8
-REPETITIONS = 10
+REPETITIONS = 14
 SAMPLED_STEPS = 4
 #: Bytes of item text that all tasks hold at once; larger benchmarks take several passes.
 BENCHMARK_BYTES = 1 << 20

@@ -3,10 +3,13 @@
 1. Documents become sets of 64-bit shingle hashes; equal sets count once.
 2. A sketch of fixed size tells rare shingles from frequent ones. Each set puts its rarest
    shingles into an inverted index, as many as any set similar enough must share one of.
-3. Sets on a common list meet in buckets of bounded size, with their whole sets. There a
-   T-occurrence search with DivideSkip finds the links: occurrences on short lists are
-   merged, long lists are probed by binary search for candidates only.
-4. A list longer than a bucket is searched from one pivot first, in blocks. Sets not
+3. Sets on a common list meet in buckets of bounded size, first with histograms of their
+   hashes, whose distance bounds the sets' distance from below: that splits buckets into
+   groups that may link. Groups that repeat are searched once.
+4. Each group gets its whole sets. A T-occurrence search with DivideSkip finds the links:
+   occurrences on short lists are merged, long lists are probed by binary search for
+   candidates only.
+5. A list longer than a bucket is searched from one pivot first, in blocks. Sets not
    connected to the pivot afterwards are searched against all of the list, in blocks.
 """
 
@@ -29,6 +32,7 @@ SIMILARITY_PERCENT = 90
 SKETCH_BUCKETS = 1 << 18
 #: Most sets in one bucket of the search.
 BUCKET_SETS = 64
+_DESCRIBED = ["doc_id", "set_id", "n_shingles", "histogram", "bucket", "n"]
 
 
 def shingle_sets(block: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,27 +74,80 @@ def _set_ids(rows: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
     return np.where(sizes > 0, mix(out ^ (sizes << u64(48))), u64(0))
 
 
+def _histograms(rows: np.ndarray, hashed: np.ndarray, n: int) -> list[bytes]:
+    """For each set, counts of hashes in a power of two of equal ranges, about an eighth of its size."""
+    sizes = np.bincount(rows, minlength=n)
+    bits = np.clip(np.log2(np.maximum(sizes, 1)).astype(np.int64) - 3, 4, 16)
+    ends = np.cumsum(1 << bits)
+    base = ends - (1 << bits)
+    counts = np.bincount(base[rows] + (hashed >> (u64(64) - bits[rows].astype(np.uint64))).astype(np.int64), minlength=ends[-1] if n else 0)
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    return [counts[a:b].tobytes() for a, b in zip(base, ends, strict=True)]
+
+
+def may_link(sizes: np.ndarray, histograms: list[np.ndarray], query: int, percent: int) -> np.ndarray:
+    """Sets after ``query`` whose histograms do not rule out a link with it."""
+    others = np.arange(query + 1, len(sizes))
+    small, large = np.minimum(sizes[query], sizes[others]), np.maximum(sizes[query], sizes[others])
+    others = others[100 * small >= percent * large]
+    keep = []
+    for other in others.tolist():
+        a, b = histograms[query], histograms[other]
+        width = min(len(a), len(b))
+        distance = np.abs(a.reshape(width, -1).sum(axis=1) - b.reshape(width, -1).sum(axis=1)).sum()
+        if distance * (100 + percent) <= (sizes[query] + sizes[other]) * (100 - percent):
+            keep.append(other)
+    return np.array(keep, np.int64)
+
+
+def _narrowed(percent: int):
+    """Splits a bucket into groups that may link: group, set_id, asks."""
+
+    def narrow(bucket: pa.Table) -> pa.Table:
+        ids = one_array(bucket["set_id"]).to_numpy()
+        asks = one_array(bucket["asks"]).to_numpy(zero_copy_only=False)
+        order = np.lexsort((~asks, ids))
+        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+        order = order[np.argsort(~asks[order], kind="stable")]
+        ids, asks = ids[order], asks[order]
+        sizes = one_array(bucket["n_shingles"]).to_numpy()[order]
+        histograms = [np.frombuffer(bucket["histogram"][int(i)].as_buffer(), np.uint8).astype(np.int32) for i in order]
+        root = np.arange(len(ids))
+        for query in range(int(asks.sum())):
+            for other in may_link(sizes, histograms, query, percent).tolist():
+                a, b = root[query], root[other]
+                if a != b:
+                    root[root == max(a, b)] = min(a, b)
+        many = np.bincount(root, minlength=len(root))[root] > 1
+        salt = mix(np.array([hash(tuple(bucket["bucket"][0].as_py().values()))], np.int64).view(np.uint64))
+        group = mix(ids[root].view(np.uint64) ^ salt).view(np.int64)
+        return pa.table({"group": group[many], "set_id": ids[many], "asks": asks[many]})
+
+    return narrow
+
+
 def _described(words: int):
-    """Per document id, set id and size; and once per task the sketch's counts."""
+    """Per document id, set id, size and histogram; and once per task the sketch's counts."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH_BUCKETS, np.int64)
         for batch in batches:
-            sets, sizes = [], []
+            sets, sizes, histograms = [], [], []
             for block in blocks(batch["_text"]):
                 rows, hashed = shingle_sets(block, words)
+                histograms += _histograms(rows, hashed, len(block))
                 sketch += np.bincount((hashed % u64(SKETCH_BUCKETS)).astype(np.int64), minlength=SKETCH_BUCKETS)
                 sets.append(_set_ids(rows, hashed, len(block)))
                 sizes.append(np.bincount(rows, minlength=len(block)))
             n = batch.num_rows
             if n:
                 sets, sizes = np.concatenate(sets).view(np.int64), np.concatenate(sizes).astype(np.int64)
-                columns = [one_array(batch["_id"]), pa.array(sets), pa.array(sizes), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "n_shingles", "bucket", "n"])
+                columns = [one_array(batch["_id"]), pa.array(sets), pa.array(sizes), pa.array(histograms, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, _DESCRIBED)
         some = np.flatnonzero(sketch)
         empty = pa.nulls(len(some), pa.int64())
-        columns = [empty, empty, empty, pa.array(some, pa.int32()), pa.array(sketch[some])]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "n_shingles", "bucket", "n"])
+        columns = [empty, empty, empty, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(sketch[some])]
+        yield pa.RecordBatch.from_arrays(columns, _DESCRIBED)
 
     return describe
 
@@ -200,10 +257,18 @@ def _searched(percent: int):
     return search
 
 
-def _search(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _search(buckets: DataFrame, docs: DataFrame, histograms: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
     """Links found in buckets (bucket, set_id, asks)."""
-    met = buckets.join(sets, "set_id")
-    return met.groupBy("bucket").applyInArrow(_searched(percent), "u long, v long")
+    met = buckets.join(histograms, "set_id")
+    groups = stored(met.groupBy("bucket").applyInArrow(_narrowed(percent), "group long, set_id long, asks boolean"))
+    marks = groups.groupBy("group").agg(
+        F.count(F.lit(1)).alias("k"), F.min("set_id").alias("a"), F.expr("bit_xor(xxhash64(set_id, asks))").alias("x"),
+    )
+    single = marks.groupBy("k", "a", "x").agg(F.min("group").alias("group")).select("group")
+    groups = stored(groups.join(single, "group"))
+    sets = _sets_of(docs, groups.select("set_id").distinct(), words, limit)
+    met = groups.join(sets, "set_id")
+    return stored(met.groupBy("group").applyInArrow(_searched(percent), "u long, v long"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, limit: int) -> DataFrame:
@@ -253,7 +318,7 @@ def similar_documents(
     """
     spark = docs.sparkSession
     docs = picked(docs, id_col, text_col)
-    made = "doc_id long, set_id long, n_shingles long, bucket int, n long"
+    made = "doc_id long, set_id long, n_shingles long, histogram binary, bucket int, n long"
     described = stored(docs.mapInArrow(_described(words), made))
     sketch = described.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SKETCH_BUCKETS, np.int64)
@@ -270,7 +335,10 @@ def similar_documents(
     )
     sums = sums.groupBy("k", "pivot", "x").agg(F.min("token").alias("token")).drop("x")
     lists = stored(lists.join(sums, "token"))
-    sets = stored(_sets_of(docs, lists.select("set_id").distinct(), words, limit))
+    histograms = described.filter("n_shingles > 0").groupBy("set_id").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("histogram").alias("histogram")
+    )
+    find = lambda buckets: _search(buckets, docs, histograms, words, percent, limit)
     long = lists.filter(F.col("k") > bucket_sets)
     part = lambda name: F.expr(f"pmod(xxhash64({name}), cast(ceil(k / {bucket_sets}) as bigint))")
     short = lists.filter(F.col("k") <= bucket_sets)
@@ -279,10 +347,10 @@ def similar_documents(
     members = long.select(F.struct("token", block, F.lit(-1).cast("bigint").alias("asker")).alias("bucket"), "set_id", F.lit(False).alias("asks"))
     heads = long.filter("set_id = pivot").select("token", "k", "set_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"cast(ceil(k / {bucket_sets}) as bigint) - 1"))).alias("block"))
     heads = heads.select(F.struct("token", "block", F.lit(-1).cast("bigint").alias("asker")).alias("bucket"), "set_id", F.lit(True).alias("asks"))
-    links = stored(_search(short.union(members).union(heads), sets, percent))
+    links = find(short.union(members).union(heads))
     roots = components(links)
     if not long.isEmpty():
-        links, roots = _search_rest(long, links, roots, sets, percent, bucket_sets)
+        links, roots = _search_rest(long, links, roots, find, bucket_sets)
     named = named.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = stored(named.withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id"))))
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -292,7 +360,7 @@ def similar_documents(
     )
 
 
-def _search_rest(long: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, size: int):
+def _search_rest(long: DataFrame, links: DataFrame, roots: DataFrame, find, size: int):
     """Search the sets of long lists that are not connected to their pivot against all of the list."""
     root_of = roots.withColumnRenamed("node", "set_id")
     placed = long.join(root_of, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -308,5 +376,5 @@ def _search_rest(long: DataFrame, links: DataFrame, roots: DataFrame, sets: Data
     steps = lambda n: F.explode(F.expr(f"sequence(0L, cast(ceil({n} / {size}) as bigint) - 1)"))
     asking = mine.withColumn("block", steps("k")).select(F.struct("token", "block", "asker").alias("bucket"), "set_id", F.lit(True).alias("asks"))
     asked = every.withColumn("asker", steps("m")).select(F.struct("token", "block", "asker").alias("bucket"), "set_id", F.lit(False).alias("asks"))
-    more = stored(links.union(_search(asking.union(asked), sets, percent)))
+    more = stored(links.union(find(asking.union(asked))))
     return more, components(more)
