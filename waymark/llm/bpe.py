@@ -118,7 +118,7 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     while queue:
         r = heapq.heappop(queue)
         lists = index.pop(r)
-        at = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+        at = np.unique(np.concatenate(lists) if len(lists) > 1 else lists[0])
         at = at[rank[at] == r]
         if not len(at):
             continue

@@ -32,6 +32,8 @@ SIMILARITY_PERCENT = 90
 SKETCH_BUCKETS = 1 << 18
 #: Most sets in one bucket of the search.
 BUCKET_SETS = 64
+#: Rows of buckets that one task narrows at once.
+_PART_ROWS = 50_000
 _DESCRIBED = ["doc_id", "set_id", "n_shingles", "histogram", "bucket", "n"]
 
 
@@ -85,43 +87,77 @@ def _histograms(rows: np.ndarray, hashed: np.ndarray, n: int) -> list[bytes]:
     return [counts[a:b].tobytes() for a, b in zip(base, ends, strict=True)]
 
 
-def may_link(sizes: np.ndarray, histograms: list[np.ndarray], query: int, percent: int) -> np.ndarray:
-    """Sets after ``query`` whose histograms do not rule out a link with it."""
-    others = np.arange(query + 1, len(sizes))
-    small, large = np.minimum(sizes[query], sizes[others]), np.maximum(sizes[query], sizes[others])
-    others = others[100 * small >= percent * large]
-    keep = []
-    for other in others.tolist():
-        a, b = histograms[query], histograms[other]
-        width = min(len(a), len(b))
-        distance = np.abs(a.reshape(width, -1).sum(axis=1) - b.reshape(width, -1).sum(axis=1)).sum()
-        if distance * (100 + percent) <= (sizes[query] + sizes[other]) * (100 - percent):
-            keep.append(other)
-    return np.array(keep, np.int64)
+def may_link(sizes: np.ndarray, histograms: list[np.ndarray], u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (u, v) of sets are not ruled out by their sizes and histograms."""
+    small, large = np.minimum(sizes[u], sizes[v]), np.maximum(sizes[u], sizes[v])
+    fits = np.flatnonzero(100 * small >= percent * large)
+    widths = np.array([len(h) for h in histograms])
+    out = np.zeros(len(u), bool)
+    shape = widths[u[fits]] * (1 << 20) + widths[v[fits]]
+    for kind in np.unique(shape):
+        pairs = fits[shape == kind]
+        width = int(min(kind >> 20, kind & ((1 << 20) - 1)))
+        for at in range(0, len(pairs), max(1, (1 << 20) // width)):
+            some = pairs[at : at + max(1, (1 << 20) // width)]
+            a, b = (
+                np.stack([histograms[i] for i in side[some]]).reshape(len(some), width, -1).sum(axis=2, dtype=np.int32)
+                for side in (u, v)
+            )
+            distance = np.abs(a - b).sum(axis=1, dtype=np.int64)
+            out[some] = distance * (100 + percent) <= (sizes[u[some]] + sizes[v[some]]) * (100 - percent)
+    return out
 
 
 def _narrowed(percent: int):
-    """Splits a bucket into groups that may link: group, set_id, asks."""
-
-    def narrow(bucket: pa.Table) -> pa.Table:
-        ids = one_array(bucket["set_id"]).to_numpy()
-        asks = one_array(bucket["asks"]).to_numpy(zero_copy_only=False)
-        order = np.lexsort((~asks, ids))
-        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
-        order = order[np.argsort(~asks[order], kind="stable")]
-        ids, asks = ids[order], asks[order]
-        sizes = one_array(bucket["n_shingles"]).to_numpy()[order]
-        histograms = [np.frombuffer(bucket["histogram"][int(i)].as_buffer(), np.uint8).astype(np.int32) for i in order]
-        root = np.arange(len(ids))
-        for query in range(int(asks.sum())):
-            for other in may_link(sizes, histograms, query, percent).tolist():
-                a, b = root[query], root[other]
-                if a != b:
-                    root[root == max(a, b)] = min(a, b)
-        many = np.bincount(root, minlength=len(root))[root] > 1
-        salt = mix(np.array([hash(tuple(bucket["bucket"][0].as_py().values()))], np.int64).view(np.uint64))
-        group = mix(ids[root].view(np.uint64) ^ salt).view(np.int64)
-        return pa.table({"group": group[many], "set_id": ids[many], "asks": asks[many]})
+    """Splits buckets into groups that may link two components: group, set_id, asks."""
+
+    def narrow(part: pa.Table) -> pa.Table:
+        bucket, ids, roots = (one_array(part[c]).to_numpy() for c in ("bucket", "set_id", "root"))
+        asks = one_array(part["asks"]).to_numpy(zero_copy_only=False)
+        # one row per bucket and set; those who ask come first
+        order = np.lexsort((~asks, ids, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = (bucket[order][1:] != bucket[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+        order = order[new]
+        order = order[np.lexsort((~asks[order], bucket[order]))]
+        bucket, ids, roots, asks = bucket[order], ids[order], roots[order], asks[order]
+        sizes = one_array(part["n_shingles"]).to_numpy()[order]
+        blobs = part["histogram"].take(pa.array(order)).to_pylist()
+        histograms = [np.frombuffer(b, np.uint8) for b in blobs]
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(edges[1:], len(bucket))
+        later = np.repeat(ends, ends - edges) - np.arange(len(bucket)) - 1
+        later[~asks] = 0
+        parent = np.arange(len(bucket))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        touched = np.zeros(len(bucket), bool)
+        upto = np.cumsum(later)
+        low = 0
+        while low < len(bucket):
+            # a slice of rows whose pairs fit into memory
+            base = upto[low] - later[low]
+            high = max(low + 1, int(np.searchsorted(upto, base + (1 << 20), "right")))
+            n = later[low:high]
+            u = np.repeat(np.arange(low, high), n)
+            v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
+            cross = roots[u] != roots[v]
+            u, v = u[cross], v[cross]
+            good = may_link(sizes, histograms, u, v, percent)
+            for a, b in zip(u[good].tolist(), v[good].tolist(), strict=True):
+                touched[a] = touched[b] = True
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+            low = high
+        some = np.flatnonzero(touched)
+        tops = np.array([root(i) for i in some.tolist()], np.int64)
+        group = mix(ids[tops].view(np.uint64) ^ mix(bucket[tops].view(np.uint64))).view(np.int64)
+        return pa.table({"group": pa.array(group, pa.int64()), "set_id": pa.array(ids[some], pa.int64()), "asks": pa.array(asks[some], pa.bool_())})
 
     return narrow
 
@@ -257,22 +293,31 @@ def _searched(percent: int):
     return search
 
 
-def _search(buckets: DataFrame, docs: DataFrame, histograms: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
-    """Links found in buckets (bucket, set_id, asks)."""
-    met = buckets.join(histograms, "set_id")
-    groups = stored(met.groupBy("bucket").applyInArrow(_narrowed(percent), "group long, set_id long, asks boolean"))
+def _search(buckets: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
+    """Links found in buckets (bucket, set_id, asks) between sets of different roots.
+
+    ``known`` has set_id, root, n_shingles, histogram and doc_id of every set.
+    """
+    met = stored(buckets.select(F.xxhash64("bucket").alias("bucket"), "set_id", "asks").distinct())
+    parts = -(-met.count() // _PART_ROWS) or 1
+    met = met.join(known.drop("doc_id"), "set_id").withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(parts)))
+    groups = stored(met.groupBy("part").applyInArrow(_narrowed(percent), "group long, set_id long, asks boolean"))
     marks = groups.groupBy("group").agg(
         F.count(F.lit(1)).alias("k"), F.min("set_id").alias("a"), F.expr("bit_xor(xxhash64(set_id, asks))").alias("x"),
     )
     single = marks.groupBy("k", "a", "x").agg(F.min("group").alias("group")).select("group")
     groups = stored(groups.join(single, "group"))
-    sets = _sets_of(docs, groups.select("set_id").distinct(), words, limit)
+    wanted = stored(groups.select("set_id").distinct().join(known.select("set_id", "doc_id"), "set_id"))
+    sets = _sets_of(docs, wanted, words, limit)
     met = groups.join(sets, "set_id")
     return stored(met.groupBy("group").applyInArrow(_searched(percent), "u long, v long"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, limit: int) -> DataFrame:
-    """Whole sets of the wanted set ids: set_id, shingles (sorted hashes)."""
+    """Whole sets of the wanted sets (set_id, doc_id): set_id, shingles (sorted hashes)."""
+    size, unnamed = wanted.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    if not unnamed and 8 * size <= limit:
+        docs = docs.join(F.broadcast(wanted.select(F.col("doc_id").alias("_id"))), "_id", "left_semi")
     index, shards = sorted_arrays(wanted.select(F.col("set_id").alias("key"), F.lit(1.0).alias("value")))
 
     def keys_of(table: pa.Table) -> np.ndarray:
@@ -299,6 +344,45 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, limit: int) -> Data
     return found.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
+def _number(name: str, n: str, size: int):
+    """A block for each set, of about ``size`` sets out of ``n``."""
+    return F.expr(f"pmod(xxhash64(set_id), cast(ceil({n} / {size}) as bigint))").alias(name)
+
+
+def _every(name: str, n: str, size: int):
+    return F.explode(F.expr(f"sequence(0L, cast(ceil({n} / {size}) as bigint) - 1)")).alias(name)
+
+
+def _buckets(lists: DataFrame, size: int) -> DataFrame:
+    """Short lists as buckets where all ask; longer ones in blocks where only the pivot asks."""
+    bucket = F.struct("token", "block").alias("bucket")
+    block = F.when(F.col("k") <= size, F.lit(0).cast("bigint")).otherwise(_number("block", "k", size)).alias("block")
+    members = lists.select("token", block, "set_id", (F.col("k") <= size).alias("asks"))
+    heads = lists.filter((F.col("k") > size) & (F.col("set_id") == F.col("pivot")))
+    heads = heads.select("token", _every("block", "k", size), "set_id", F.lit(True).alias("asks"))
+    return members.union(heads).select(bucket, "set_id", "asks")
+
+
+def _rest(lists: DataFrame, size: int) -> DataFrame:
+    """Buckets for the lists (token, set_id, k, pivot, root) with several roots.
+
+    On a list longer than a bucket, sets apart from the pivot's component ask all others.
+    """
+    mixed = lists.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+    lists = stored(lists.join(mixed.select("token"), "token"))
+    main = lists.filter("set_id = pivot").select("token", F.col("root").alias("main"))
+    lists = lists.join(main, "token").withColumn("apart", (F.col("k") <= size) | (F.col("root") != F.col("main")))
+    counts = lists.filter("apart").groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    lists = stored(lists.join(counts, "token"))
+    bucket = F.struct("token", "block", "asker").alias("bucket")
+    asking = lists.filter("apart").select("token", _every("block", "k", size), _number("asker", "m", size), "set_id", F.lit(True).alias("asks"))
+    asked = lists.filter("not apart").select("token", _number("block", "k", size), _every("asker", "m", size), "set_id", F.lit(False).alias("asks"))
+    # sets apart also meet each other: as askers of one block and as asked of every block
+    among = lists.filter((F.col("k") > size) & F.col("apart"))
+    among = among.select("token", _number("block", "k", size), _every("asker", "m", size), "set_id", F.lit(False).alias("asks"))
+    return asking.union(asked).union(among).select(bucket, "set_id", "asks")
+
+
 def similar_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -328,29 +412,32 @@ def similar_documents(
     index = docs.select("_text").mapInArrow(_indexed(words, percent, held), "token long, set_id long, size int")
     index = stored(index)
     shared = index.groupBy("token").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a < b")
-    lists = stored(index.join(shared.select("token"), "token").distinct())
-    # of tokens with equal lists, one is enough
+    lists = index.join(shared.select("token"), "token").distinct()
+    # two sets of too different sizes are no list; of tokens with equal lists, one is enough
     sums = lists.groupBy("token").agg(
         F.count(F.lit(1)).alias("k"), F.min("set_id").alias("pivot"), F.expr("bit_xor(xxhash64(set_id))").alias("x"),
+        F.min("size").alias("low"), F.max("size").alias("high"),
     )
+    sums = sums.filter(f"k > 2 or 100 * low >= {percent} * high")
     sums = sums.groupBy("k", "pivot", "x").agg(F.min("token").alias("token")).drop("x")
     lists = stored(lists.join(sums, "token"))
-    histograms = described.filter("n_shingles > 0").groupBy("set_id").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("histogram").alias("histogram")
+    known = described.filter("n_shingles > 0").groupBy("set_id").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("histogram").alias("histogram"), F.min("doc_id").alias("doc_id")
     )
-    find = lambda buckets: _search(buckets, docs, histograms, words, percent, limit)
-    long = lists.filter(F.col("k") > bucket_sets)
-    part = lambda name: F.expr(f"pmod(xxhash64({name}), cast(ceil(k / {bucket_sets}) as bigint))")
-    short = lists.filter(F.col("k") <= bucket_sets)
-    short = short.select(F.struct("token", F.lit(0).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("asker")).alias("bucket"), "set_id", F.lit(True).alias("asks"))
-    block = part("set_id").alias("block")
-    members = long.select(F.struct("token", block, F.lit(-1).cast("bigint").alias("asker")).alias("bucket"), "set_id", F.lit(False).alias("asks"))
-    heads = long.filter("set_id = pivot").select("token", "k", "set_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"cast(ceil(k / {bucket_sets}) as bigint) - 1"))).alias("block"))
-    heads = heads.select(F.struct("token", "block", F.lit(-1).cast("bigint").alias("asker")).alias("bucket"), "set_id", F.lit(True).alias("asks"))
-    links = find(short.union(members).union(heads))
+    known = stored(known.join(lists.select("set_id").distinct(), "set_id", "left_semi"))
+    # first each set on one of its lists, the same for sets that share their least token
+    own = lists.groupBy("set_id").agg(F.min("token").alias("token"))
+    own = lists.join(own, ["set_id", "token"]).select("set_id", "token")
+    again = own.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("set_id").alias("pivot"))
+    first = _buckets(stored(own.join(again.filter("k > 1"), "token")), bucket_sets)
+    links = _search(first, docs, known.withColumn("root", F.col("set_id")), words, percent, limit)
+    roots = components(links)
+    # then all lists on which more than one component is left
+    known = known.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    known = stored(known.withColumn("root", F.coalesce("root", "set_id")))
+    rest = _rest(lists.join(known.select("set_id", "root"), "set_id"), bucket_sets)
+    links = stored(links.union(_search(rest, docs, known, words, percent, limit)))
     roots = components(links)
-    if not long.isEmpty():
-        links, roots = _search_rest(long, links, roots, find, bucket_sets)
     named = named.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = stored(named.withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id"))))
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -360,21 +447,3 @@ def similar_documents(
     )
 
 
-def _search_rest(long: DataFrame, links: DataFrame, roots: DataFrame, find, size: int):
-    """Search the sets of long lists that are not connected to their pivot against all of the list."""
-    root_of = roots.withColumnRenamed("node", "set_id")
-    placed = long.join(root_of, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    pivots = placed.filter("set_id = pivot").select("token", F.col("root").alias("main"))
-    placed = stored(placed.join(pivots, "token").withColumn("apart", F.col("root") != F.col("main")))
-    apart = placed.filter("apart")
-    if apart.isEmpty():
-        return links, roots
-    number = lambda n: F.expr(f"pmod(xxhash64(set_id), cast(ceil({n} / {size}) as bigint))")
-    askers = apart.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    mine = apart.join(askers, "token").withColumn("asker", number("m"))
-    every = placed.join(askers, "token").withColumn("block", number("k"))
-    steps = lambda n: F.explode(F.expr(f"sequence(0L, cast(ceil({n} / {size}) as bigint) - 1)"))
-    asking = mine.withColumn("block", steps("k")).select(F.struct("token", "block", "asker").alias("bucket"), "set_id", F.lit(True).alias("asks"))
-    asked = every.withColumn("asker", steps("m")).select(F.struct("token", "block", "asker").alias("bucket"), "set_id", F.lit(False).alias("asks"))
-    more = stored(links.union(find(asking.union(asked))))
-    return more, components(more)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.bpe import encoded
+from waymark.llm.bwt import drop_repeated_bytes
 from waymark.llm.decontaminate import leaks
 from waymark.llm.jaccard import similar_documents
 from waymark.llm.kneser_ney import quality
@@ -33,10 +34,14 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op7_ngram_jaccard, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op7_ngram_jaccard, op8_suffix_dedup, op10_byte_bpe)
 }
