@@ -84,7 +84,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, rows = grams(block), np.repeat(np.arange(len(block)), np.diff(block.offsets))
             for name in set(names):
                 mine = found[np.array([x == name for x in names])[rows]]
-                keys, n = counted(mine, np.ones(len(mine), np.int64))
+                keys, n = np.unique(mine, return_counts=True)
                 if name in held:
                     old = held[name]
                     keys, n = counted(np.concatenate([old[0], keys]), np.concatenate([old[1], n]))
@@ -194,8 +194,8 @@ def _features(table: pa.Table, find) -> pa.Table:
     parts: list[dict] = []
     for block in blocks(table["_text"]):
         rows, _, keys = _keys(block, languages)
-        distinct, back = np.unique(keys, return_inverse=True)
-        logs = find(distinct[:, None])[back]
+        distinct = np.unique(keys)
+        logs = find(distinct[:, None])[np.searchsorted(distinct, keys)]
         size = np.diff(block.offsets)
         bits = -totals(rows, len(block), logs) / np.maximum(size, 1)
         parts.append(features(block) | {"n_bytes": size, "bits": np.where(size > 0, bits, np.nan)})

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.bpe import encoded
 from waymark.llm.bwt import drop_repeated_bytes
+from waymark.llm.context_tree import scores
 from waymark.llm.decontaminate import leaks
 from waymark.llm.jaccard import similar_documents
 from waymark.llm.kneser_ney import quality
+from waymark.llm.licenses import licenses
 from waymark.llm.line_dedup import drop_shared_lines
+from waymark.llm.secrets import secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +58,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op7_ngram_jaccard, op8_suffix_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_context_tree, op7_ngram_jaccard, op8_suffix_dedup, op10_byte_bpe)
 }

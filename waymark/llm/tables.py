@@ -63,12 +63,12 @@ def schema(*pairs: str, rows: DataFrame | None = None) -> T.StructType:
     return T.StructType(made.fields + (row_fields(rows) if rows is not None else []))
 
 
-def chunked(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The frame dealt by a hash of id and text into groups ``_chunk`` of bounded size."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(2 * parts, -(-size // CHUNK_BYTES))
+    chunks = max(2 * parts, -(-size // chunk_bytes))
     chunk = F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)).cast("int")
     return docs.withColumn("_chunk", chunk).repartition(max(parts, chunks // 3), "_chunk")
 
@@ -148,6 +148,7 @@ def probed(
     result: T.StructType,
     width: int = 1,
     limit: int = BROADCAST_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Work through ``docs`` with answers from sharded arrays.
 
@@ -175,7 +176,7 @@ def probed(
 
         return docs.mapInArrow(direct, result)
 
-    chunks = chunked(docs)
+    chunks = chunked(docs, chunk_bytes)
 
     def ask(group: pa.Table) -> pa.Table:
         keys = distinct_rows(keys_of(group))
