@@ -15,6 +15,7 @@ from waymark.llm.kneser_ney import quality
 from waymark.llm.licenses import licenses
 from waymark.llm.line_dedup import drop_shared_lines
 from waymark.llm.secrets import secrets
+from waymark.llm.surrogates import pseudonymised
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +54,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(_table(spark, sf_dir, "documents"), b"surrogates of the query")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_context_tree, op7_ngram_jaccard, op8_suffix_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_context_tree, op7_ngram_jaccard, op8_suffix_dedup, op9_pii_surrogates, op10_byte_bpe)
 }
