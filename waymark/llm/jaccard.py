@@ -34,6 +34,8 @@ SKETCH_BUCKETS = 1 << 18
 BUCKET_SETS = 64
 #: Rows of buckets that one task narrows at once.
 _PART_ROWS = 50_000
+#: Bytes of text scanned at once: arrays that fit into the processor's cache.
+_SCAN_BYTES = 1 << 18
 _DESCRIBED = ["doc_id", "set_id", "n_shingles", "histogram", "bucket", "n"]
 
 
@@ -77,14 +79,21 @@ def _set_ids(rows: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
 
 
 def _histograms(rows: np.ndarray, hashed: np.ndarray, n: int) -> list[bytes]:
-    """For each set, counts of hashes in a power of two of equal ranges, about an eighth of its size."""
+    """For each set, counts of hashes in a power of two of equal ranges, as many as its size.
+
+    A count takes two bits and ends at three: that can only bring two histograms closer.
+    """
     sizes = np.bincount(rows, minlength=n)
-    bits = np.clip(np.log2(np.maximum(sizes, 1)).astype(np.int64) - 3, 4, 16)
+    bits = np.clip(np.log2(np.maximum(sizes, 1)).astype(np.int64), 4, 18)
     ends = np.cumsum(1 << bits)
     base = ends - (1 << bits)
-    counts = np.bincount(base[rows] + (hashed >> (u64(64) - bits[rows].astype(np.uint64))).astype(np.int64), minlength=ends[-1] if n else 0)
-    counts = np.minimum(counts, 255).astype(np.uint8)
-    return [counts[a:b].tobytes() for a, b in zip(base, ends, strict=True)]
+    at = base[rows] + (hashed >> (u64(64) - bits[rows].astype(np.uint64))).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=ends[-1] if n else 0), 3)
+    packed = (counts.reshape(-1, 4) << np.array([0, 2, 4, 6])).sum(axis=1).astype(np.uint8).tobytes()
+    return [packed[a // 4 : b // 4] for a, b in zip(base.tolist(), ends.tolist(), strict=True)]
+
+
+_UNPACKED = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int8)
 
 
 def may_link(sizes: np.ndarray, histograms: list[np.ndarray], u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
@@ -99,10 +108,9 @@ def may_link(sizes: np.ndarray, histograms: list[np.ndarray], u: np.ndarray, v:
         width = int(min(kind >> 20, kind & ((1 << 20) - 1)))
         for at in range(0, len(pairs), max(1, (1 << 20) // width)):
             some = pairs[at : at + max(1, (1 << 20) // width)]
-            a, b = (
-                np.stack([histograms[i] for i in side[some]]).reshape(len(some), width, -1).sum(axis=2, dtype=np.int32)
-                for side in (u, v)
-            )
+            a, b = (np.stack([histograms[i] for i in side[some]]) for side in (u, v))
+            if a.shape != b.shape:
+                a, b = (x.reshape(len(some), width, -1).sum(axis=2, dtype=np.int16) for x in (a, b))
             distance = np.abs(a - b).sum(axis=1, dtype=np.int64)
             out[some] = distance * (100 + percent) <= (sizes[u[some]] + sizes[v[some]]) * (100 - percent)
     return out
@@ -123,7 +131,7 @@ def _narrowed(percent: int):
         bucket, ids, roots, asks = bucket[order], ids[order], roots[order], asks[order]
         sizes = one_array(part["n_shingles"]).to_numpy()[order]
         blobs = part["histogram"].take(pa.array(order)).to_pylist()
-        histograms = [np.frombuffer(b, np.uint8) for b in blobs]
+        histograms = [_UNPACKED[np.frombuffer(b, np.uint8)].ravel() for b in blobs]
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = np.append(edges[1:], len(bucket))
         later = np.repeat(ends, ends - edges) - np.arange(len(bucket)) - 1
@@ -169,10 +177,10 @@ def _described(words: int):
         sketch = np.zeros(SKETCH_BUCKETS, np.int64)
         for batch in batches:
             sets, sizes, histograms = [], [], []
-            for block in blocks(batch["_text"]):
+            for block in blocks(batch["_text"], _SCAN_BYTES):
                 rows, hashed = shingle_sets(block, words)
                 histograms += _histograms(rows, hashed, len(block))
-                sketch += np.bincount((hashed % u64(SKETCH_BUCKETS)).astype(np.int64), minlength=SKETCH_BUCKETS)
+                np.add.at(sketch, (hashed % u64(SKETCH_BUCKETS)).astype(np.int64), 1)
                 sets.append(_set_ids(rows, hashed, len(block)))
                 sizes.append(np.bincount(rows, minlength=len(block)))
             n = batch.num_rows
@@ -195,7 +203,7 @@ def _indexed(words: int, percent: int, sketch):
         counts = sketch.value
         for batch in batches:
             seen: set[int] = set()
-            for block in blocks(batch["_text"]):
+            for block in blocks(batch["_text"], _SCAN_BYTES):
                 rows, hashed = shingle_sets(block, words)
                 ids = _set_ids(rows, hashed, len(block))
                 new = np.zeros(len(block), bool)
@@ -321,13 +329,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, limit: int) -> Data
     index, shards = sorted_arrays(wanted.select(F.col("set_id").alias("key"), F.lit(1.0).alias("value")))
 
     def keys_of(table: pa.Table) -> np.ndarray:
-        found = [_set_ids(*shingle_sets(b, words), len(b)) for b in blocks(table["_text"])]
+        found = [_set_ids(*shingle_sets(b, words), len(b)) for b in blocks(table["_text"], _SCAN_BYTES)]
         return np.concatenate(found or [np.zeros(0, np.uint64)])[:, None]
 
     def finish(table: pa.Table, find) -> pa.Table:
         done: set[int] = set()
         ids, blobs = [], []
-        for block in blocks(table["_text"]):
+        for block in blocks(table["_text"], _SCAN_BYTES):
             rows, hashed = shingle_sets(block, words)
             names = _set_ids(rows, hashed, len(block))
             edges = np.searchsorted(rows, np.arange(len(block) + 1))

@@ -24,6 +24,8 @@ from waymark.llm.tables import (
 MIN_CHARS = 20
 MIN_DOCS = 3
 _LEVELS = 40
+#: Bytes of text scanned at once: arrays that fit into the processor's cache.
+_SCAN_BYTES = 1 << 18
 _MISSING = np.int64(-(2**63))
 
 
@@ -48,7 +50,7 @@ def _count(min_chars: int):
         for batch in batches:
             parts = []
             ids = one_array(batch["_id"])
-            for block in blocks(batch["_text"]):
+            for block in blocks(batch["_text"], _SCAN_BYTES):
                 _, _, rows, some, hashes = keyed_lines(block, min_chars)
                 salted = mix(hashes[:, 1] ^ mix(rows[some].astype(np.uint64) + u64(1)))
                 _, once = np.unique(salted, return_index=True)
@@ -148,7 +150,7 @@ def _cleaned(min_chars: int):
     def clean(table: pa.Table, find) -> pa.Table:
         ids = one_array(table["_id"]).fill_null(int(_MISSING) + 1).to_numpy()
         n_lines, n_dropped, texts = [], [], []
-        for block in blocks(table["_text"]):
+        for block in blocks(table["_text"], _SCAN_BYTES):
             starts, ends, rows, some, hashes = keyed_lines(block, min_chars)
             owner = find(hashes)
             drop = np.zeros(len(starts), bool)
@@ -204,7 +206,7 @@ def drop_shared_lines(
     index, shards = line_index(docs, min_chars, min_docs)
 
     def keys_of(table: pa.Table) -> np.ndarray:
-        found = [keyed_lines(block, min_chars)[4] for block in blocks(table["_text"])]
+        found = [keyed_lines(block, min_chars)[4] for block in blocks(table["_text"], _SCAN_BYTES)]
         return np.concatenate(found or [np.zeros((0, 2), np.uint64)])
 
     made = schema(
