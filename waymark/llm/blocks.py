@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes handled at once, unless one text alone is longer.
 BLOCK_BYTES = 2 << 20
+#: Values moved at once.
+_GATHERED = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -140,8 +142,16 @@ def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Itera
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pieces of ``values`` from each start, put one after the other."""
     ends = np.cumsum(lengths)
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return values[shift + np.arange(len(shift))]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    at = 0
+    while at < len(ends):
+        # some pieces at once: place numbers need eight bytes each
+        base = int(ends[at] - lengths[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + _GATHERED, "right")))
+        shift = np.repeat(starts[at:to] - (ends[at:to] - lengths[at:to]), lengths[at:to])
+        out[base : int(ends[to - 1])] = values[shift + np.arange(base, int(ends[to - 1]))]
+        at = to
+    return out
 
 
 def totals(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:

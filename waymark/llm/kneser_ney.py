@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.blocks import Block, blocks, counted, mix, one_array, totals, u64, whole
+from waymark.llm.blocks import Block, blocks, counted, mix, one_array, totals, u64
 from waymark.llm.tables import BROADCAST_BYTES, picked, probe_sorted, probed, schema, sorted_arrays, stored
 
 ORDER = 5
@@ -32,6 +32,8 @@ BIN = 0.001
 MAX_LANGUAGES = 10_000
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _WINDOW = 8
+#: Bytes of text looked at together: arrays that fit into the processor's cache.
+_SCAN_BYTES = 1 << 18
 _FLUSH = 2_000_000
 _DISCOUNTS = ("d1", "d2", "d3")
 
@@ -185,14 +187,14 @@ def features(block: Block) -> dict[str, np.ndarray]:
 
 def _gram_keys(table: pa.Table) -> np.ndarray:
     languages = table["_lang"].to_pylist()
-    found = [np.unique(_keys(block, languages)[2]) for block in blocks(table["_text"])]
+    found = [np.unique(_keys(block, languages)[2]) for block in blocks(table["_text"], _SCAN_BYTES)]
     return np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]))[:, None]
 
 
 def _features(table: pa.Table, find) -> pa.Table:
     languages = table["_lang"].to_pylist()
     parts: list[dict] = []
-    for block in blocks(table["_text"]):
+    for block in blocks(table["_text"], _SCAN_BYTES):
         rows, _, keys = _keys(block, languages)
         distinct = np.unique(keys)
         logs = find(distinct[:, None])[np.searchsorted(distinct, keys)]
