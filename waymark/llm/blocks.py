@@ -154,6 +154,24 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
+def places(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands among ``distinct``, sorted 64-bit hashes that hold all keys.
+
+    Hashes spread evenly, so a table over their upper bits leads next to the place.
+    """
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    bits = len(distinct).bit_length() + 1
+    shift = u64(64 - bits)
+    table = np.searchsorted(distinct >> shift, np.arange(1 << bits, dtype=np.uint64))
+    at = table[(keys >> shift).astype(np.int64)]
+    rest = np.flatnonzero(distinct[at] != keys)
+    while len(rest):
+        at[rest] += 1
+        rest = rest[distinct[at[rest]] != keys[rest]]
+    return at
+
+
 def totals(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Sum of weights (or count) per row number."""
     out = np.bincount(rows, weights, n)

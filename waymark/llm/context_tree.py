@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.blocks import Block, blocks, counted, mix, one_array, totals, u64
+from waymark.llm.blocks import Block, blocks, counted, mix, one_array, places, totals, u64
 from waymark.llm.tables import picked, probe_sorted, probed, schema, sorted_arrays, stored
 
 DEPTH = 4
@@ -55,19 +55,17 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(depth: int):
-    """Partial counts over a task: kind, item (word hash or n-gram), key, n (in training texts)."""
+    """Partial counts over a task: kind, item (word hash or n-gram), n (in training texts)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[np.zeros(0, np.uint64), np.zeros(0, np.int64)] for _ in range(2)]
 
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, (items, n) in enumerate(held):
-                keys = items if kind == _WORD else _gram_keys(items)
                 yield pa.record_batch(
                     {
                         "kind": pa.array(np.full(len(items), kind, np.int32)),
                         "item": pa.array(items.view(np.int64)),
-                        "key": pa.array(keys.view(np.int64)),
                         "n": pa.array(n, pa.int64()),
                     }
                 )
@@ -152,6 +150,12 @@ def probabilities(counts: DataFrame, depth: int) -> DataFrame:
     return told.groupBy("item").agg(F.sum(F.log10(chosen)).alias("value"))
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = _gram_keys(batch["item"].to_numpy(zero_copy_only=False).view(np.uint64))
+        yield pa.record_batch({"key": pa.array(keys.view(np.int64)), "value": batch["value"]})
+
+
 def _keys_of(depth: int):
     def keys_of(table: pa.Table) -> np.ndarray:
         found = [np.zeros(0, np.uint64)]
@@ -173,11 +177,11 @@ def _scored(depth: int, train_tokens: int, base: float, end: float, known_end: i
             block, n = block.lowered(), len(block)
             words, rows = _words(block)
             distinct = np.unique(words)
-            values = find(distinct[:, None])[np.searchsorted(distinct, words)]
+            values = find(distinct[:, None])[places(distinct, words)]
             known = ~np.isnan(values)
-            found = grams(block, depth)
-            items = np.unique(found)
-            logs = find(_gram_keys(items)[:, None])[np.searchsorted(items, found)]
+            keys = _gram_keys(grams(block, depth))
+            distinct = np.unique(keys)
+            logs = find(distinct[:, None])[places(distinct, keys)]
             at = np.repeat(np.arange(n), np.diff(block.offsets))
             columns["n_tokens"].append(totals(rows, n) + 1)
             columns["n_known"].append(totals(rows[known], n) + known_end)
@@ -218,17 +222,16 @@ def scores(
     docs = picked(docs, id_col, text_col)
     fold = F.crc32(F.col("_id").cast("string")) % folds == held_fold
     docs = docs.withColumn("_held", F.coalesce(fold, F.lit(False)))
-    partial = docs.select("_text", "_held").mapInArrow(_count(depth), "kind int, item long, key long, n long")
-    counts = stored(partial.groupBy("kind", "item", "key").agg(F.sum("n").alias("n")))
+    partial = docs.select("_text", "_held").mapInArrow(_count(depth), "kind int, item long, n long")
+    counts = stored(partial.groupBy("kind", "item").agg(F.sum("n").alias("n")))
     words = counts.filter(f"kind = {_WORD}")
     ends = docs.agg(F.count_if(~F.col("_held"))).first()[0]
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     train_tokens, distinct = total + ends, distinct + (ends > 0)
     share = train_tokens + 0.5 * (distinct + 1)
-    known = words.select("key", F.log10((F.col("n") + 0.5) / share).alias("value"))
+    known = words.select(F.col("item").alias("key"), F.log10((F.col("n") + 0.5) / share).alias("value"))
     trees = probabilities(counts.filter(f"kind = {_GRAM}"), depth)
-    told = trees.join(counts.filter(f"kind = {_GRAM}").select("item", "key"), "item").select("key", "value")
-    index, shards = sorted_arrays(stored(known.union(told)))
+    index, shards = sorted_arrays(stored(known.union(trees.mapInArrow(_keyed, "key long, value double"))))
     made = schema(
         "doc_id bigint", "held_out boolean", "n_tokens bigint", "n_known bigint", "base_score double",
         "score double", "train_tokens bigint", "n_bytes bigint",

@@ -9,7 +9,7 @@
 4. Each group gets its whole sets. A T-occurrence search with DivideSkip finds the links:
    occurrences on short lists are merged, long lists are probed by binary search for
    candidates only.
-5. A list longer than a bucket is searched from one pivot first, in blocks. Sets not
+5. A longer list is searched from one pivot first, in blocks of bounded size. Sets not
    connected to the pivot afterwards are searched against all of the list, in blocks.
 """
 
@@ -30,8 +30,12 @@ WORDS = 3
 SIMILARITY_PERCENT = 90
 #: Buckets of the frequency sketch: 2 MB of counts, whatever the input.
 SKETCH_BUCKETS = 1 << 18
-#: Most sets in one bucket of the search.
+#: Longest list on which all sets search all others at once.
 BUCKET_SETS = 64
+#: Sets and shingles in one block of a longer list. Two blocks meet in a bucket, so larger
+#: blocks repeat fewer rows.
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 1 << 20
 #: Rows of buckets that one task narrows at once.
 _PART_ROWS = 50_000
 #: Bytes of text scanned at once: arrays that fit into the processor's cache.
@@ -232,10 +236,11 @@ def _indexed(words: int, percent: int, sketch):
 def divide_skip(query: int, sets: list[np.ndarray], index: tuple, percent: int) -> np.ndarray:
     """Numbers of the sets after ``query`` in a bucket that link with it.
 
-    ``index`` has the bucket's distinct shingles, where each one's list starts, the lists
-    (numbers of sets, ascending) one after the other, and the same as (shingle, set) keys.
+    ``index`` has the sizes of the sets, the bucket's distinct shingles, where each one's list
+    starts, the lists (numbers of sets, ascending) one after the other, and the same as
+    (shingle, set) keys.
     """
-    tokens, starts, members, keys = index
+    sizes, tokens, starts, members, keys = index
     mine = sets[query]
     lists = np.searchsorted(tokens, mine)
     low, high = starts[lists], starts[lists + 1]
@@ -247,7 +252,6 @@ def divide_skip(query: int, sets: list[np.ndarray], index: tuple, percent: int)
     lengths = high[short] - low[short]
     at = np.repeat(low[short] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
     found = np.bincount(members[at], minlength=len(sets))
-    sizes = np.array([len(x) for x in sets])
     candidates = np.flatnonzero(found >= least - aside)
     candidates = candidates[candidates > query]
     if not len(candidates):
@@ -274,7 +278,7 @@ def bucket_links(ids: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], perc
     tokens, starts = np.unique(every[by], return_index=True)
     starts, members = np.append(starts, len(every)), owner[by]
     keys = np.repeat(np.arange(len(tokens)), np.diff(starts)) * len(sets) + members
-    index = tokens, starts, members, keys
+    index = sizes, tokens, starts, members, keys
     root = np.arange(len(sets))
     u, v = [], []
     for query in range(n_asks):
@@ -352,27 +356,33 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, limit: int) -> Data
     return found.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
-def _number(name: str, n: str, size: int):
-    """A block for each set, of about ``size`` sets out of ``n``."""
-    return F.expr(f"pmod(xxhash64(set_id), cast(ceil({n} / {size}) as bigint))").alias(name)
+def _blocks(n: str, mass: str, block_sets: int) -> str:
+    """How many blocks hold ``n`` sets with ``mass`` shingles altogether, as SQL."""
+    return f"cast(ceil(greatest({n} / {block_sets}, {mass} / {BLOCK_SHINGLES})) as bigint)"
+
+
+def _number(name: str, n: str):
+    """The block of a set, out of ``n``."""
+    return F.expr(f"pmod(xxhash64(set_id), {n})").alias(name)
 
 
-def _every(name: str, n: str, size: int):
-    return F.explode(F.expr(f"sequence(0L, cast(ceil({n} / {size}) as bigint) - 1)")).alias(name)
+def _every(name: str, n: str):
+    return F.explode(F.expr(f"sequence(0L, {n} - 1)")).alias(name)
 
 
-def _buckets(lists: DataFrame, size: int) -> DataFrame:
+def _buckets(lists: DataFrame, size: int, block_sets: int) -> DataFrame:
     """Short lists as buckets where all ask; longer ones in blocks where only the pivot asks."""
     bucket = F.struct("token", "block").alias("bucket")
-    block = F.when(F.col("k") <= size, F.lit(0).cast("bigint")).otherwise(_number("block", "k", size)).alias("block")
+    n = _blocks("k", "mass", block_sets)
+    block = F.when(F.col("k") <= size, F.lit(0).cast("bigint")).otherwise(_number("block", n)).alias("block")
     members = lists.select("token", block, "set_id", (F.col("k") <= size).alias("asks"))
     heads = lists.filter((F.col("k") > size) & (F.col("set_id") == F.col("pivot")))
-    heads = heads.select("token", _every("block", "k", size), "set_id", F.lit(True).alias("asks"))
+    heads = heads.select("token", _every("block", n), "set_id", F.lit(True).alias("asks"))
     return members.union(heads).select(bucket, "set_id", "asks")
 
 
-def _rest(lists: DataFrame, size: int) -> DataFrame:
-    """Buckets for the lists (token, set_id, k, pivot, root) with several roots.
+def _rest(lists: DataFrame, size: int, block_sets: int) -> DataFrame:
+    """Buckets for the lists (token, set_id, size, k, mass, pivot, root) with several roots.
 
     On a list longer than a bucket, sets apart from the pivot's component ask all others.
     """
@@ -380,14 +390,16 @@ def _rest(lists: DataFrame, size: int) -> DataFrame:
     lists = stored(lists.join(mixed.select("token"), "token"))
     main = lists.filter("set_id = pivot").select("token", F.col("root").alias("main"))
     lists = lists.join(main, "token").withColumn("apart", (F.col("k") <= size) | (F.col("root") != F.col("main")))
-    counts = lists.filter("apart").groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    counts = lists.filter("apart").groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("m_mass"))
     lists = stored(lists.join(counts, "token"))
     bucket = F.struct("token", "block", "asker").alias("bucket")
-    asking = lists.filter("apart").select("token", _every("block", "k", size), _number("asker", "m", size), "set_id", F.lit(True).alias("asks"))
-    asked = lists.filter("not apart").select("token", _number("block", "k", size), _every("asker", "m", size), "set_id", F.lit(False).alias("asks"))
+    n = f"if(k <= {size}, 1L, {_blocks('k', 'mass', block_sets)})"
+    m = f"if(k <= {size}, 1L, {_blocks('m', 'm_mass', block_sets)})"
+    asking = lists.filter("apart").select("token", _every("block", n), _number("asker", m), "set_id", F.lit(True).alias("asks"))
+    asked = lists.filter("not apart").select("token", _number("block", n), _every("asker", m), "set_id", F.lit(False).alias("asks"))
     # sets apart also meet each other: as askers of one block and as asked of every block
     among = lists.filter((F.col("k") > size) & F.col("apart"))
-    among = among.select("token", _number("block", "k", size), _every("asker", "m", size), "set_id", F.lit(False).alias("asks"))
+    among = among.select("token", _number("block", n), _every("asker", m), "set_id", F.lit(False).alias("asks"))
     return asking.union(asked).union(among).select(bucket, "set_id", "asks")
 
 
@@ -398,6 +410,7 @@ def similar_documents(
     words: int = WORDS,
     percent: int = SIMILARITY_PERCENT,
     bucket_sets: int = BUCKET_SETS,
+    block_sets: int = BLOCK_SETS,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Size of every document's shingle set and the component it belongs to.
@@ -424,10 +437,10 @@ def similar_documents(
     # two sets of too different sizes are no list; of tokens with equal lists, one is enough
     sums = lists.groupBy("token").agg(
         F.count(F.lit(1)).alias("k"), F.min("set_id").alias("pivot"), F.expr("bit_xor(xxhash64(set_id))").alias("x"),
-        F.min("size").alias("low"), F.max("size").alias("high"),
+        F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("mass"),
     )
     sums = sums.filter(f"k > 2 or 100 * low >= {percent} * high")
-    sums = sums.groupBy("k", "pivot", "x").agg(F.min("token").alias("token")).drop("x")
+    sums = sums.groupBy("k", "pivot", "x", "mass").agg(F.min("token").alias("token")).drop("x")
     lists = stored(lists.join(sums, "token"))
     known = described.filter("n_shingles > 0").groupBy("set_id").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("histogram").alias("histogram"), F.min("doc_id").alias("doc_id")
@@ -435,15 +448,15 @@ def similar_documents(
     known = stored(known.join(lists.select("set_id").distinct(), "set_id", "left_semi"))
     # first each set on one of its lists, the same for sets that share their least token
     own = lists.groupBy("set_id").agg(F.min("token").alias("token"))
-    own = lists.join(own, ["set_id", "token"]).select("set_id", "token")
-    again = own.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("set_id").alias("pivot"))
-    first = _buckets(stored(own.join(again.filter("k > 1"), "token")), bucket_sets)
+    own = lists.join(own, ["set_id", "token"]).select("set_id", "token", "size")
+    again = own.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("set_id").alias("pivot"), F.sum("size").alias("mass"))
+    first = _buckets(stored(own.drop("size").join(again.filter("k > 1"), "token")), bucket_sets, block_sets)
     links = _search(first, docs, known.withColumn("root", F.col("set_id")), words, percent, limit)
     roots = components(links)
     # then all lists on which more than one component is left
     known = known.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     known = stored(known.withColumn("root", F.coalesce("root", "set_id")))
-    rest = _rest(lists.join(known.select("set_id", "root"), "set_id"), bucket_sets)
+    rest = _rest(lists.join(known.select("set_id", "root"), "set_id"), bucket_sets, block_sets)
     links = stored(links.union(_search(rest, docs, known, words, percent, limit)))
     roots = components(links)
     named = named.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")

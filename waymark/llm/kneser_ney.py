@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.blocks import Block, blocks, counted, mix, one_array, totals, u64
+from waymark.llm.blocks import Block, blocks, counted, mix, one_array, places, totals, u64
 from waymark.llm.tables import BROADCAST_BYTES, picked, probe_sorted, probed, schema, sorted_arrays, stored
 
 ORDER = 5
@@ -197,7 +197,7 @@ def _features(table: pa.Table, find) -> pa.Table:
     for block in blocks(table["_text"], _SCAN_BYTES):
         rows, _, keys = _keys(block, languages)
         distinct = np.unique(keys)
-        logs = find(distinct[:, None])[np.searchsorted(distinct, keys)]
+        logs = find(distinct[:, None])[places(distinct, keys)]
         size = np.diff(block.offsets)
         bits = -totals(rows, len(block), logs) / np.maximum(size, 1)
         parts.append(features(block) | {"n_bytes": size, "bits": np.where(size > 0, bits, np.nan)})

@@ -63,12 +63,20 @@ def schema(*pairs: str, rows: DataFrame | None = None) -> T.StructType:
     return T.StructType(made.fields + (row_fields(rows) if rows is not None else []))
 
 
+def groups_for(docs: DataFrame, group_bytes: int) -> int:
+    """How many groups of about ``group_bytes`` the texts make.
+
+    Small tables still keep all cores busy, but not with ever smaller groups.
+    """
+    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(-(-size // group_bytes), min(2 * parts, -(-4 * size // group_bytes)), 1)
+
+
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The frame dealt by a hash of id and text into groups ``_chunk`` of bounded size."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(2 * parts, -(-size // chunk_bytes))
+    chunks = groups_for(docs, chunk_bytes)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)).cast("int")
     return docs.withColumn("_chunk", chunk).repartition(max(parts, chunks // 3), "_chunk")
 
