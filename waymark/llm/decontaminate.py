@@ -309,16 +309,18 @@ def without_leaks(
     limit: int = BENCHMARK_BYTES,
 ) -> DataFrame:
     """The documents, with all their columns, that contain no item."""
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
+    text_at = names.index(text_col)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names may hold dots
     for ids, texts in _passes(benchmark, item_col, item_text_col, limit):
         held = spark.sparkContext.broadcast(prepare(ids, texts, similarity, repetitions, sampled))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column = batch.column(batch.schema.get_field_index(text_col))
+                column = batch.column(text_at)
                 clean = np.ones(batch.num_rows, bool)
                 clean[matches(column, held.value)[:, 0]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+    return docs.toDF(*names)

@@ -207,7 +207,9 @@ def _features(table: pa.Table, find) -> pa.Table:
         kind = pa.float64() if name == "bits" else pa.int64()
         columns[name] = pa.array(np.concatenate([p[name] for p in parts]) if parts else [], kind)
     columns["bits"] = pa.array(columns["bits"].to_numpy(), from_pandas=True)
-    return pa.table(columns | {c: table[c] for c in table.column_names if c == "row"})
+    if "row" in table.column_names:
+        columns |= {"text": table["_text"], "row": table["row"]}
+    return pa.table(columns)
 
 
 def _bands(found: DataFrame, width: float) -> DataFrame:
@@ -239,7 +241,7 @@ def quality(
 
     Result: doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_bytes, base_failed, bits (per byte; 2**bits is the perplexity), low, high, kept; with
-    ``keep_rows`` also ``row``, a struct of all input columns. A null text counts as empty,
+    ``keep_rows`` also ``text`` and ``row``, a struct of the other input columns. A null text counts as empty,
     fails the base rules and has null bits. Null is a language of its own. Repeated rows are
     judged one by one; an empty table gives an empty one. Bands come from texts that pass the
     base rules: the median, and ``band_width`` times the distance to the outer tenths, wider
@@ -250,7 +252,8 @@ def quality(
     index, shards = sorted_arrays(stored(probabilities(stored(ngram_counts(docs)))))
     made = schema(
         "doc_id bigint", "lang string", "n_words bigint", "word_chars bigint", "n_symbols bigint",
-        "n_dup_lines bigint", "n_repeat_words bigint", "n_bytes bigint", "bits double", rows=docs,
+        "n_dup_lines bigint", "n_repeat_words bigint", "n_bytes bigint", "bits double",
+        *["text string"] * keep_rows, rows=docs,
     )
     found = probed(docs, index, shards, _gram_keys, probe_sorted, np.nan, _features, made, limit=limit)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

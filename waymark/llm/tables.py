@@ -40,7 +40,7 @@ def stored(frame: DataFrame) -> DataFrame:
 
 
 def picked(docs: DataFrame, id_col: str, text_col: str, *more: str, keep_rows: bool = False) -> DataFrame:
-    """Columns ``_id`` (bigint), ``_text``, ``_<more>`` as text and, on wish, ``row`` (all columns).
+    """Columns ``_id`` (bigint), ``_text``, ``_<more>`` as text and, on wish, ``row`` (the other columns).
 
     Other columns can have any names: they are left out or sit inside ``row``.
     """
@@ -48,7 +48,7 @@ def picked(docs: DataFrame, id_col: str, text_col: str, *more: str, keep_rows: b
     columns = [quoted(id_col).cast("bigint").alias("_id"), quoted(text_col).cast("string").alias("_text")]
     columns += [quoted(name).cast("string").alias(f"_{name}") for name in more]
     if keep_rows:
-        columns.append(F.struct(*[quoted(name) for name in docs.columns]).alias("row"))
+        columns.append(F.struct(*[quoted(name) for name in docs.columns if name != text_col]).alias("row"))
     return docs.select(*columns)
 
 
