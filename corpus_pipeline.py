@@ -20,7 +20,8 @@ from waymark.llm.tables import stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's perplexity bands."""
-    return quality(docs, keep_rows=True).filter("kept").select("row.*")
+    kept = quality(docs, keep_rows=True).filter("kept")
+    return kept.select(*[F.col("text" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
