@@ -11,7 +11,7 @@ def tables():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
 def test_query_matches_sql(spark, tables, name):
     sql = driver.oracle_sql()[name]
     assert difference(driver.queries()[name](spark, SMALL), tables, sql) is None
