@@ -86,6 +86,14 @@ def test_known_places(spark, cafes):
     assert next(r for r in best if r.query_id == 1).distance_m == 95
 
 
+def test_null_and_repeated_ids_keep_their_places(spark, cafes):
+    taxonomy = load_taxonomy(spark)
+    points = spark.createDataFrame([(1, LAT, LNG, 500, "cafe", 100)], POINTS + ", category string, limit int")
+    twice = cafes.union(cafes.withColumn("id", F.lit(None).cast("string")))
+    for layer in (cafes.union(cafes), twice):
+        assert places.places_in_radius(points, layer, taxonomy).count() == 18
+
+
 def test_many_sites_give_the_same_places(spark, cafes):
     taxonomy = load_taxonomy(spark)
     points = spark.createDataFrame([(i, LAT, LNG, 60 + i * 20, "cafe") for i in range(24)], POINTS + ", category string")
@@ -97,11 +105,13 @@ def test_many_sites_give_the_same_places(spark, cafes):
 
 def test_catalogue_takes_text_literally(spark):
     searches = spark.createDataFrame([(1, "COFFEE"), (2, "%"), (3, " "), (4, None)], "query_id int, query string")
-    rows = places.category_catalog(searches, load_taxonomy(spark)).orderBy("query_id", "rank").collect()
+    rows = places.category_catalog(searches, load_taxonomy(spark), limit=50).orderBy("query_id", "rank").collect()
     by_query = {i: [r.category for r in rows if r.query_id == i] for i in (1, 2, 3, 4)}
     assert by_query[1][:3] == ["cafe", "coffee_shop", "coffee_roaster"]
     assert by_query[2] == [None]
     assert len(by_query[3]) == len(by_query[4]) == 50 and by_query[3][0] == "restaurant"
+    every = places.category_catalog(searches, load_taxonomy(spark)).filter("query_id = 3").count()
+    assert every == load_taxonomy(spark).count()
 
 
 def square(x, y, s):

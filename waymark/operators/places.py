@@ -12,9 +12,6 @@ from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
 from waymark.plans.results import answer_points
 from waymark.plans.tiles import radius_counts, radius_nearest
 
-#: Most rows a catalogue search returns.
-CATALOG_LIMIT = 50
-
 
 def _criteria() -> Criteria:
     closed = F.coalesce(F.col("operating_status"), F.lit("open")) == "permanently_closed"
@@ -169,13 +166,16 @@ def count_places_by_type_in_radius(
 
 
 def category_catalog(
-    searches: DataFrame, taxonomy: DataFrame, places: DataFrame | None = None
+    searches: DataFrame,
+    taxonomy: DataFrame,
+    places: DataFrame | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Taxonomy entries whose category or description contains a search text.
 
     ``searches`` has ``query_id`` and ``query``.  The match ignores case and takes the
     text literally; a missing or blank text matches everything.  Entries keep taxonomy
-    order, the first 50 are returned.  With ``places`` each entry also gets the number
+    order; with ``limit``, the first so many of each search are returned.  With ``places`` each entry also gets the number
     of places of that category.
     """
     entry = F.struct("position", "category", "description")
@@ -193,7 +193,9 @@ def category_catalog(
     found = cleaned.select(
         "query_id",
         F.nullif(stripped(F.col("query")), F.lit("")).alias("query"),
-        F.posexplode_outer(F.slice(matching, 1, CATALOG_LIMIT)).alias("_at", "_entry"),
+        F.posexplode_outer(
+            matching if limit is None else F.slice(matching, 1, limit)
+        ).alias("_at", "_entry"),
     ).select(
         "query_id",
         "query",

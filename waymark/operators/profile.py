@@ -25,7 +25,14 @@ def area_profile(
     options: RadiusOptions = DEFAULT_OPTIONS,
 ) -> DataFrame:
     """Counts of places, buildings, road segments and parcels around each point, and
-    the divisions it lies in.  A figure is null where its parameters were rejected."""
+    the divisions it lies in.  A figure is null where its parameters were rejected.
+
+    One row per input row: equal ``query_id`` may stand for different points, so rows are
+    told apart by all their columns, and equal rows are answered once."""
+    keyed = points.withColumn("_key", F.xxhash64(*[f"`{c}`" for c in points.columns]))
+    rows = keyed.select("query_id", "_key")
+    points = keyed.drop("query_id").withColumnRenamed("_key", "query_id")
+    points = points.dropDuplicates(["query_id"])
     totals = (
         road_count_by_class(points, segments, options)
         .groupBy("query_id")
@@ -39,7 +46,7 @@ def area_profile(
     place_counts = count_places_by_type_in_radius(points, places, taxonomy, options)
     building_counts = building_count_in_radius(points, buildings, options)
     areas = point_in_admin_boundary(points, divisions)
-    return (
+    found = (
         points.select("query_id")
         .join(
             place_counts.select("query_id", F.col("count").alias("place_count")),
@@ -57,3 +64,7 @@ def area_profile(
             areas.select("query_id", "locality", "region", "country"), "query_id", "left"
         )
     )
+    return (
+        rows.join(found.withColumnRenamed("query_id", "_key"), "_key", "left")
+        .drop("_key")
+    )

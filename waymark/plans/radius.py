@@ -181,14 +181,6 @@ def feature_rows(
     )
 
 
-def payload_rows(
-    layer: DataFrame, columns: list[Column], facts: SiteFacts, options: RadiusOptions
-) -> DataFrame:
-    """Further columns of the features a search may have found, with their ``id``."""
-    rows = feature_rows(layer, [F.col("id"), *columns], facts, options)
-    return rows.drop("_px", "_py", "_slice", *geodesy.position_columns("rep"))
-
-
 def with_cells(df: DataFrame, pairs: list[int]) -> DataFrame:
     """Key features by grid cell: one row per rung pair in use."""
     if len(pairs) == 1:

@@ -31,7 +31,6 @@ from waymark.plans.radius import (
     Criteria,
     RadiusOptions,
     feature_rows,
-    payload_rows,
     radius_join,
     ranged_sites,
     site_facts,
@@ -251,20 +250,18 @@ def radius_nearest(
     The result has the site columns, ``id``, the kept columns, ``distance``,
     ``rank`` and ``count``.
 
-    With few sites, ranking runs over bare ids and the kept columns are fetched for the
-    winners only.  With many, tile counts bound the distance of the ``k``-th feature
+    With few sites, all features in reach are ranked in one scan; rows beyond ``most`` are
+    dropped before they are shuffled.  With many, tile counts bound the distance of the ``k``-th feature
     first, and tiles beyond it are never opened.
     """
     ranged = ranged_sites(sites, options)
     facts = site_facts(ranged)
     columns = [c.alias(n) for n, c in keep.items()]
     if facts.cells <= options.broadcast_site_cells:
-        bare = {"id": F.col("id")}
-        pairs = radius_join(sites, layer, bare, criteria, options, facts)
-        top = nearest(pairs, sites.columns, k, most)
-        if facts.sites * most <= options.broadcast_site_cells:
-            top = F.broadcast(top)
-        return payload_rows(layer, columns, facts, options).join(top, "id")
+        # ids may be null or repeat, so rows are not fetched again by id
+        kept = {"id": F.col("id"), **keep}
+        pairs = radius_join(sites, layer, kept, criteria, options, facts)
+        return nearest(pairs, sites.columns, k, most)
     features = feature_rows(
         layer, [*criteria.columns, F.col("id"), *columns], facts, options
     )

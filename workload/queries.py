@@ -58,6 +58,7 @@ def category_catalog(spark: SparkSession, sf: str) -> DataFrame:
         derive(spark, sf, "searches"),
         load_taxonomy(spark),
         derive(spark, sf, "places"),
+        limit=50,
     )
 
 
