@@ -223,4 +223,4 @@ def test_secrets(spark):
 def test_queries_have_contract_columns(spark):
     found = queries.op1_quality_rules(spark, SMALL)
     assert {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"} <= set(found.columns)
-    assert set(queries.QUERIES) == {f.__name__ for f in queries.QUERIES.values()} and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) == {f.__name__ for f in queries.QUERIES.values()} and len(queries.QUERIES) == 13

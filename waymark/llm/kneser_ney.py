@@ -263,6 +263,6 @@ def quality(
         bands = F.broadcast(bands)
     judged = found.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     for name, slack in zip(("low", "high"), (-SLACK[0], SLACK[1]), strict=True):
-        judged = judged.withColumn(name, F.col(name) + slack / F.sqrt("n_bytes"))
+        judged = judged.withColumn(name, F.col(name) + slack / F.sqrt(F.nullif("n_bytes", F.lit(0))))
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & inside)

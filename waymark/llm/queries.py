@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.bpe import encoded
 from waymark.llm.bwt import drop_repeated_bytes
+from waymark.llm.centroids import clusters
+from waymark.llm.collocations import collocations
 from waymark.llm.context_tree import scores
 from waymark.llm.decontaminate import leaks
 from waymark.llm.jaccard import similar_documents
@@ -15,6 +17,7 @@ from waymark.llm.kneser_ney import quality
 from waymark.llm.licenses import licenses
 from waymark.llm.line_dedup import drop_shared_lines
 from waymark.llm.secrets import secrets
+from waymark.llm.simhash import near_duplicates
 from waymark.llm.surrogates import pseudonymised
 
 
@@ -62,6 +65,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_context_tree, op7_ngram_jaccard, op8_suffix_dedup, op9_pii_surrogates, op10_byte_bpe)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_decontamination, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_context_tree,
+        op7_ngram_jaccard, op8_suffix_dedup, op9_pii_surrogates, op10_byte_bpe, op11_simhash, op12_centroids,
+        op13_collocations,
+    )
 }
