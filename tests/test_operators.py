@@ -6,7 +6,6 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import wkb
 from waymark.functions.geometry import PARTS_TYPE
 from waymark.operators import buildings, divisions, land_use, places, roads
 from waymark.plans.radius import RadiusOptions
@@ -15,6 +14,7 @@ from waymark.sources.layers import (
     SCHEMAS, cluster, layer_path, normalise_geometry, scan_layer,
 )
 from waymark.sources.taxonomy import load_taxonomy
+from workload.geometry_bytes import encode
 
 LAT, LNG = 52.3676, 4.9041
 POINTS = "query_id int, lat double, lng double, radius_m int"
@@ -37,7 +37,7 @@ def raw(spark, name, rows, geometry):
     ddl = SCHEMAS[name].replace("geometry binary", f"geom_type string, parts {PARTS_TYPE}")
     names = spark.createDataFrame([], ddl).columns
     data = [tuple(row.get(n) for n in names) for row in shaped]
-    return wkb.encode(spark.createDataFrame(data, ddl))
+    return encode(spark.createDataFrame(data, ddl))
 
 
 def place(i, metres, category="cafe", **extra):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.brute import as_layer, geodesic, radius_pairs, random_features, random_sites
 from waymark.functions.geometry import PARTS_TYPE
+from waymark.plans import contains, skew
 from waymark.plans.contains import ContainsOptions, contains_join
 from waymark.plans.radius import Criteria, RadiusOptions, radius_join
 from waymark.plans.results import composition
@@ -156,3 +157,60 @@ def test_shares_round_like_exact_binary_values(spark):
     for row in got:
         c, t = cases[row.site]
         assert row.percentage == round(c / t * 100, 1), (c, t)
+
+
+def _polygons(spark, shapes):
+    """A prepared layer of (id, rings) rows."""
+    rows = []
+    for i, rings in shapes:
+        x, y = np.array([p for r in rings for p in r]).T
+        parts = [[[{"x": float(a), "y": float(b)} for a, b in r] for r in rings]]
+        box = {"xmin": float(x.min()), "xmax": float(x.max()), "ymin": float(y.min()), "ymax": float(y.max())}
+        rows.append((i, box, parts, sum(len(r) - 1 for r in rings)))
+    box_type = "struct<xmin:double,xmax:double,ymin:double,ymax:double>"
+    return spark.createDataFrame(rows, f"id string, bbox {box_type}, parts {PARTS_TYPE}, n_edges int")
+
+
+def test_edges_are_stored_once_whatever_their_length(spark):
+    zigzag = [(i / 20_000, float(i % 2)) for i in range(20_000)]
+    layer = _polygons(spark, [("z", [[*zigzag, (1.0, 2.0), (0.0, 2.0), zigzag[0]]])])
+    large = contains._with_bands(layer.withColumn("_row", F.lit(0).cast("long")), 64)
+    found = contains.slabs(large).selectExpr("sum(size(_edges)) n", "max(size(_edges)) most").first()
+    assert (found.n, found.most) == (layer.first().n_edges, contains.EDGES_PER_ROW)
+
+
+@pytest.mark.parametrize("extra", [{}, {"broadcast_site_cells": 0, "rows_per_task": 5}])
+def test_rows_with_one_id_are_polygons_of_their_own(spark, extra):
+    near = [(np.cos(t) * 2, np.sin(t) * 2) for t in np.linspace(0, 2 * np.pi, 200)]
+    far = [(x + 3, y) for x, y in near]
+    layer = _polygons(spark, [("same", [near]), ("same", [far]), ("same", [far]), (None, [near])])
+    sites = spark.createDataFrame([(0.0, 0.0), (0.0, 1.5), (0.0, 4.0), (0.0, 9.0)], "lat double, lng double")
+    found = contains_join(sites, layer, {"id": F.col("id")}, ContainsOptions(**extra))
+    got = Counter((r.lng, r.id) for r in found.collect())
+    assert got == {(0.0, "same"): 1, (0.0, None): 1, (1.5, "same"): 3, (1.5, None): 1, (4.0, "same"): 2}
+
+
+@pytest.mark.parametrize("broadcast_keys", [skew.BROADCAST_KEYS, 10])
+def test_all_large_keys_are_cut(spark, monkeypatch, broadcast_keys):
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", broadcast_keys)
+    left = spark.range(60_000).select((F.col("id") % 20_000).alias("key"), F.col("id").alias("l"))
+    right = spark.range(20_000).select(F.col("id").alias("key"), F.col("id").alias("r"))
+    got = balanced_join(left, right, ["key"], ["l"], ["r"], rows_per_task=2)
+    assert got.count() == 60_000 and got.distinct().count() == 60_000
+
+
+def test_a_popular_site_is_dealt_over_tasks(spark):
+    points = spark.range(4000).select("id", F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("site"))
+    matches = spark.range(1000).select(F.col("id").alias("site"), F.lit("x").alias("found"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = skew.balanced_attach(points, matches, ["site"], ["id"], rows_per_task=100)
+        rows = got.groupBy(F.spark_partition_id()).count().collect()
+        want = points.join(matches, "site", "left")
+        assert sorted(map(str, got.select("id", "found").collect())) == sorted(map(str, want.select("id", "found").collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in rows) == 4000 and max(r["count"] for r in rows) < 1200

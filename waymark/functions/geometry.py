@@ -140,23 +140,37 @@ def representative_point(geom_type: str, parts: str) -> Column:
     )
 
 
-def encloses(segments: str, x: str, y: str) -> Column:
-    """Even-odd test of a point against the edges of a polygon.
-
-    Only edges whose y-range includes ``y`` matter, so any subset of the edges that
-    keeps those gives the same answer.  Points on an edge are not enclosed.
-    """
+def _met(segments: str, x: str, y: str, result: str) -> str:
+    """``result`` over the edges at the height of a point, in which ``{crossed}`` is the
+    number of edges to its right and ``{touched}`` whether it lies on one."""
     side = f"((s.x1 - {x}) * (s.y2 - {y}) - (s.x2 - {x}) * (s.y1 - {y}))"
     near = f"filter({segments}, s -> {y} BETWEEN least(s.y1, s.y2) AND greatest(s.y1, s.y2))"
-    touches = (
+    touched = (
         f"exists(n, s -> {side} = 0 "
         f"AND {x} BETWEEN least(s.x1, s.x2) AND greatest(s.x1, s.x2))"
     )
-    crossings = (
+    crossed = (
         f"size(filter(n, s -> (s.y1 > {y}) != (s.y2 > {y}) "
         f"AND ({side} > 0) = (s.y2 > s.y1)))"
     )
-    return F.expr(_let("n", near, f"{crossings} % 2 = 1 AND NOT {touches}"))
+    return _let("n", near, result.format(crossed=crossed, touched=touched))
+
+
+def encloses(segments: str, x: str, y: str) -> Column:
+    """Even-odd test of a point against the edges of a polygon.
+
+    Only edges whose y-range includes ``y`` matter, so any subset of the edges that
+    keeps those gives the same answer.  Points on an edge are not enclosed.
+    """
+    return F.expr(_met(segments, x, y, "{crossed} % 2 = 1 AND NOT {touched}"))
+
+
+def crossings(segments: str, x: str, y: str) -> Column:
+    """The two facts behind :func:`encloses` for some of a polygon's edges, ``crossed`` and
+    ``touched``: added up over all edges they decide."""
+    return F.expr(
+        _met(segments, x, y, "named_struct('crossed', {crossed}, 'touched', {touched})")
+    )
 
 
 def _number(v: str) -> str:

@@ -1,13 +1,14 @@
-"""Well-known binary to vertex arrays and back.
+"""Well-known binary to vertex arrays.
 
 Decoding bytes is the one step Spark's own functions cannot express.  It runs in
-``mapInArrow``: only the geometry column's bytes are interpreted in Python, all other
-columns pass through as Arrow buffers, and the vertex arrays are built from offsets.
+``mapInArrow`` on the Arrow buffers of a whole batch: headers and counts of all geometries
+are read together, one step deeper at a time, and vertices are gathered in one go.  No
+Python object is made per geometry.  Bytes that are no geometry never fail the job: the row
+keeps null geometry and a reason.
 """
 
 from __future__ import annotations
 
-import struct
 import sys
 from collections.abc import Iterator
 
@@ -33,164 +34,203 @@ TYPE_NAMES = {
     6: "MULTIPOLYGON",
 }
 
-_PARTS_ARROW = pa.list_(
-    pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
-)
-
-
-class _Reader:
-    """Cursor over the bytes of one geometry."""
-
-    def __init__(self, data: bytes):
-        self.data = data
-        self.at = 0
-
-    def header(self) -> tuple[str, int, int]:
-        order = "<" if self.data[self.at] == 1 else ">"
-        code = struct.unpack_from(order + "I", self.data, self.at + 1)[0]
-        self.at += 5
-        dims = 2
-        if code & 0xE0000000:  # flag bits for z, m and srid
-            dims += bool(code & 0x80000000) + bool(code & 0x40000000)
-            if code & 0x20000000:
-                self.at += 4
-            code &= 0x1FFFFFFF
-        if code >= 1000:  # thousands for z, m and zm
-            dims += {1: 1, 2: 1, 3: 2}[code // 1000]
-            code %= 1000
-        return order, code, dims
-
-    def count(self, order: str) -> int:
-        n = struct.unpack_from(order + "I", self.data, self.at)[0]
-        self.at += 4
-        return n
-
-    def vertices(self, order: str, n: int, dims: int) -> np.ndarray:
-        flat = np.frombuffer(self.data, order + "f8", n * dims, self.at)
-        self.at += 8 * n * dims
-        return flat.reshape(n, dims)[:, :2]
-
-    def parts(self) -> tuple[int, list[list[np.ndarray]]]:
-        order, code, dims = self.header()
-        if code == 1:
-            point = self.vertices(order, 1, dims)
-            return code, [] if np.isnan(point).any() else [[point]]
-        if code == 2:
-            line = self.vertices(order, self.count(order), dims)
-            return code, [[line]] if len(line) else []
-        if code == 3:
-            rings = [
-                self.vertices(order, self.count(order), dims)
-                for _ in range(self.count(order))
-            ]
-            return code, [rings] if rings else []
-        if code in (4, 5, 6):
-            members = [self.parts()[1] for _ in range(self.count(order))]
-            return code, [part for member in members for part in member]
-        raise ValueError(f"unsupported WKB geometry type {code}")
-
-
-def _decode_column(column: pa.Array) -> tuple[pa.Array, pa.Array]:
-    names: list[str | None] = []
-    part_at, ring_at, vertex_at = [0], [0], [0]
-    valid: list[bool] = []
-    chunks: list[np.ndarray] = []
-    for value in column.to_pylist():
-        valid.append(value is not None)
-        code, parts = _Reader(value).parts() if value is not None else (None, [])
-        names.append(TYPE_NAMES.get(code))
-        for rings in parts:
-            for ring in rings:
-                chunks.append(ring)
-                vertex_at.append(vertex_at[-1] + len(ring))
-            ring_at.append(ring_at[-1] + len(rings))
-        part_at.append(part_at[-1] + len(parts))
-    xy = np.concatenate(chunks).astype("f8") if chunks else np.empty((0, 2))
+#: Why bytes were not decoded, by number.
+ERRORS = (None, "truncated", "unknown byte order", "unsupported type", "mixed members", "trailing bytes")
+_TRUNCATED, _ORDER, _TYPE, _MIXED, _TRAILING = range(1, 6)
+
+#: Bytes of geometry decoded at once, unless one alone is longer.
+SLICE_BYTES = 8 << 20
+
+
+class _Walk:
+    """Cursors over the bytes of many geometries, moved together.
+
+    ``rings`` collects, per step, the geometry, the part, the position of the first vertex
+    and the number of vertices of every ring (or line, or point) met.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        n = len(starts)
+        # reads past the last geometry stay inside the padding
+        self.data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.at, self.ends = starts.astype(np.int64), ends.astype(np.int64)
+        self.error = np.zeros(n, np.int8)
+        self.kind = np.zeros(n, np.int8)
+        self.little = np.ones(n, bool)
+        self.dims = np.zeros(n, np.int64)
+        self.members, self.rings_left = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.part = np.full(n, -1, np.int64)
+        self.rings: list[tuple[np.ndarray, ...]] = []
+
+    def _fail(self, who: np.ndarray, bad: np.ndarray, error: int) -> np.ndarray:
+        """Mark geometries as undecodable; the others are returned."""
+        lost = who[bad]
+        self.error[lost] = error
+        self.members[lost] = self.rings_left[lost] = 0
+        return who[~bad]
+
+    def _has(self, who: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return self._fail(who, self.ends[who] - self.at[who] < size, _TRUNCATED)
+
+    def _number(self, who: np.ndarray) -> np.ndarray:
+        """The unsigned 32-bit number at each cursor."""
+        quads = self.data[self.at[who, None] + np.arange(4)]
+        both = quads.view("<u4")[:, 0], quads.view(">u4")[:, 0]
+        self.at[who] += 4
+        return np.where(self.little[who], *both).astype(np.int64)
+
+    def _header(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read byte order and type: the geometries still good, and their base types."""
+        who = self._has(who, 5)
+        order = self.data[self.at[who]]
+        who = self._fail(who, order > 1, _ORDER)
+        self.little[who] = self.data[self.at[who]] == 1
+        self.at[who] += 1
+        code = self._number(who)
+        # flag bits for z, m and srid, or thousands for z, m and zm
+        dims = 2 + (code >> 31 & 1) + (code >> 30 & 1)
+        self.at[who] += 4 * (code >> 29 & 1)
+        code &= 0x1FFFFFFF
+        thousands = code // 1000
+        dims += np.where(thousands == 3, 2, thousands)
+        self.dims[who] = dims
+        base = np.where(thousands <= 3, code % 1000, 0)
+        good = (base >= 1) & (base <= 6)
+        return self._fail(who, ~good, _TYPE), base[good]
+
+    def _record(self, who: np.ndarray, count: np.ndarray) -> None:
+        self.rings.append((who, self.part[who], self.at[who], count, self.little[who], self.dims[who]))
+        self.at[who] += 8 * count * self.dims[who]
+
+    def _part(self, who: np.ndarray, base: np.ndarray) -> None:
+        """Begin a point, a line or a polygon whose header has been read."""
+        self.part[who] += 1
+        points = who[base == 1]
+        points = self._has(points, 8 * self.dims[points])
+        self._record(points, np.ones(len(points), np.int64))
+        self.rings_left[who[base == 2]] = 1
+        polygons = self._has(who[base == 3], 4)
+        self.rings_left[polygons] = self._number(polygons)
+
+    def run(self, who: np.ndarray) -> None:
+        """Walk through the given geometries to their ends."""
+        who, base = self._header(who)
+        self.kind[who] = base
+        self._part(who[base <= 3], base[base <= 3])
+        many = self._has(who[base > 3], 4)
+        self.members[many] = self._number(many)
+        while True:
+            ringed = np.flatnonzero(self.rings_left)
+            open_ = np.flatnonzero((self.members > 0) & (self.rings_left == 0))
+            if not len(ringed) and not len(open_):
+                break
+            ringed = self._has(ringed, 4)
+            count = self._number(ringed)
+            fits = count <= (self.ends[ringed] - self.at[ringed]) // (8 * self.dims[ringed])
+            ringed, count = self._fail(ringed, ~fits, _TRUNCATED), count[fits]
+            self._record(ringed, count)
+            self.rings_left[ringed] -= 1
+            self.members[open_] -= 1
+            open_, base = self._header(open_)
+            same = base == self.kind[open_] - 3
+            self._part(self._fail(open_, ~same, _MIXED), base[same])
+        good = who[self.error[who] == 0]
+        self._fail(good, self.at[good] != self.ends[good], _TRAILING)
+
+    def vertices(self, start: np.ndarray, little: np.ndarray) -> np.ndarray:
+        """Doubles at any byte position."""
+        views = (np.ndarray((len(self.data) - 7,), kind, self.data, 0, (1,)) for kind in ("<f8", ">f8"))
+        low, high = views
+        if little.all():
+            return low[start]
+        return np.where(little, low[start], high[start].astype("<f8"))
+
+
+def _offsets(groups: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` groups starts among sorted group numbers."""
+    return np.searchsorted(groups, np.arange(n + 1)).astype(np.int32)
+
+
+def _decode_column(column: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Type name, parts and error of every geometry."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    given = column.is_valid().to_numpy(zero_copy_only=False)
+    walk = _Walk(data, edges[:-1], edges[1:])
+    walk.run(np.flatnonzero(given))
+    none = np.zeros(0, np.int64)
+    found = [np.concatenate([none, *columns]) for columns in zip(*walk.rings)] or [none] * 6
+    owner, part, start, count, little, dims = found
+    keep = walk.error[owner] == 0
+    # empty points are written as not-a-number; an empty line has no vertices
+    x = walk.vertices(start, little.astype(bool))
+    y = walk.vertices(start + 8, little.astype(bool))
+    points = np.isin(walk.kind[owner], (1, 4))
+    keep &= ~(points & (np.isnan(x) | np.isnan(y)))
+    keep &= ~(np.isin(walk.kind[owner], (2, 5)) & (count == 0))
+    order = np.flatnonzero(keep)
+    order = order[np.argsort(owner[order], kind="stable")]
+    owner, part, start, count, little, dims = (c[order] for c in found)
+    ends = np.cumsum(count)
+    # the byte position of every vertex
+    at = np.repeat(start - 8 * dims * (ends - count), count)
+    at += np.repeat(8 * dims, count) * np.arange(len(at))
+    order = np.repeat(little.astype(bool), count)
     points = pa.StructArray.from_arrays(
-        [pa.array(np.ascontiguousarray(xy[:, i])) for i in (0, 1)], ["x", "y"]
+        [pa.array(walk.vertices(at + shift, order)) for shift in (0, 8)], ["x", "y"]
     )
-    rings = pa.ListArray.from_arrays(pa.array(vertex_at, pa.int32()), points)
-    polygons = pa.ListArray.from_arrays(pa.array(ring_at, pa.int32()), rings)
-    starts = pa.array(
-        [at if ok else None for at, ok in zip(part_at, valid)] + [part_at[-1]],
-        pa.int32(),
+    rings = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), points)
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
+    polygons = pa.ListArray.from_arrays(
+        pa.array(np.append(np.flatnonzero(new), len(owner)), pa.int32()), rings
     )
-    return pa.array(names, pa.string()), pa.ListArray.from_arrays(starts, polygons)
-
-
-def decode(df: DataFrame, column: str = "geometry") -> DataFrame:
-    """Replace a WKB column by ``geom_type`` and ``parts``."""
-    kept = [f for f in df.schema.fields if f.name != column]
-    schema = T.StructType(
-        kept
-        + [
-            T.StructField("geom_type", T.StringType()),
-            T.StructField("parts", T.DataType.fromDDL(PARTS_TYPE)),
-        ]
-    )
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            types, parts = _decode_column(batch.column(column))
-            arrays = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, types, parts], [*names, "geom_type", "parts"]
-            )
-
-    return df.mapInArrow(run, schema)
-
-
-def _polygon_bytes(rings: list) -> bytes:
-    body = b"".join(
-        struct.pack("<I", len(ring)) + _vertex_bytes(ring) for ring in rings
+    good = given & (walk.error == 0)
+    starts = pa.array(_offsets(owner[new], n), pa.int32(), mask=np.append(~good, False))
+    names = pa.array([TYPE_NAMES.get(i) for i in range(7)], pa.string())
+    reasons = pa.array(ERRORS, pa.string())
+    return (
+        names.take(pa.array(np.where(good, walk.kind, 0))),
+        pa.ListArray.from_arrays(starts, polygons),
+        reasons.take(pa.array(walk.error)),
     )
-    return struct.pack("<BII", 1, 3, len(rings)) + body
-
-
-def _vertex_bytes(ring: list) -> bytes:
-    return np.array([(p["x"], p["y"]) for p in ring], "<f8").tobytes()
-
 
-def _line_bytes(line: list) -> bytes:
-    return struct.pack("<BII", 1, 2, len(line)) + _vertex_bytes(line)
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with a bounded number of geometry bytes."""
+    sizes = batch.column(column).cast(pa.large_binary())
+    ends = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1
+        to = min(max(to, at + 1), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
 
-def _point_bytes(point: list) -> bytes:
-    return struct.pack("<BI", 1, 1) + _vertex_bytes(point)
 
+def decode(df: DataFrame, column: str = "geometry", error: str | None = None) -> DataFrame:
+    """Replace a WKB column by ``geom_type`` and ``parts``.
 
-def _encode_one(name: str | None, parts: list | None) -> bytes | None:
-    if name is None or parts is None:
-        return None
-    if name == "POINT":
-        return _point_bytes(parts[0][0])
-    if name == "LINESTRING":
-        return _line_bytes(parts[0][0])
-    if name == "POLYGON":
-        return _polygon_bytes(parts[0])
-    write = {
-        "MULTIPOINT": (4, lambda part: _point_bytes(part[0])),
-        "MULTILINESTRING": (5, lambda part: _line_bytes(part[0])),
-        "MULTIPOLYGON": (6, _polygon_bytes),
-    }
-    code, member = write[name]
-    return struct.pack("<BII", 1, code, len(parts)) + b"".join(map(member, parts))
-
-
-def encode(df: DataFrame, column: str = "geometry") -> DataFrame:
-    """Replace ``geom_type`` and ``parts`` by a WKB column."""
-    kept = [f for f in df.schema.fields if f.name not in ("geom_type", "parts")]
-    schema = T.StructType(kept + [T.StructField(column, T.BinaryType())])
+    Where the bytes are no geometry, both are null; a column named ``error``, if asked for,
+    gives the reason, one of ``ERRORS``."""
+    kept = [f for f in df.schema.fields if f.name != column]
+    made = [
+        T.StructField("geom_type", T.StringType()),
+        T.StructField("parts", T.DataType.fromDDL(PARTS_TYPE)),
+    ]
+    if error is not None:
+        made.append(T.StructField(error, T.StringType()))
     names = [f.name for f in kept]
+    out = [*names, *(f.name for f in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(
-                batch.column("geom_type").to_pylist(), batch.column("parts").to_pylist()
-            )
-            data = pa.array([_encode_one(*pair) for pair in pairs], pa.binary())
-            arrays = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*arrays, data], [*names, column])
-
-    return df.mapInArrow(run, schema)
+            for some in _slices(batch, column):
+                decoded = _decode_column(some.column(column))[: len(made)]
+                arrays = [some.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*arrays, *decoded], out)
+
+    return df.mapInArrow(run, T.StructType(kept + made))

@@ -10,17 +10,20 @@ from waymark.operators.shares import share_answers
 from waymark.plans.radius import DEFAULT_OPTIONS, RadiusOptions
 from waymark.plans.results import answer_points
 from waymark.plans.tiles import radius_counts
+from waymark.sources.manifest import Layer, around
 
 _SITE = ["lat", "lng", "radius_m"]
 
 
 def building_count_in_radius(
-    points: DataFrame, buildings: DataFrame, options: RadiusOptions = DEFAULT_OPTIONS
+    points: DataFrame, buildings: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """How many buildings have their centroid within ``radius_m``; zeros included."""
     accepted = accepted_points(points, "building_count_in_radius")
     counts = radius_counts(
-        accepted.select(*_SITE).distinct(), buildings, options=options
+        accepted.select(*_SITE).distinct(),
+        around(buildings, accepted, options.prefilter),
+        options=options,
     ).select(*_SITE, "count", F.lit(True).alias("found"))
     # Wording of the suggestion.
     suggestion = F.concat(
@@ -38,7 +41,7 @@ def building_count_in_radius(
 
 
 def building_class_composition(
-    points: DataFrame, buildings: DataFrame, options: RadiusOptions = DEFAULT_OPTIONS
+    points: DataFrame, buildings: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """Count and share per building class within ``radius_m``, one row per class."""
     # Wording of the suggestion.
@@ -46,9 +49,10 @@ def building_class_composition(
         F.lit("Zero buildings found within "), F.col("radius_m").cast("string"),
         F.lit("m. Cannot compute composition for an area with no buildings."),
     )
+    accepted = accepted_points(points, "building_class_composition")
     return share_answers(
-        accepted_points(points, "building_class_composition"),
-        buildings,
+        accepted,
+        around(buildings, accepted, options.prefilter),
         F.coalesce("class", F.lit("unknown")),
         {"key": "class", "total": "total_buildings"},
         suggestion,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.operators.screening import accepted_points
 from waymark.plans.contains import DEFAULT_OPTIONS, ContainsOptions, contains_join
 from waymark.plans.results import answer_points
+from waymark.sources.manifest import Layer, under
 
 # Level of each kind of division, and of all others.
 LEVELS = {
@@ -48,14 +49,15 @@ def _matches(
 
 
 def point_in_admin_boundary(
-    points: DataFrame, divisions: DataFrame, options: ContainsOptions = DEFAULT_OPTIONS
+    points: DataFrame, divisions: Layer, options: ContainsOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """The land divisions around each point, broadest first, with the names of its
     country, region and locality."""
     accepted = accepted_points(points, "point_in_admin_boundary").select(
         "query_id", "lat", "lng"
     )
-    matches = _matches(accepted.select("lat", "lng").distinct(), divisions, options)
+    sites = accepted.select("lat", "lng").distinct()
+    matches = _matches(sites, under(divisions, sites), options)
 
     def last_of(subtype: str) -> Column:
         named = F.when(F.col("subtype") == subtype, F.struct("id", "name"))

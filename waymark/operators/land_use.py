@@ -14,11 +14,12 @@ from waymark.plans import contains
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
 from waymark.plans.results import answer_points
 from waymark.plans.tiles import radius_nearest
+from waymark.sources.manifest import Layer, around, under
 
 
 def land_use_at_point(
     points: DataFrame,
-    parcels: DataFrame,
+    parcels: Layer,
     options: contains.ContainsOptions = contains.DEFAULT_OPTIONS,
 ) -> DataFrame:
     """Every parcel that encloses the point, overlapping ones included."""
@@ -34,8 +35,9 @@ def land_use_at_point(
         "source": shaping.first(F.col("sources"))["dataset"],
         "found": F.lit(True),
     }
+    sites = accepted.select(*site).distinct()
     matches = contains.contains_join(
-        accepted.select(*site).distinct(), parcels, keep, options
+        sites, under(parcels, sites), keep, options
     ).withColumn("count", F.count(F.lit(1)).over(W.partitionBy(*site)))
     # Wording of the suggestion.
     suggestion = F.lit(
@@ -57,7 +59,7 @@ def land_use_at_point(
 
 
 def land_use_composition(
-    points: DataFrame, parcels: DataFrame, options: RadiusOptions = DEFAULT_OPTIONS
+    points: DataFrame, parcels: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """Count and share per subtype within ``radius_m``; a null subtype stays null."""
     # Wording of the suggestion.
@@ -65,9 +67,10 @@ def land_use_composition(
         F.lit("Zero land use parcels found within "), F.col("radius_m").cast("string"),
         F.lit("m. This area may lack land use mapping coverage. Try increasing radius."),
     )
+    accepted = accepted_points(points, "land_use_composition")
     return share_answers(
-        accepted_points(points, "land_use_composition"),
-        parcels,
+        accepted,
+        around(parcels, accepted, options.prefilter),
         F.col("subtype"),
         {"key": "subtype", "total": "total_parcels"},
         suggestion,
@@ -76,7 +79,7 @@ def land_use_composition(
 
 
 def land_use_search(
-    points: DataFrame, parcels: DataFrame, options: RadiusOptions = DEFAULT_OPTIONS
+    points: DataFrame, parcels: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """Parcels of a subtype within ``radius_m``, nearest first, up to ``limit``."""
     accepted = accepted_points(points, "land_use_search").drop("include_closed")
@@ -92,7 +95,7 @@ def land_use_search(
         keep |= {"geom_type": F.col("geom_type"), "parts": F.col("parts")}
     top = radius_nearest(
         accepted.select(*site).distinct(),
-        parcels,
+        around(parcels, accepted, options.prefilter),
         keep,
         F.col("limit"),
         MAX_LIMIT,

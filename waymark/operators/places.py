@@ -11,6 +11,7 @@ from waymark.operators.screening import MAX_LIMIT, accepted_points, stripped
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
 from waymark.plans.results import answer_points
 from waymark.plans.tiles import radius_counts, radius_nearest
+from waymark.sources.manifest import Layer, around
 
 
 def _criteria() -> Criteria:
@@ -40,7 +41,7 @@ def _place_columns(with_geometry: bool) -> dict[str, Column]:
 
 def _search(
     points: DataFrame,
-    places: DataFrame,
+    places: Layer,
     limit: Column,
     most: int,
     with_geometry: bool,
@@ -49,8 +50,9 @@ def _search(
 ) -> DataFrame:
     site = [c for c in points.columns if c != "query_id"]
     sites = points.select(*site).distinct()
+    near = around(places, sites, options.prefilter)
     top = radius_nearest(
-        sites, places, _place_columns(with_geometry), limit, most, _criteria(), options
+        sites, near, _place_columns(with_geometry), limit, most, _criteria(), options
     ).withColumn("found", F.lit(True))
     answers = answer_points(points, top, site, suggestion)
     shape = {
@@ -83,7 +85,7 @@ def _search(
 
 def places_in_radius(
     points: DataFrame,
-    places: DataFrame,
+    places: Layer,
     taxonomy: DataFrame,
     options: RadiusOptions = DEFAULT_OPTIONS,
 ) -> DataFrame:
@@ -112,7 +114,7 @@ def places_in_radius(
 
 def nearest_place_of_type(
     points: DataFrame,
-    places: DataFrame,
+    places: Layer,
     taxonomy: DataFrame,
     options: RadiusOptions = DEFAULT_OPTIONS,
 ) -> DataFrame:
@@ -136,7 +138,7 @@ def nearest_place_of_type(
 
 def count_places_by_type_in_radius(
     points: DataFrame,
-    places: DataFrame,
+    places: Layer,
     taxonomy: DataFrame,
     options: RadiusOptions = DEFAULT_OPTIONS,
 ) -> DataFrame:
@@ -145,8 +147,9 @@ def count_places_by_type_in_radius(
         points, "count_places_by_type_in_radius", taxonomy
     ).drop("include_geometry")
     site = [c for c in accepted.columns if c != "query_id"]
+    near = around(places, accepted, options.prefilter)
     counts = radius_counts(
-        accepted.select(*site).distinct(), places, None, _criteria(), options
+        accepted.select(*site).distinct(), near, None, _criteria(), options
     ).select(*site, "count", F.lit(True).alias("found"))
     # Wording of the suggestion.
     suggestion = F.concat(

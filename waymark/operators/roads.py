@@ -16,6 +16,7 @@ from waymark.operators.shares import share_answers
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
 from waymark.plans.results import answer_points
 from waymark.plans.tiles import radius_nearest
+from waymark.sources.manifest import Layer, around
 
 
 def _roads(segments: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def _roads(segments: DataFrame) -> DataFrame:
 
 
 def road_count_by_class(
-    points: DataFrame, segments: DataFrame, options: RadiusOptions = DEFAULT_OPTIONS
+    points: DataFrame, segments: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """Count and share per road class within ``radius_m``, one row per class."""
     # Wording of the suggestion.
@@ -31,9 +32,10 @@ def road_count_by_class(
         F.lit("Zero road segments found within "), F.col("radius_m").cast("string"),
         F.lit("m. This may be an undeveloped area or an area with limited road mapping."),
     )
+    accepted = accepted_points(points, "road_count_by_class")
     return share_answers(
-        accepted_points(points, "road_count_by_class"),
-        _roads(segments),
+        accepted,
+        _roads(around(segments, accepted, options.prefilter)),
         F.coalesce("class", F.lit("unknown")),
         {"key": "road_class", "total": "total_segments"},
         suggestion,
@@ -42,7 +44,7 @@ def road_count_by_class(
 
 
 def road_surface_composition(
-    points: DataFrame, segments: DataFrame, options: RadiusOptions = DEFAULT_OPTIONS
+    points: DataFrame, segments: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """Count and share per first surface value within ``radius_m``."""
     # Wording of the suggestion.
@@ -51,9 +53,10 @@ def road_surface_composition(
         F.lit("m. Cannot compute surface composition for an area with no roads."),
     )
     surface = shaping.first(F.col("road_surface"))["value"]
+    accepted = accepted_points(points, "road_surface_composition")
     return share_answers(
-        accepted_points(points, "road_surface_composition"),
-        _roads(segments),
+        accepted,
+        _roads(around(segments, accepted, options.prefilter)),
         F.coalesce(surface, F.lit("unknown")),
         {"key": "surface", "total": "total_segments"},
         suggestion,
@@ -62,7 +65,7 @@ def road_surface_composition(
 
 
 def nearest_road_of_class(
-    points: DataFrame, segments: DataFrame, options: RadiusOptions = DEFAULT_OPTIONS
+    points: DataFrame, segments: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """The closest segment of a road class within ``max_radius_m`` (5000 when absent)."""
     accepted = accepted_points(points, "nearest_road_of_class").drop("include_closed")
@@ -82,7 +85,7 @@ def nearest_road_of_class(
         keep |= {"geom_type": F.col("geom_type"), "parts": F.col("parts")}
     best = radius_nearest(
         accepted.select(*site).distinct(),
-        _roads(segments),
+        _roads(around(segments, accepted, options.prefilter)),
         keep,
         F.lit(1),
         1,

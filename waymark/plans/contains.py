@@ -2,9 +2,14 @@
 
 Polygons are spread over the one to four cells their box touches on the rung of their
 size, sites emit one cell per rung in use, and an equi-join on the cell brings
-candidates together.  Polygons with many edges are first cut into horizontal *bands*,
-each holding only the edges that reach into it: a test needs just the edges at the
-point's height, so the answer is that of the whole polygon at a fraction of the cost.
+candidates together.  Small polygons carry their edges with them.
+
+Of a large polygon only the box takes part in that join.  Its height is cut into *bands*,
+and the bands form a binary tree of *slabs*: one band, two, four, and so on up to the whole
+height.  Each edge is stored once, in the smallest slab that holds both its ends; a site
+looks only into the slabs that hold its band, one per level, and the crossings found in
+them are added up.  Short edges lie deep in the tree and are seen by few sites; an edge as
+tall as the polygon is seen by all, but no edge is ever copied.
 """
 
 from __future__ import annotations
@@ -14,20 +19,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.geometry import all_segments, encloses
+from waymark.functions.geometry import all_segments, crossings, encloses
 from waymark.plans import grid
+from waymark.plans.saved import saved
 from waymark.plans.skew import ROWS_PER_TASK, balanced_join
 
-#: Edges per band aimed at; polygons up to this size are not cut.
+#: Polygons with more edges are cut into slabs; also the edges per band aimed at.
 EDGES_PER_BAND = 64
 
 #: Most bands of one polygon.  More edges than this allows make the bands longer.
-MAX_BANDS = 4096
+MAX_BANDS = 1 << 16
+
+#: Edges in one row of a slab.  Slabs with more edges have several rows.
+EDGES_PER_ROW = 4096
 
 #: Site cells sent to every executor; above this polygons and sites are shuffled.
 BROADCAST_SITE_CELLS = 500_000
 
-_PIECE_BOX = ("_x0", "_x1", "_y0", "_y1")
+_BOX = ("bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax")
+_FRAME = ["_bands", "_ymin", "_height"]
+_SLAB = ["_row", "_level", "_slab"]
 
 
 @dataclass(frozen=True)
@@ -40,67 +51,124 @@ class ContainsOptions:
 DEFAULT_OPTIONS = ContainsOptions()
 
 
-def _band_of(y: Column) -> Column:
-    """Band of a height; monotone in ``y``, so an edge spans the bands between those
-    of its ends."""
-    position = F.floor((y - F.col("_ymin")) / F.col("_ymax_gap") * F.col("_bands"))
-    inside = F.least(F.greatest(position, F.lit(0)), F.col("_bands") - 1)
-    return F.when(F.col("_bands") > 1, inside).otherwise(F.lit(0)).cast("int")
-
-
-def _with_band_count(layer: DataFrame, edges_per_band: int) -> DataFrame:
+def _with_bands(layer: DataFrame, edges_per_band: int) -> DataFrame:
     bands = F.least(F.ceil(F.col("n_edges") / edges_per_band), F.lit(MAX_BANDS))
-    height = F.col("bbox.ymax") - F.col("bbox.ymin")
+    height = (F.col("bbox.ymax") - F.col("bbox.ymin")).cast("double")
     return layer.withColumns(
         {
             "_bands": F.when(height > 0, bands).otherwise(F.lit(1)).cast("int"),
             "_ymin": F.col("bbox.ymin").cast("double"),
-            "_ymax_gap": F.when(height > 0, height).otherwise(F.lit(1.0)),
+            "_height": F.when(height > 0, height).otherwise(F.lit(1.0)),
         }
     )
 
 
-def _with_piece_box(df: DataFrame, band: Column) -> DataFrame:
-    """Box of one band, a hair taller than the band itself."""
-    step = F.col("_ymax_gap") / F.col("_bands")
-    low = F.col("_ymin") + step * band - 1e-9
-    return grid.with_rungs(
-        df.withColumns(
+def _band_of(y: Column) -> Column:
+    """Band of a height; monotone in ``y``, so an edge lies in the bands between those of
+    its ends."""
+    position = F.floor((y - F.col("_ymin")) / F.col("_height") * F.col("_bands"))
+    return F.least(F.greatest(position, F.lit(0)), F.col("_bands") - 1).cast("int")
+
+
+def _bits(value: str) -> str:
+    """Number of binary digits of a whole number, as SQL text."""
+    return f"if({value} = 0, 0, length(bin({value})))"
+
+
+def slabs(large: DataFrame) -> DataFrame:
+    """Edges of large polygons by the smallest slab that holds them.
+
+    One row per polygon (``_row``), level, slab and at most ``EDGES_PER_ROW`` edges, in
+    ``_edges``; each edge occurs once."""
+    edges = large.select("_row", *_FRAME, F.posexplode(all_segments("parts")).alias("_at", "_edge"))
+    placed = edges.withColumns(
+        {
+            "_low": _band_of(F.least("_edge.y1", "_edge.y2")),
+            "_high": _band_of(F.greatest("_edge.y1", "_edge.y2")),
+        }
+    ).withColumn("_level", F.expr(_bits("_low ^ _high")))
+    return (
+        placed.withColumns(
             {
-                "_x0": F.col("bbox.xmin").cast("double"),
-                "_x1": F.col("bbox.xmax").cast("double"),
-                "_y0": low,
-                "_y1": low + step + 2e-9,
+                "_slab": F.expr("shiftright(_low, _level)"),
+                "_part": F.floor(F.col("_at") / EDGES_PER_ROW),
             }
-        ),
-        _PIECE_BOX,
-        finer=0,
-        extent=("cast(bbox.xmax - bbox.xmin AS double)", "_ymax_gap / _bands"),
+        )
+        .groupBy(*_SLAB, "_part")
+        .agg(F.collect_list("_edge").alias("_edges"))
+    )
+
+
+def _box_join(
+    sites: DataFrame, shapes: DataFrame, pairs: list[int], many: bool, options: ContainsOptions
+) -> DataFrame:
+    """Pairs of a site and a shape whose box holds it."""
+    celled = (
+        grid.with_rungs(shapes, _BOX, finer=0)
+        .withColumn("cell", F.explode(grid.covered_cells()))
+        .drop(*grid.SCRATCH)
+        .withColumn("_slice", F.xxhash64(*_BOX))
     )
+    spread = sites.withColumn("cell", F.explode(grid.cells_at(pairs, "lng", "lat")))
+    if many:
+        joined = balanced_join(
+            spread, celled, ["cell"], sites.columns, ["_slice"], options.rows_per_task
+        )
+    else:
+        joined = celled.join(F.broadcast(spread), ["cell"])
+    return joined.where(
+        F.col("lng").between(F.col("bbox.xmin"), F.col("bbox.xmax"))
+        & F.col("lat").between(F.col("bbox.ymin"), F.col("bbox.ymax"))
+    ).drop("cell", "_slice")
 
 
-def _pieces(layer: DataFrame, keep: dict[str, Column], edges_per_band: int) -> DataFrame:
-    """Polygons, the large ones cut into bands: kept columns, box, band and edges."""
-    sized = _with_band_count(layer, edges_per_band)
-    frame = ["bbox", "_bands", "_ymin", "_ymax_gap"]
-    kept = [c.alias(n) for n, c in keep.items()]
-    small = sized.where(F.col("_bands") == 1).select(
-        *frame, *kept, F.lit(0).alias("_band"), all_segments("parts").alias("_edges")
+def _within_large(
+    sites: DataFrame,
+    near: DataFrame,
+    keep: dict[str, Column],
+    pairs: list[int],
+    many: bool,
+    options: ContainsOptions,
+) -> DataFrame:
+    """Matches among the polygons that are cut into slabs."""
+    kept = F.struct(*[c.alias(n) for n, c in keep.items()])
+    # rows are numbered once: ids may be missing or repeat
+    large = saved(
+        near.where(F.col("n_edges") > options.edges_per_band).select(
+            F.monotonically_increasing_id().alias("_row"), "bbox", "n_edges", "parts", kept.alias("_kept")
+        )
     )
-    large = sized.where(F.col("_bands") > 1)
-    edges = large.select(
-        "id", "_bands", "_ymin", "_ymax_gap", F.inline(all_segments("parts"))
+    large = _with_bands(large, options.edges_per_band)
+    shapes = large.select("_row", "bbox", *_FRAME, "_kept")
+    candidates = _box_join(sites, shapes, pairs, many, options).drop("bbox")
+    touched = candidates.select("_row").distinct()
+    pieces = slabs(large.join(touched, "_row", "left_semi"))
+    path = candidates.select(
+        *sites.columns,
+        "_row",
+        "_kept",
+        _band_of(F.col("lat")).alias("_band"),
+        F.explode(F.expr(f"sequence(0, {_bits('_bands - 1')})")).alias("_level"),
+    ).withColumn("_slab", F.expr("shiftright(_band, _level)"))
+    if many:
+        joined = balanced_join(
+            path, pieces, _SLAB, sites.columns, ["_part"], options.rows_per_task
+        )
+    else:
+        joined = path.join(pieces, _SLAB)
+    found = joined.select(
+        *sites.columns, "_row", "_kept", crossings("_edges", "lng", "lat").alias("_met")
     )
-    low = _band_of(F.least("y1", "y2"))
-    high = _band_of(F.greatest("y1", "y2"))
-    banded = (
-        edges.withColumn("_band", F.explode(F.sequence(low, high)))
-        .groupBy("id", "_band")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    return (
+        found.groupBy(*sites.columns, "_row")
+        .agg(
+            F.first("_kept").alias("_kept"),
+            F.sum("_met.crossed").alias("_crossed"),
+            F.bool_or("_met.touched").alias("_touched"),
+        )
+        .where("_crossed % 2 = 1 AND NOT _touched")
+        .select(*sites.columns, *[F.col(f"_kept.{n}") for n in keep])
     )
-    outline = large.select(F.col("id").alias("_id"), *frame, *kept)
-    cut = outline.join(banded.withColumnRenamed("id", "_id"), "_id").drop("_id")
-    return small.unionByName(cut)
 
 
 def contains_join(
@@ -112,10 +180,9 @@ def contains_join(
     """Pairs of a site and a polygon that encloses it, boundary excluded.
 
     ``sites`` holds distinct rows with ``lat`` and ``lng``; ``keep`` names the polygon
-    columns of the result.  ``layer`` must be prepared (``parts``, ``n_edges``) and have
-    unique ``id``.
+    columns of the result.  ``layer`` must be prepared (``parts``, ``n_edges``); each of its
+    rows is a polygon of its own, whatever its ``id``.
     """
-    x, y = F.col("lng"), F.col("lat")
     reach = sites.agg(
         F.count(F.lit(1)), F.min("lng"), F.max("lng"), F.min("lat"), F.max("lat")
     ).first()
@@ -126,31 +193,18 @@ def contains_join(
         & (F.col("bbox.ymin") <= north)
         & (F.col("bbox.ymax") >= south)
     )
-    # all bands of a polygon share one rung pair, so boxes and edge counts suffice
-    in_use = _with_piece_box(
-        _with_band_count(near.select("bbox", "n_edges"), options.edges_per_band),
-        F.lit(0),
-    )
-    pairs = sorted(r[0] for r in in_use.select("rungs").distinct().collect())
-    pieces = (
-        _with_piece_box(_pieces(near, keep, options.edges_per_band), F.col("_band"))
-        .withColumn("cell", F.explode(grid.covered_cells()))
-        .drop(*grid.SCRATCH)
-        .withColumn("_slice", F.xxhash64("_x0", "_y0", "_x1", "_band"))
+    # boxes and edge counts are enough to plan the join; at most RUNGS^2 rows
+    in_use = grid.with_rungs(near.select("bbox", "n_edges"), _BOX, finer=0)
+    in_use = in_use.groupBy("rungs").agg(F.max("n_edges").alias("edges")).collect()
+    pairs = sorted(r["rungs"] for r in in_use) or [0]
+    many = (count or 0) * len(pairs) > options.broadcast_site_cells
+    small = near.where(F.col("n_edges") <= options.edges_per_band).select(
+        "bbox", *[c.alias(n) for n, c in keep.items()], all_segments("parts").alias("_edges")
     )
-    spread = sites.withColumn("cell", F.explode(grid.cells_at(pairs or [0], "lng", "lat")))
-    if count * max(len(pairs), 1) > options.broadcast_site_cells:
-        joined = balanced_join(
-            spread, pieces, ["cell"], sites.columns, ["_slice"], options.rows_per_task
+    matches = _box_join(sites, small, pairs, many, options)
+    matches = matches.where(encloses("_edges", "lng", "lat")).select(*sites.columns, *keep)
+    if any((r["edges"] or 0) > options.edges_per_band for r in in_use):
+        matches = matches.unionByName(
+            _within_large(sites, near, keep, pairs, many, options)
         )
-    else:
-        joined = pieces.join(F.broadcast(spread), ["cell"])
-    return (
-        joined.where(
-            x.between(F.col("bbox.xmin"), F.col("bbox.xmax"))
-            & y.between(F.col("bbox.ymin"), F.col("bbox.ymax"))
-            & (F.col("_band") == _band_of(y))
-        )
-        .where(encloses("_edges", "lng", "lat"))
-        .select(*sites.columns, *keep)
-    )
+    return matches

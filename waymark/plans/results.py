@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.plans.skew import ROWS_PER_TASK, balanced_attach
+
 
 def nearest(pairs: DataFrame, site: list[str], k: Column, most: int) -> DataFrame:
     """The ``k`` nearest rows of each site, ``k <= most``, numbered in ``rank``, with
     their number in ``count``.
 
-    Ordered by distance, hence also by whole metres, then by ``id``.  The constant bound
-    lets Spark drop rows beyond it before the shuffle.
+    Ordered by distance, hence also by whole metres, then by ``id``, then by a hash of all
+    that was kept of a row.  The constant bound lets Spark drop rows beyond it before the
+    shuffle.
     """
-    order = W.partitionBy(*site).orderBy("distance", "id")
+    rest = [c for c in pairs.columns if c not in (*site, "distance", "id")]
+    row = [F.xxhash64(*rest)] if rest else []
+    order = W.partitionBy(*site).orderBy("distance", "id", *row)
     ranked = pairs.withColumn("rank", F.row_number().over(order))
     top = ranked.where(F.col("rank") <= most).where(F.col("rank") <= k)
     return top.withColumn("count", F.count(F.lit(1)).over(W.partitionBy(*site)))
@@ -61,14 +66,16 @@ def answer_points(
     matches: DataFrame,
     site: list[str],
     suggestion: Column,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Attach matches to every point that asked for them.
+    """Attach matches to every point that asked for them; popular sites are cut.
 
     Points without a match keep one row with null result columns and ``suggestion``;
     for all others ``suggestion`` is null.  ``matches`` must have a ``found`` column
     that is never null.
     """
-    joined = points.join(matches, site, "left")
+    ident = [c for c in points.columns if c not in site] or site
+    joined = balanced_attach(points, matches, site, ident, rows_per_task)
     return joined.withColumn(
         "suggestion", F.when(F.col("found").isNull(), suggestion)
     ).drop("found")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.plans.saved import saved
+
 #: Rows of one key that one task may hold before the key is split.
 ROWS_PER_TASK = 1_000_000
 
-#: Keys listed for splitting, the largest first.  Keys past the list are joined
-#: unsplit (adaptive execution still splits their partitions), so nothing is lost.
-MAX_SPLIT_KEYS = 10_000
+#: Large keys (narrow rows, counted) that are sent to every executor.
+BROADCAST_KEYS = 10_000
 
 
 def key_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,14 +19,43 @@ def key_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _large_keys(sizes: DataFrame, keys: list[str], rows: int) -> dict[tuple, int]:
-    large = (
-        sizes.where(F.col("n") > rows)
-        .select(*keys, "n")
-        .orderBy(F.desc("n"), *keys)
-        .limit(MAX_SPLIT_KEYS)
+def _large_keys(sizes: DataFrame, keys: list[str], rows: int, name: str) -> DataFrame:
+    """Keys with more than ``rows`` rows and the number of slices they need."""
+    return sizes.where(F.col("n") > rows).select(
+        *keys, F.ceil(F.col("n") / rows).cast("int").alias(name)
     )
-    return {tuple(r[k] for k in keys): -(-r["n"] // rows) for r in large.collect()}
+
+
+def _slice_of(ident: list[str], slices: Column) -> Column:
+    """A row's slice: a hash of its identifying columns, so that a recomputed task puts
+    it in the same place."""
+    return F.pmod(F.xxhash64(*ident), slices.cast("bigint")).cast("int")
+
+
+def _every(slices: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), slices - 1))
+
+
+class _Slices:
+    """How often large keys are cut: a stored table of keys and slice counts.
+
+    Few keys are broadcast.  Many meet the rows in a join that is itself cut: rows by their
+    hash, and every key repeated for each piece."""
+
+    def __init__(self, table: DataFrame, keys: list[str], counts: list[str]):
+        self.table, self.keys, self.counts = saved(table), keys, counts
+        largest = F.max(F.greatest(*counts) if len(counts) > 1 else F.col(counts[0]))
+        self.number, self.most = self.table.agg(F.count(F.lit(1)), largest).first()
+
+    def onto(self, df: DataFrame, ident: list[str]) -> DataFrame:
+        """Add the slice counts of each row's key, 1 where it is not cut."""
+        if self.number <= BROADCAST_KEYS:
+            sized = df.join(F.broadcast(self.table), self.keys, "left")
+        else:
+            table = self.table.withColumn("_piece", _every(F.lit(self.most)))
+            dealt = df.withColumn("_piece", _slice_of(ident, F.lit(self.most)))
+            sized = dealt.join(table, [*self.keys, "_piece"], "left").drop("_piece")
+        return sized.withColumns({c: F.coalesce(c, F.lit(1)) for c in self.counts})
 
 
 def balanced_join(
@@ -45,40 +75,41 @@ def balanced_join(
 
     A key with ``m`` slices on the left and ``n`` on the right becomes ``m * n`` keys:
     every left row goes to one of the ``m`` slices and is repeated for the ``n`` slices
-    of the other side, and the reverse.  Each pair of rows meets exactly once.  The
-    slice of a row is a hash of its identifying columns, so a recomputed task puts it
-    in the same place.
+    of the other side, and the reverse.  Each pair of rows meets exactly once.
     """
-    sizes = key_sizes(left, keys) if left_sizes is None else left_sizes
-    slices = {k: [n, 1] for k, n in _large_keys(sizes, keys, rows_per_task).items()}
-    sizes = key_sizes(right, keys) if right_sizes is None else right_sizes
-    for key, n in _large_keys(sizes, keys, rows_per_task).items():
-        slices.setdefault(key, [1, 1])[1] = n
-    if not slices:
-        return left.join(right, keys)
-
-    spark = left.sparkSession
-    fields = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
-    table = F.broadcast(  # at most 2 * MAX_SPLIT_KEYS rows
-        spark.createDataFrame(
-            [(*key, m, n) for key, (m, n) in slices.items()],
-            f"{fields}, _m int, _n int",
-        )
+    sizes = [
+        key_sizes(df, keys) if given is None else given
+        for df, given in ((left, left_sizes), (right, right_sizes))
+    ]
+    large = _large_keys(sizes[0], keys, rows_per_task, "_m").join(
+        _large_keys(sizes[1], keys, rows_per_task, "_n"), keys, "full"
     )
+    slices = _Slices(large.na.fill(1, ["_m", "_n"]), keys, ["_m", "_n"])
+    if not slices.number:
+        return left.join(right, keys)
 
     def cut(df: DataFrame, ident: list[str], own: str, other: str, mine: str, theirs: str):
-        sized = df.join(table, keys, "left").withColumns(
-            {
-                mine: F.pmod(
-                    F.xxhash64(*ident), F.coalesce(F.col(own), F.lit(1)).cast("bigint")
-                ).cast("int"),
-                "_reach": F.coalesce(F.col(other), F.lit(1)),
-            }
-        )
-        return sized.withColumn(
-            theirs, F.explode(F.sequence(F.lit(0), F.col("_reach") - 1))
-        ).drop("_m", "_n", "_reach")
+        sized = slices.onto(df, ident).withColumn(mine, _slice_of(ident, F.col(own)))
+        return sized.withColumn(theirs, _every(F.col(other))).drop("_m", "_n")
 
     cut_left = cut(left, left_id, "_m", "_n", "_sl", "_sr")
     cut_right = cut(right, right_id, "_n", "_m", "_sr", "_sl")
     return cut_left.join(cut_right, [*keys, "_sl", "_sr"]).drop("_sl", "_sr")
+
+
+def balanced_attach(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_id: list[str],
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Left join in which keys with many rows on the left are cut: their rows are dealt
+    into slices, and what belongs to the key on the right is repeated for each."""
+    large = _large_keys(key_sizes(left, keys), keys, rows_per_task, "_m")
+    slices = _Slices(large, keys, ["_m"])
+    if not slices.number:
+        return left.join(right, keys, "left")
+    dealt = slices.onto(left, left_id).withColumn("_s", _slice_of(left_id, F.col("_m")))
+    repeated = slices.onto(right, keys).withColumn("_s", _every(F.col("_m")))
+    return dealt.drop("_m").join(repeated.drop("_m"), [*keys, "_s"], "left").drop("_s")

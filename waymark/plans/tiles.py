@@ -16,7 +16,6 @@ circle with the ellipsoid's smallest radius of curvature.
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,6 +38,7 @@ from waymark.plans.radius import (
     within_reach,
 )
 from waymark.plans.results import nearest
+from waymark.plans.saved import saved
 from waymark.plans.skew import balanced_join
 
 #: Tile size below the cell size, in rungs (factor 4 each).
@@ -173,22 +173,6 @@ def _open_tiles(
     return within_reach(joined)
 
 
-def _saved(tiles: DataFrame) -> DataFrame:
-    """Store the tile table, so that the layer is read for it only once.
-
-    It goes to the session's checkpoint folder, which a cluster shares.
-    """
-    context = tiles.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = tiles.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all nodes share")
-            folder = tempfile.mkdtemp(prefix="waymark-")
-        context.setCheckpointDir(folder)
-    return tiles.checkpoint()
-
-
 def _null_safe(column: Column) -> tuple[Column, Column]:
     return F.coalesce(column, F.lit("")), column.isNull()
 
@@ -219,7 +203,7 @@ def radius_counts(
     )
     kind = [*criteria.match, *criteria.traits, "_g", "_g0"]
     keyed = _with_tiles(features, facts.pairs)
-    tiles = _saved(_tile_table(keyed, kind))
+    tiles = saved(_tile_table(keyed, kind))
     hits = _tile_hits(spread_sites(ranged), sites, tiles, criteria, options)
     whole = hits.where("whole").select(*sites.columns, "_g", "_g0", "n")
     rim = _open_tiles(hits.where("NOT whole"), sites, keyed, tiles, kind, options)
@@ -267,7 +251,7 @@ def radius_nearest(
     )
     kind = [*criteria.match, *criteria.traits]
     keyed = _with_tiles(features, facts.pairs)
-    tiles = _saved(_tile_table(keyed, kind))
+    tiles = saved(_tile_table(keyed, kind))
     hits = _tile_hits(spread_sites(ranged), sites, tiles, criteria, options)
     # per site at most a few thousand tiles, however many features they stand for
     per_site = W.partitionBy(*sites.columns)

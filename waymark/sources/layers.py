@@ -94,8 +94,11 @@ def scan_layer(
 
 
 def normalise_geometry(layer: DataFrame, column: str = "geometry") -> DataFrame:
-    """Decode WKB and add everything the joins need.  Raw layer in, prepared one out."""
-    return with_representative(wkb.decode(layer, column))
+    """Decode WKB and add everything the joins need.  Raw layer in, prepared one out.
+
+    A row whose bytes are no geometry stays, with null geometry and the reason in
+    ``geometry_error``; no operator finds it."""
+    return with_representative(wkb.decode(layer, column, "geometry_error"))
 
 
 def with_representative(decoded: DataFrame) -> DataFrame:

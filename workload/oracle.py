@@ -479,13 +479,12 @@ def point_in_admin_boundary() -> str:
         *_containment("divisions", "class = 'land'"),
         _NESTED,
     ]
+    # Wording of the suggestion.
+    text = "No administrative boundaries found for this point. It may be in international waters or an area with limited coverage."
     return f"""{_with(*ctes)}
 SELECT query_id, lat AS query_lat, lng AS query_lng, locality, region, country, admin_levels,
-  CASE WHEN admin_levels IS NULL THEN 'No administrative boundaries found for this point. '
-    'It may be in international waters or an area with limited coverage.' END AS suggestion
-FROM points LEFT JOIN nested USING (query_id)""".replace(
-        "point. '\n    'It", "point. It"
-    )
+  CASE WHEN admin_levels IS NULL THEN '{text}' END AS suggestion
+FROM points LEFT JOIN nested USING (query_id)"""
 
 
 def land_use_at_point() -> str:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions import geometry, wkb
+from waymark.functions import geometry
 from waymark.operators import buildings, divisions, land_use, places, profile, roads
 from waymark.operators.screening import screen_points
 from waymark.sources import manifest
 from waymark.sources.layers import normalise_geometry
 from waymark.sources.taxonomy import load_taxonomy
+from workload.geometry_bytes import encode
 from workload.layers import derive, layer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,7 +158,7 @@ def prune_files_by_point(spark: SparkSession, sf: str) -> DataFrame:
 def normalised_geometry(spark: SparkSession, sf: str) -> DataFrame:
     frames = []
     for name in ("places", "buildings", "divisions", "roads", "land_use"):
-        raw = wkb.encode(derive(spark, sf, name).select("id", "geom_type", "parts"))
+        raw = encode(derive(spark, sf, name).select("id", "geom_type", "parts"))
         prepared = normalise_geometry(raw)
         frames.append(
             prepared.select(

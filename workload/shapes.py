@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from waymark.operators.screening import LAND_USE_SUBTYPES as SUBTYPES
+from waymark.operators.screening import ROAD_CLASSES
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -77,16 +80,6 @@ BUILDING_CLASSES = (
     ("3-MEDIUM", "industrial"),
     ("5-LOW", "education"),
 )
-ROAD_CLASSES = (
-    "motorway", "trunk", "primary", "secondary", "tertiary", "residential",
-    "service", "footway", "cycleway", "path", "track", "unclassified",
-)
-SUBTYPES = (
-    "residential", "commercial", "industrial", "institutional", "agriculture",
-    "aquaculture", "recreation", "park", "forest", "cemetery", "religious",
-    "military", "education", "medical", "transportation", "airport", "port",
-    "dam", "quarry", "landfill", "brownfield", "greenfield",
-)
 SURFACES = ("asphalt", "paved", "gravel", "dirt", "cobblestone", "concrete", "sand", "wood")
 
 
