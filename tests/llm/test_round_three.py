@@ -183,7 +183,7 @@ def plain_collocations(rows, threshold, most, top):
 def test_collocations(spark, options, monkeypatch):
     # many partitions and full filters give the same rows; the workers get these by closure or argument
     monkeypatch.setattr(phrases, "PART_MASS", 500)
-    monkeypatch.setattr(phrases, "MAX_FILTER_BITS", 18)
+    monkeypatch.setattr(phrases, "MAX_FILTER_BITS", 15)
     threshold, most, top = options
     table = spark.read.parquet(f"{SMALL}/documents.parquet").select("lang", "text").limit(60)
     rows = [tuple(r) for r in table.collect()]

@@ -4,8 +4,9 @@ Frequent n-grams are found with mergeable Misra-Gries summaries, one per hash pa
 n-grams. A summary's capacity exceeds its mass (the occurrences it stands for) divided by the
 threshold. Dropping the smallest counts takes at least capacity + 1 occurrences for each one
 that an n-gram loses, in whatever order summaries merge; so no n-gram loses as many as the
-threshold, and every frequent one survives. Words and pairs are summarised first; longer
-n-grams only where all their pairs survived, since a phrase is no more frequent than its parts.
+threshold, and every frequent one survives; those whose count cannot reach the threshold even
+with all that was lost are left out. Words and pairs are summarised first; longer n-grams only
+where all their pairs survived, since a phrase is no more frequent than its parts.
 A second pass counts the survivors exactly, by their words.
 """
 
@@ -36,7 +37,7 @@ PART_MASS = 1 << 22
 #: count, which drops them.
 MAX_FILTER_BITS = 28
 #: Bits of one piece of a filter.
-_PIECE_BITS = 18
+_PIECE_BITS = 14
 #: Languages sent to every executor.
 MAX_LANGUAGES = 10_000
 #: Phrases of a task's exact counts before they are sent on.
@@ -153,7 +154,7 @@ def _survivors_of(most: int):
 
 
 def _summaries(source, filters: list, capacity: int, parts: int):
-    """A task's summaries, one per hash partition: part, mass, grams, counts."""
+    """A task's summaries, one per hash partition: part, mass, lost, grams, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -188,12 +189,15 @@ def _sent(grams: np.ndarray, counts: np.ndarray, capacity: int, parts: int) -> p
         some, lost = reduced(counts[low:high], capacity)
         left = some > 0 if lost else slice(None)
         mass = int(counts[low:high].sum())
-        rows.append((mass, grams[low:high][left].tobytes(), some[left].astype(np.uint32 if mass < 1 << 32 else np.uint64).tobytes()))
-    masses, keys, values = zip(*rows, strict=True)
+        rows.append((mass, lost, grams[low:high][left].tobytes(), some[left].astype(np.uint32 if mass < 1 << 32 else np.uint64).tobytes()))
+    masses, losses, keys, values = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(found.astype(np.int32)), pa.array(masses, pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())],
-        ["part", "mass", "grams", "counts"],
-    )
+        [
+            pa.array(found.astype(np.int32)), pa.array(masses, pa.int64()), pa.array(losses, pa.int64()),
+            pa.array(keys, pa.binary()), pa.array(values, pa.binary()),
+        ],
+        ["part", "mass", "lost", "grams", "counts"],
+    )
 
 
 def _merged(threshold: int):
@@ -207,8 +211,10 @@ def _merged(threshold: int):
             wide = np.uint64 if len(values) == len(keys) else np.uint32
             counts.append(np.frombuffer(values, wide).astype(np.int64))
         found, total = counted(np.concatenate(grams), np.concatenate(counts))
-        total, lost = reduced(total, capacity)
-        return pa.table({"gram": found[total > 0].view(np.int64)})
+        left, lost = reduced(total, capacity)
+        # an n-gram has at most its count and all that any summary took from it
+        most = left + lost + sum(group["lost"].to_pylist())
+        return pa.table({"gram": found[(left > 0) & (most >= threshold)].view(np.int64)})
 
     return merge
 
@@ -217,7 +223,7 @@ def _survivors(texts: DataFrame, source, filters: list, mass: int, threshold: in
     """Hashes of n-grams, among them all that occur ``threshold`` times: gram."""
     parts = mass // PART_MASS + 1
     made = _summaries(source, filters, mass // threshold + 1, parts)
-    summaries = texts.mapInArrow(made, "part int, mass long, grams binary, counts binary")
+    summaries = texts.mapInArrow(made, "part int, mass long, lost long, grams binary, counts binary")
     return stored(summaries.groupBy("part").applyInArrow(_merged(threshold), "gram long"))
 
 
