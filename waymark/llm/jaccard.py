@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.blocks import Block, blocks, mix, one_array, u64
 from waymark.llm.components import components
-from waymark.llm.tables import BROADCAST_BYTES, picked, probe_sorted, probed, schema, sorted_arrays, stored
+from waymark.llm.tables import BROADCAST_BYTES, picked, probe_sorted, probed, schema, small_batches, sorted_arrays, stored
 
 WORDS = 3
 SIMILARITY_PERCENT = 90
@@ -424,14 +424,16 @@ def similar_documents(
     spark = docs.sparkSession
     docs = picked(docs, id_col, text_col)
     made = "doc_id long, set_id long, n_shingles long, histogram binary, bucket int, n long"
-    described = stored(docs.mapInArrow(_described(words), made))
+    with small_batches(spark):
+        described = stored(docs.mapInArrow(_described(words), made))
     sketch = described.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SKETCH_BUCKETS, np.int64)
     counts[sketch["bucket"].to_numpy(int)] = sketch["n"].to_numpy()
     held = spark.sparkContext.broadcast(counts)
     named = described.filter("bucket is null").select("doc_id", "set_id", "n_shingles")
     index = docs.select("_text").mapInArrow(_indexed(words, percent, held), "token long, set_id long, size int")
-    index = stored(index)
+    with small_batches(spark):
+        index = stored(index)
     shared = index.groupBy("token").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a < b")
     lists = index.join(shared.select("token"), "token").distinct()
     # two sets of too different sizes are no list; of tokens with equal lists, one is enough

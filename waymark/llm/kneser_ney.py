@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.blocks import Block, blocks, counted, mix, one_array, places, totals, u64
-from waymark.llm.tables import BROADCAST_BYTES, picked, probe_sorted, probed, schema, sorted_arrays, stored
+from waymark.llm.tables import BROADCAST_BYTES, picked, probe_sorted, probed, schema, small_batches, sorted_arrays, stored
 
 ORDER = 5
 #: Bands reach so many times the distance between the median and the outer tenths.
@@ -249,7 +249,9 @@ def quality(
     """
     docs = picked(docs, id_col, text_col, lang_col, keep_rows=keep_rows)
     docs = docs.withColumnRenamed(f"_{lang_col}", "_lang")
-    index, shards = sorted_arrays(stored(probabilities(stored(ngram_counts(docs)))))
+    with small_batches(docs.sparkSession):
+        counts = stored(ngram_counts(docs))
+    index, shards = sorted_arrays(stored(probabilities(counts)))
     made = schema(
         "doc_id bigint", "lang string", "n_words bigint", "word_chars bigint", "n_symbols bigint",
         "n_dup_lines bigint", "n_repeat_words bigint", "n_bytes bigint", "bits double",
@@ -257,7 +259,8 @@ def quality(
     )
     found = probed(docs, index, shards, _gram_keys, probe_sorted, np.nan, _features, made, limit=limit)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    found = stored(found.withColumn("base_failed", failed))
+    with small_batches(docs.sparkSession):
+        found = stored(found.withColumn("base_failed", failed))
     bands = stored(_bands(found.filter("not base_failed"), band_width))
     if bands.count() <= MAX_LANGUAGES:
         bands = F.broadcast(bands)

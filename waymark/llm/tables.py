@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,29 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Session settings for batches that cross into Python: rows, and bytes.
+_BATCH_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables stored meanwhile pass through Python in batches of a few megabytes of text.
+
+    A single longer text is still one batch. The session's own settings return afterwards.
+    """
+    before = {name: spark.conf.get(name) for name in _BATCH_SETTINGS}
+    for name, value in _BATCH_SETTINGS.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def picked(docs: DataFrame, id_col: str, text_col: str, *more: str, keep_rows: bool = False) -> DataFrame:
     """Columns ``_id`` (bigint), ``_text``, ``_<more>`` as text and, on wish, ``row`` (the other columns).
 
