@@ -40,6 +40,8 @@ BLOCK_SHINGLES = 1 << 20
 _PART_ROWS = 50_000
 #: Bytes of text scanned at once: arrays that fit into the processor's cache.
 _SCAN_BYTES = 1 << 18
+#: Sets a task remembers, to put each into the index once.
+_SEEN_SETS = 1 << 19
 _DESCRIBED = ["doc_id", "set_id", "n_shingles", "histogram", "bucket", "n"]
 
 
@@ -205,8 +207,10 @@ def _indexed(words: int, percent: int, sketch):
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > _SEEN_SETS:
+                seen.clear()
             for block in blocks(batch["_text"], _SCAN_BYTES):
                 rows, hashed = shingle_sets(block, words)
                 ids = _set_ids(rows, hashed, len(block))
@@ -434,14 +438,15 @@ def similar_documents(
     index = docs.select("_text").mapInArrow(_indexed(words, percent, held), "token long, set_id long, size int")
     with small_batches(spark):
         index = stored(index)
-    shared = index.groupBy("token").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a < b")
+    # copies of one set may count more than once here; lists of one set go below
+    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     lists = index.join(shared.select("token"), "token").distinct()
     # two sets of too different sizes are no list; of tokens with equal lists, one is enough
     sums = lists.groupBy("token").agg(
         F.count(F.lit(1)).alias("k"), F.min("set_id").alias("pivot"), F.expr("bit_xor(xxhash64(set_id))").alias("x"),
         F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("mass"),
     )
-    sums = sums.filter(f"k > 2 or 100 * low >= {percent} * high")
+    sums = sums.filter(f"k > 2 or k = 2 and 100 * low >= {percent} * high")
     sums = sums.groupBy("k", "pivot", "x", "mass").agg(F.min("token").alias("token")).drop("x")
     lists = stored(lists.join(sums, "token"))
     known = described.filter("n_shingles > 0").groupBy("set_id").agg(
