@@ -23,7 +23,7 @@ from waymark.llm.blocks import blocks, gather, one_array
 from waymark.llm.tables import picked, schema
 
 #: Bytes of text whose words form one corpus.
-CORPUS_BYTES = 24 << 20
+CORPUS_BYTES = 8 << 20
 _NONE = np.int64(1 << 40)
 
 
