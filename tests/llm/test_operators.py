@@ -220,6 +220,18 @@ def test_secrets(spark):
     assert {r.doc_id for r in found} == set(range(60)) and {r.length for r in found} == {40}
 
 
+def test_every_run_of_a_word_is_a_candidate(spark):
+    one, two, letters = "0a" * 20, "1b" * 20, "qwertzuiopasdfghjklyxcvbnmqwertzuiopasdf"
+    url = f"https://example.com/longpathwithoutdigits?token={one}"
+    data = [(1, f"a={one},b={two}"), (2, url), (3, f"key = {letters}"), (4, "password=hunter2hunter2"), (5, "x" * 11)]
+    docs = frame(spark, data).select("doc_id", "text", "source")
+    found = lambda **options: {(r.doc_id, r.candidate_sha256) for r in secrets(docs, **options).collect()}
+    want = {(1, one), (1, two), (2, one), (3, letters)}
+    assert {(d, brute.sha(t.encode())) for d, t in want} <= found()
+    short = (4, brute.sha(b"hunter2hunter2"))
+    assert short not in found() and short in found(min_length=12)
+
+
 def test_queries_have_contract_columns(spark):
     found = queries.op1_quality_rules(spark, SMALL)
     assert {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"} <= set(found.columns)

@@ -1,6 +1,6 @@
 """Secret candidates and a random forest that removes false findings; DataFrame functions only.
 
-Candidates are long runs of key characters with a digit in them. The forest sees a candidate's
+Candidates are all long runs of key characters, several to a word where there are. The forest sees a candidate's
 length, its character classes and how often they change, how much of it the corpus' frequent
 words cover, its path, and the words around it. It is trained on labelled findings: given
 ones, or those that strict rules decide.
@@ -24,33 +24,40 @@ DICTIONARY_DOCS = 5
 TREES, TREE_DEPTH, SEED = 20, 6, 17
 _BINS = 8
 _NAMES = r"(?i)(token|secret|passw|passwd|pwd|key|auth|credential)"
-_CANDIDATE = rf"[A-Za-z0-9_+/=.\-]{{{MIN_LENGTH},}}"
 FEATURES = [
     "length", "digit_share", "upper_share", "hex_only", "transitions", "distinct_share", "covered",
     "named_before", "assigned", "quoted", "path_bin", "before_bin", "after_bin",
 ]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def _runs(min_length: int) -> str:
+    """Key characters; an equals sign ends a key but does not stand inside one."""
+    return rf"[A-Za-z0-9_+/.\-]{{{min_length},}}={{0,2}}"
+
+
+def candidates(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """Candidates of ``docs`` (_id, _text, _path) with their neighbours.
 
-    Result: _id, _path, word (number in the text), candidate, before2, before, after, raw.
+    Result: _id, _path, word (number in the text), run (number in the word), candidate, before2,
+    before, after, raw.
     """
+    pattern = _runs(min_length)
     words = F.split("_text", r"[\x20\x09-\x0D]+")
     near = lambda w, i: F.struct(
         i.alias("word"),
         w.alias("raw"),
-        F.regexp_extract(w, f"({_CANDIDATE})", 1).alias("candidate"),
+        F.regexp_extract_all(w, F.lit(f"({pattern})"), F.lit(1)).alias("runs"),
         F.get("_words", i - 1).alias("before"),
         F.get("_words", i - 2).alias("before2"),
         F.get("_words", i + 1).alias("after"),
     )
-    long = lambda w: (F.length(w) >= MIN_LENGTH) & w.rlike("[0-9]") & w.rlike(_CANDIDATE)
+    long = lambda w: (F.length(w) >= min_length) & w.rlike(pattern)
     docs = docs.withColumn("_words", words).filter(F.exists("_words", long))
     # only the few words that qualify get neighbours
     places = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: long(F.get("_words", i)))
     found = docs.select("_id", "_path", F.explode(F.transform(places, lambda i: near(F.get("_words", i), i))).alias("c"))
-    return found.select("_id", "_path", "c.*").filter(F.col("candidate").rlike("[0-9]"))
+    each = found.select("_id", "_path", "c.*")
+    return each.select(*[c for c in each.columns if c != "runs"], F.posexplode("runs").alias("run", "candidate"))
 
 
 def _share(pattern: str) -> Column:
@@ -113,17 +120,19 @@ def secrets(
     path_col: str = "source",
     train_rows: int = TRAIN_ROWS,
     threshold: float = 0.5,
+    min_length: int = MIN_LENGTH,
 ) -> DataFrame:
     """Candidates of every text with the probability that they are secrets.
 
     ``labelled`` has candidate and label (1 secret, 0 not) and replaces the strict rules. Result:
-    doc_id, word (number of the white-space word), candidate_sha256, length, probability, kept.
+    doc_id, word (number of the white-space word), run (number of the run in it), candidate_sha256,
+    length, probability, kept. A candidate is a run of at least ``min_length`` key characters.
     Null and empty texts have no candidates; repeated rows each report theirs; a null path is a
     path of its own. If one class of labels is missing, all candidates keep the share of the
     other class as probability. Extra columns are left out.
     """
     docs = picked(docs, id_col, text_col, path_col).withColumnRenamed(f"_{path_col}", "_path")
-    found = stored(featured(candidates(docs), dictionary(docs, DICTIONARY_DOCS)))
+    found = stored(featured(candidates(docs, min_length), dictionary(docs, DICTIONARY_DOCS)))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     rows = assembler.transform(found)
     if labelled is None:
@@ -140,7 +149,7 @@ def secrets(
     else:
         rows = rows.withColumn("p", F.lit(float(next(iter(classes), 0.0))))
     return rows.select(
-        F.col("_id").alias("doc_id"), F.col("word").cast("bigint").alias("word"),
+        F.col("_id").alias("doc_id"), F.col("word").cast("bigint").alias("word"), F.col("run").cast("bigint").alias("run"),
         F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("bigint").alias("length"),
         F.col("p").alias("probability"), (F.col("p") >= threshold).alias("kept"),
     )
