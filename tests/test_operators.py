@@ -126,7 +126,7 @@ def test_corner_prefilter_can_lose_a_building(spark):
         raw(spark, "building", rows, lambda r: ("POLYGON", [[square(LNG, north(40), sizes[r["id"]])]]))
     )
     points = spark.createDataFrame([(1, LAT, LNG, 50)], POINTS)
-    assert buildings.building_count_in_radius(points, layer).first()["count"] == 1
+    assert buildings.building_count_in_radius(points, layer, RadiusOptions("corner")).first()["count"] == 1
     whole = RadiusOptions(prefilter="none")
     assert buildings.building_count_in_radius(points, layer, whole).first()["count"] == 2
     shares = buildings.building_class_composition(points, layer, whole).collect()
@@ -221,10 +221,12 @@ def test_envelope_reaches_the_scan(spark, cafes, tmp_path):
     cafes.write.parquet(f"{tmp_path}/p")
     points = spark.createDataFrame([(1, LAT, LNG, 500, "cafe")], POINTS + ", category string")
     spark.conf.set("spark.sql.maxMetadataStringLength", 100_000)
-    df = places.count_places_by_type_in_radius(points, spark.read.parquet(f"{tmp_path}/p"), load_taxonomy(spark))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    scan = next(l for l in plan.splitlines() if "FileScan parquet" in l and "rep_ex" in l)
-    assert "GreaterThanOrEqual(bbox.xmin" in scan and "LessThanOrEqual(bbox.ymin" in scan
+    for prefilter, x, y in (("corner", "bbox.xmin", "bbox.ymin"), ("none", "rep_x", "rep_y")):
+        options = RadiusOptions(prefilter)
+        df = places.count_places_by_type_in_radius(points, spark.read.parquet(f"{tmp_path}/p"), load_taxonomy(spark), options)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scan = next(l for l in plan.splitlines() if "FileScan parquet" in l and "rep_ex" in l)
+        assert f"GreaterThanOrEqual({x}" in scan and f"LessThanOrEqual({y}" in scan
     assert "BroadcastHashJoin" in plan and "parts" not in scan.split("ReadSchema")[1]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.brute import as_layer, geodesic, radius_pairs, random_features, random_sites
 from waymark.functions.geometry import PARTS_TYPE
-from waymark.plans import contains, skew
+from waymark.plans import contains, skew, tiles
 from waymark.plans.contains import ContainsOptions, contains_join
 from waymark.plans.radius import Criteria, RadiusOptions, radius_join
 from waymark.plans.results import composition
@@ -15,7 +15,8 @@ from waymark.plans.skew import balanced_join
 from waymark.plans.tiles import radius_counts, radius_nearest
 
 SITE = ["lat", "lng", "radius_m"]
-MANY = {"broadcast_site_cells": 0, "rows_per_task": 40}
+MANY = {"broadcast_site_cells": 0, "rows_per_task": 40, "pairs_per_row": 0}
+DIRECT = MANY | {"pairs_per_row": 10**9}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +39,7 @@ def test_radius_join_is_the_nested_loop(world, prefilter, extra):
 
 
 @pytest.mark.parametrize("prefilter", ["corner", "none"])
-@pytest.mark.parametrize("extra", [{}, MANY], ids=["broadcast", "tiles"])
+@pytest.mark.parametrize("extra", [{}, MANY, DIRECT], ids=["broadcast", "tiles", "shuffled"])
 def test_counts_per_group(world, prefilter, extra):
     features, sites, layer, site_df = world
     kind = dict(zip(features.id, features.kind))
@@ -51,7 +52,7 @@ def test_counts_per_group(world, prefilter, extra):
     assert rows == dict(want)
 
 
-@pytest.mark.parametrize("extra", [{}, MANY], ids=["broadcast", "tiles"])
+@pytest.mark.parametrize("extra", [{}, MANY, DIRECT], ids=["broadcast", "tiles", "shuffled"])
 def test_nearest_of_a_kind(world, extra):
     features, sites, layer, site_df = world
     pairs = radius_pairs(sites, features, True)
@@ -73,7 +74,7 @@ def test_nearest_of_a_kind(world, extra):
         F.col("k"),
         7,
         Criteria(match={"kind": F.col("kind")}),
-        RadiusOptions(**extra),
+        RadiusOptions("corner", **extra),
     )
     rows = {(r.lat, r.lng, r.radius_m, r["rank"], round(r.distance, 3)) for r in got.collect()}
     assert rows == want and len(want) > 100
@@ -214,3 +215,36 @@ def test_a_popular_site_is_dealt_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(r["count"] for r in rows) == 4000 and max(r["count"] for r in rows) < 1200
+
+
+def test_the_tiles_tell_dense_layers_from_sparse_ones(world):
+    features, sites, layer, site_df = world
+    options = RadiusOptions(**MANY)
+    ranged = tiles.ranged_sites(site_df.select(*SITE), options)
+    facts = tiles.site_facts(ranged)
+    keyed = tiles._with_tiles(tiles.feature_rows(layer, [], facts, options), facts.pairs)
+    table, spread = tiles._tile_table(keyed, []), tiles.spread_sites(ranged)
+    pairs = keyed.join(spread, "cell").count()
+    rows = keyed.count() + spread.count()
+    for factor, dense in ((0.9, True), (1.1, False)):
+        given = RadiusOptions(pairs_per_row=factor * pairs / rows)
+        assert tiles._dense(spread, table, ["cell"], given) is dense
+
+
+def test_ranking_carries_no_geometry_of_files(spark, tmp_path, world):
+    features, sites, layer, site_df = world
+    shaped = layer.withColumn("parts", F.array(F.array(F.array(F.struct(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))))))
+    shaped.repartition(6).write.parquet(str(tmp_path / "layer"))
+    read = spark.read.parquet(str(tmp_path / "layer"))
+    keyed = read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    keep, criteria = {"kind": F.col("kind"), "parts": F.col("parts")}, Criteria(match={"kind": F.col("kind")})
+    keep.pop("kind")
+    for extra in ({}, MANY, DIRECT):
+        options = RadiusOptions(**extra)
+        bare = tiles.ranked(site_df, keyed, {c: F.col(c) for c in tiles.ROW_KEY}, F.col("k"), 7, criteria, options)
+        assert "parts" not in bare._jdf.queryExecution().optimizedPlan().toString()
+        got, want = (radius_nearest(site_df, some, keep, F.col("k"), 7, criteria, options) for some in (keyed, read))
+        shown = lambda df: sorted((r.lat, r.lng, r.radius_m, r["rank"], round(r.distance, 6), r["count"]) for r in df.collect())
+        assert shown(got) == shown(want)
+        near = got.where("abs(parts[0][0][0].y - lat) > 1").count()
+        assert near == want.where("abs(parts[0][0][0].y - lat) > 1").count()

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geometry import as_text
 
-# Longest geometry text returned, and the notes given instead.
-GEOMETRY_TEXT_CAP = 10_000
-GEOMETRY_NOTE = "Geometry too large (>10,000 chars). Omitted to save tokens."
-PLACE_GEOMETRY_NOTE = "Geometry too large (>10000 chars). Omitted to save tokens."
+# The notes given instead of a geometry text that is too long.
+GEOMETRY_NOTE = "Geometry too large (>{cap:,} chars). Omitted to save tokens."
+PLACE_GEOMETRY_NOTE = "Geometry too large (>{cap} chars). Omitted to save tokens."
 
 
 def first(values: Column) -> Column:
@@ -47,13 +46,13 @@ def has_flag(road_flags: Column, flag: str) -> Column:
 
 
 def geometry_columns(
-    wanted: Column, note: str
+    wanted: Column, note: str, cap: int
 ) -> dict[str, Column]:
     """``geometry`` and ``geometry_note`` from ``geom_type`` and ``parts``, both null
     unless ``wanted``."""
     text = F.when(wanted, as_text("geom_type", "parts"))
-    fits = F.length(text) <= GEOMETRY_TEXT_CAP
+    fits = F.length(text) <= cap
     return {
         "geometry": F.when(fits, text),
-        "geometry_note": F.when(~fits, F.lit(note)),
+        "geometry_note": F.when(~fits, F.lit(note.format(cap=cap))),
     }

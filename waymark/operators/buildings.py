@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.operators.screening import accepted_points
 from waymark.operators.shares import share_answers
 from waymark.plans.radius import DEFAULT_OPTIONS, RadiusOptions
-from waymark.plans.results import answer_points
+from waymark.plans.results import answer_points, with_data_version
 from waymark.plans.tiles import radius_counts
 from waymark.sources.manifest import Layer, around
 
@@ -19,7 +19,7 @@ def building_count_in_radius(
     points: DataFrame, buildings: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """How many buildings have their centroid within ``radius_m``; zeros included."""
-    accepted = accepted_points(points, "building_count_in_radius")
+    accepted = accepted_points(points, "building_count_in_radius", limits=options.limits)
     counts = radius_counts(
         accepted.select(*_SITE).distinct(),
         around(buildings, accepted, options.prefilter),
@@ -30,7 +30,7 @@ def building_count_in_radius(
         F.lit("Zero buildings found within "), F.col("radius_m").cast("string"),
         F.lit("m. This may be an undeveloped area or indicate sparse coverage in this region."),
     )
-    return answer_points(accepted, counts, _SITE, suggestion).select(
+    made = answer_points(accepted, counts, _SITE, suggestion).select(
         "query_id",
         F.col("lat").alias("query_lat"),
         F.col("lng").alias("query_lng"),
@@ -38,6 +38,7 @@ def building_count_in_radius(
         F.coalesce("count", F.lit(0)).alias("count"),
         "suggestion",
     )
+    return with_data_version(made, options.data_version)
 
 
 def building_class_composition(
@@ -49,7 +50,7 @@ def building_class_composition(
         F.lit("Zero buildings found within "), F.col("radius_m").cast("string"),
         F.lit("m. Cannot compute composition for an area with no buildings."),
     )
-    accepted = accepted_points(points, "building_class_composition")
+    accepted = accepted_points(points, "building_class_composition", limits=options.limits)
     return share_answers(
         accepted,
         around(buildings, accepted, options.prefilter),

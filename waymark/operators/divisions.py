@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.screening import accepted_points
 from waymark.plans.contains import DEFAULT_OPTIONS, ContainsOptions, contains_join
-from waymark.plans.results import answer_points
+from waymark.plans.results import answer_points, with_data_version
 from waymark.sources.manifest import Layer, under
 
 # Level of each kind of division, and of all others.
@@ -48,23 +48,18 @@ def _matches(
     return contains_join(sites, divisions.where(F.col("class") == "land"), keep, options)
 
 
-def point_in_admin_boundary(
-    points: DataFrame, divisions: Layer, options: ContainsOptions = DEFAULT_OPTIONS
+def enclosing(
+    sites: DataFrame, divisions: DataFrame, options: ContainsOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
-    """The land divisions around each point, broadest first, with the names of its
-    country, region and locality."""
-    accepted = accepted_points(points, "point_in_admin_boundary").select(
-        "query_id", "lat", "lng"
-    )
-    sites = accepted.select("lat", "lng").distinct()
-    matches = _matches(sites, under(divisions, sites), options)
+    """The land divisions around each site (``lat``, ``lng``), one row per site that has any."""
+    matches = _matches(sites, divisions, options)
 
     def last_of(subtype: str) -> Column:
         named = F.when(F.col("subtype") == subtype, F.struct("id", "name"))
         return F.max(named)["name"].alias(subtype)
 
     nested = F.struct("level", "id", "name", F.col("subtype").alias("type"))
-    levels = matches.groupBy("lat", "lng").agg(
+    return matches.groupBy("lat", "lng").agg(
         last_of("locality"),
         last_of("region"),
         last_of("country"),
@@ -74,7 +69,19 @@ def point_in_admin_boundary(
         ).alias("admin_levels"),
         F.lit(True).alias("found"),
     )
-    return answer_points(accepted, levels, ["lat", "lng"], F.lit(_SUGGESTION)).select(
+
+
+def point_in_admin_boundary(
+    points: DataFrame, divisions: Layer, options: ContainsOptions = DEFAULT_OPTIONS
+) -> DataFrame:
+    """The land divisions around each point, broadest first, with the names of its
+    country, region and locality."""
+    accepted = accepted_points(points, "point_in_admin_boundary").select(
+        "query_id", "lat", "lng"
+    )
+    sites = accepted.select("lat", "lng").distinct()
+    levels = enclosing(sites, under(divisions, sites), options)
+    made = answer_points(accepted, levels, ["lat", "lng"], F.lit(_SUGGESTION)).select(
         "query_id",
         F.col("lat").alias("query_lat"),
         F.col("lng").alias("query_lng"),
@@ -84,3 +91,4 @@ def point_in_admin_boundary(
         "admin_levels",
         "suggestion",
     )
+    return with_data_version(made, options.data_version)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from waymark.functions import shaping
 from waymark.functions.geodesy import whole_metres
-from waymark.operators.screening import MAX_LIMIT, accepted_points
+from waymark.operators.screening import accepted_points
 from waymark.operators.shares import share_answers
 from waymark.plans import contains
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
-from waymark.plans.results import answer_points
+from waymark.plans.results import answer_points, with_data_version
 from waymark.plans.tiles import radius_nearest
 from waymark.sources.manifest import Layer, around, under
 
@@ -44,7 +44,7 @@ def land_use_at_point(
         "No land use designation found for this point. The area may lack land use "
         "mapping coverage, or the point may be in water/unmapped territory."
     )
-    return answer_points(accepted, matches, site, suggestion).select(
+    made = answer_points(accepted, matches, site, suggestion).select(
         "query_id",
         F.col("lat").alias("query_lat"),
         F.col("lng").alias("query_lng"),
@@ -56,6 +56,7 @@ def land_use_at_point(
         "source",
         "suggestion",
     )
+    return with_data_version(made, options.data_version)
 
 
 def land_use_composition(
@@ -67,7 +68,7 @@ def land_use_composition(
         F.lit("Zero land use parcels found within "), F.col("radius_m").cast("string"),
         F.lit("m. This area may lack land use mapping coverage. Try increasing radius."),
     )
-    accepted = accepted_points(points, "land_use_composition")
+    accepted = accepted_points(points, "land_use_composition", limits=options.limits)
     return share_answers(
         accepted,
         around(parcels, accepted, options.prefilter),
@@ -82,7 +83,7 @@ def land_use_search(
     points: DataFrame, parcels: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """Parcels of a subtype within ``radius_m``, nearest first, up to ``limit``."""
-    accepted = accepted_points(points, "land_use_search").drop("include_closed")
+    accepted = accepted_points(points, "land_use_search", limits=options.limits).drop("include_closed")
     with_geometry = "include_geometry" in points.columns
     site = [c for c in accepted.columns if c != "query_id"]
     keep = {
@@ -98,7 +99,7 @@ def land_use_search(
         around(parcels, accepted, options.prefilter),
         keep,
         F.col("limit"),
-        MAX_LIMIT,
+        options.limits.max_results,
         Criteria(match={"subtype": F.col("subtype")}),
         options,
     ).withColumn("found", F.lit(True))
@@ -130,7 +131,9 @@ def land_use_search(
         shape |= shaping.geometry_columns(
             F.col("include_geometry"),
             shaping.GEOMETRY_NOTE,
+            options.limits.geometry_text_cap,
         )
-    return answer_points(accepted, top, site, suggestion).select(
+    made = answer_points(accepted, top, site, suggestion).select(
         *[c.alias(n) for n, c in shape.items()], "suggestion"
     )
+    return with_data_version(made, options.data_version)

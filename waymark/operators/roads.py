@@ -14,12 +14,13 @@ from waymark.functions.geodesy import whole_metres
 from waymark.operators.screening import accepted_points
 from waymark.operators.shares import share_answers
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
-from waymark.plans.results import answer_points
+from waymark.plans.results import answer_points, with_data_version
 from waymark.plans.tiles import radius_nearest
 from waymark.sources.manifest import Layer, around
 
 
-def _roads(segments: DataFrame) -> DataFrame:
+def only_roads(segments: DataFrame) -> DataFrame:
+    """Segments that are roads, not rails or waterways."""
     return segments.where(F.col("subtype") == "road")
 
 
@@ -32,10 +33,10 @@ def road_count_by_class(
         F.lit("Zero road segments found within "), F.col("radius_m").cast("string"),
         F.lit("m. This may be an undeveloped area or an area with limited road mapping."),
     )
-    accepted = accepted_points(points, "road_count_by_class")
+    accepted = accepted_points(points, "road_count_by_class", limits=options.limits)
     return share_answers(
         accepted,
-        _roads(around(segments, accepted, options.prefilter)),
+        only_roads(around(segments, accepted, options.prefilter)),
         F.coalesce("class", F.lit("unknown")),
         {"key": "road_class", "total": "total_segments"},
         suggestion,
@@ -53,10 +54,10 @@ def road_surface_composition(
         F.lit("m. Cannot compute surface composition for an area with no roads."),
     )
     surface = shaping.first(F.col("road_surface"))["value"]
-    accepted = accepted_points(points, "road_surface_composition")
+    accepted = accepted_points(points, "road_surface_composition", limits=options.limits)
     return share_answers(
         accepted,
-        _roads(around(segments, accepted, options.prefilter)),
+        only_roads(around(segments, accepted, options.prefilter)),
         F.coalesce(surface, F.lit("unknown")),
         {"key": "surface", "total": "total_segments"},
         suggestion,
@@ -68,7 +69,7 @@ def nearest_road_of_class(
     points: DataFrame, segments: Layer, options: RadiusOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """The closest segment of a road class within ``max_radius_m`` (5000 when absent)."""
-    accepted = accepted_points(points, "nearest_road_of_class").drop("include_closed")
+    accepted = accepted_points(points, "nearest_road_of_class", limits=options.limits).drop("include_closed")
     with_geometry = "include_geometry" in points.columns
     site = [c for c in accepted.columns if c != "query_id"]
     flags = F.col("road_flags")
@@ -85,7 +86,7 @@ def nearest_road_of_class(
         keep |= {"geom_type": F.col("geom_type"), "parts": F.col("parts")}
     best = radius_nearest(
         accepted.select(*site).distinct(),
-        _roads(around(segments, accepted, options.prefilter)),
+        only_roads(around(segments, accepted, options.prefilter)),
         keep,
         F.lit(1),
         1,
@@ -119,7 +120,9 @@ def nearest_road_of_class(
         shape |= shaping.geometry_columns(
             F.col("include_geometry"),
             shaping.GEOMETRY_NOTE,
+            options.limits.geometry_text_cap,
         )
-    return answer_points(accepted, best, site, suggestion).select(
+    made = answer_points(accepted, best, site, suggestion).select(
         *[c.alias(n) for n, c in shape.items()], "suggestion"
     )
+    return with_data_version(made, options.data_version)

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.functions import literals
+from waymark.functions.literals import stripped
+from waymark.plans.limits import DEFAULT_LIMITS, Limits
+
 # Accepted parameter domains, defaults and limits.
 ROAD_CLASSES = (
     "motorway", "trunk", "primary", "secondary", "tertiary", "residential",
@@ -25,13 +29,15 @@ LAND_USE_SUBTYPES = (
     "dam", "quarry", "landfill", "brownfield", "greenfield",
 )
 TRUE_WORDS = ("true", "1", "yes")
-MAX_RADIUS_M = 50_000
-MAX_LIMIT = 100
 DEFAULT_LIMIT = 20
 DEFAULT_NEAREST_RADIUS_M = 5_000
 
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_NOT_FINITE = r"^\s*[+-]?(nan|inf|infinity)\s*$"
+# What a value that is no text is called in a message, by its type.
+_TYPE_NAMES = {
+    "byte": "int", "short": "int", "integer": "int", "long": "int", "float": "float",
+    "double": "float", "boolean": "bool", "array": "list", "struct": "dict", "map": "dict",
+    "binary": "bytes",
+}
 
 
 @dataclass(frozen=True)
@@ -49,23 +55,17 @@ def _text(*pieces: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
 
 
-def stripped(text: Column) -> Column:
-    """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def _shown(df: DataFrame, name: str) -> Column:
     """The received value as it appears in a message."""
     value = F.col(name)
     if isinstance(df.schema[name].dataType, T.StringType):
-        shown = _text("'", value, "'")
+        shown = literals.shown_text(value)
     elif isinstance(df.schema[name].dataType, T.BooleanType):
         shown = F.initcap(value.cast("string"))
+    elif isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        shown = literals.shown_number(value.cast("double"))
     else:
-        shown = F.lower(value.cast("string"))
-        shown = F.when(shown == "infinity", "inf").when(
-            shown == "-infinity", "-inf"
-        ).otherwise(shown)
+        shown = value.cast("string")
     return F.coalesce(shown, F.lit("None"))
 
 
@@ -73,14 +73,8 @@ def _number(df: DataFrame, name: str) -> tuple[Column, Column]:
     """The value as a double, null if it is no number, and whether it is one."""
     value = F.col(name)
     if isinstance(df.schema[name].dataType, T.StringType):
-        lowered = F.lower(value)
-        finite = value.rlike(_NUMBER)
-        number = F.when(finite, stripped(value).try_cast("double"))
-        is_number = F.coalesce(finite | lowered.rlike(_NOT_FINITE), F.lit(False))
-    else:
-        number = value.cast("double")
-        is_number = value.isNotNull()
-    return number, is_number
+        return literals.number(value)
+    return value.cast("double"), value.isNotNull()
 
 
 def _finite(number: Column) -> Column:
@@ -103,7 +97,7 @@ def _degrees(df: DataFrame, name: str, most: int) -> _Check:
                 ~number.between(-most, most),
                 _text(
                     f"{name} must be between -{most} and {most}. Received: ",
-                    number.cast("string"),
+                    literals.shown_number(number),
                 ),
             ),
         ],
@@ -111,7 +105,12 @@ def _degrees(df: DataFrame, name: str, most: int) -> _Check:
 
 
 def _whole(
-    df: DataFrame, column: str, name: str, most: int, default: int | None
+    df: DataFrame,
+    column: str,
+    name: str,
+    most: int,
+    default: int | None,
+    null_is_omitted: bool = True,
 ) -> _Check:
     """A number cut to an integer in ``1..most``.  Messages call it ``name``."""
     if column not in df.columns:
@@ -126,8 +125,8 @@ def _whole(
             )
         return _Check(name, F.lit(default), F.lit(True), list)
     number, is_number = _number(df, column)
-    cut = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
-    missing = F.lit(False) if default is None else F.col(column).isNull()
+    omitted = default is not None and null_is_omitted
+    missing = F.col(column).isNull() if omitted else F.lit(False)
     accepted = (number >= 1) & (number < most + 1)
     valid = accepted
     cleaned = F.floor(number).cast("int")
@@ -147,7 +146,7 @@ def _whole(
                 ~missing & ~valid,
                 _text(
                     f"{name} must be between 1 and {most}. Received: ",
-                    cut.cast("string"),
+                    literals.shown_whole(number),
                 ),
             ),
         ],
@@ -186,6 +185,21 @@ def _listed(df: DataFrame, name: str, domain: tuple[str, ...], label: str) -> _C
     return _word(df, name, cleaned.isin(*domain), unknown, low=True)
 
 
+def _search_text(df: DataFrame, name: str) -> _Check:
+    """A text that may be missing; a blank one counts as missing."""
+    kind = df.schema[name].dataType if name in df.columns else T.NullType()
+    if isinstance(kind, T.StringType):
+        cleaned = F.nullif(stripped(F.col(name)), F.lit(""))
+        return _Check(name, cleaned, F.lit(True), list)
+    nothing = F.lit(None).cast("string")
+    if isinstance(kind, T.NullType):
+        return _Check(name, nothing, F.lit(True), list)
+    called = _TYPE_NAMES.get(kind.typeName(), kind.typeName())
+    message = F.lit(f"{name} must be a string. Received: {called}")
+    given = F.col(name).isNotNull()
+    return _Check(name, nothing, ~given, lambda: [(given, message)])
+
+
 def _flag(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
         return F.lit(False)
@@ -209,11 +223,12 @@ OPERATOR_PARAMETERS = {
     "land_use_at_point": ("lat", "lng"),
     "land_use_composition": ("lat", "lng", "radius_m"),
     "land_use_search": ("lat", "lng", "radius_m", "subtype", "limit"),
+    "category_catalog": ("query",),
 }
 
 
 def _checks(
-    points: DataFrame, operator: str, taxonomy: DataFrame | None
+    points: DataFrame, operator: str, taxonomy: DataFrame | None, limits: Limits
 ) -> tuple[DataFrame, list[_Check]]:
     params = OPERATOR_PARAMETERS[operator]
     if "category" in params and "category" in points.columns:
@@ -230,13 +245,20 @@ def _checks(
         if param in ("lat", "lng"):
             checks.append(_degrees(points, param, 90 if param == "lat" else 180))
         elif param == "radius_m":
-            checks.append(_whole(points, param, param, MAX_RADIUS_M, None))
+            checks.append(_whole(points, param, param, limits.max_radius_m, None))
         elif param == "max_radius_m":
             checks.append(
-                _whole(points, param, "radius_m", MAX_RADIUS_M, DEFAULT_NEAREST_RADIUS_M)
+                _whole(
+                    points,
+                    param,
+                    "radius_m",
+                    limits.max_radius_m,
+                    DEFAULT_NEAREST_RADIUS_M,
+                    limits.null_is_omitted,
+                )
             )
         elif param == "limit":
-            checks.append(_whole(points, param, param, MAX_LIMIT, DEFAULT_LIMIT))
+            checks.append(_whole(points, param, param, limits.max_results, DEFAULT_LIMIT))
         elif param == "category":
             unknown = _text(
                 "Unknown category: '",
@@ -249,6 +271,8 @@ def _checks(
             checks.append(_listed(points, param, ROAD_CLASSES, "road_class"))
         elif param == "subtype":
             checks.append(_listed(points, param, LAND_USE_SUBTYPES, "land use subtype"))
+        elif param == "query":
+            checks.append(_search_text(points, param))
     return points, checks
 
 
@@ -257,7 +281,10 @@ def _flags(points: DataFrame) -> list[Column]:
 
 
 def screen_points(
-    points: DataFrame, operator: str, taxonomy: DataFrame | None = None
+    points: DataFrame,
+    operator: str,
+    taxonomy: DataFrame | None = None,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Clean the parameters of ``operator`` and report bad ones.
 
@@ -266,7 +293,7 @@ def screen_points(
     A ``max_radius_m`` is delivered as ``radius_m``.  ``taxonomy`` is needed for
     operators with a category.
     """
-    points, checks = _checks(points, operator, taxonomy)
+    points, checks = _checks(points, operator, taxonomy, limits)
     which, message = F.lit(None).cast("string"), F.lit(None).cast("string")
     for check in reversed(checks):
         for failed, text in reversed(check.failures()):
@@ -282,14 +309,32 @@ def screen_points(
     )
 
 
+def cleaned_points(
+    points: DataFrame,
+    operator: str,
+    taxonomy: DataFrame | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """All rows with their cleaned parameters, bad ones null, without messages."""
+    points, checks = _checks(points, operator, taxonomy, limits)
+    return points.select(
+        "query_id",
+        *[F.when(c.accepted, c.cleaned).alias(c.param) for c in checks],
+        *_flags(points),
+    )
+
+
 def accepted_points(
-    points: DataFrame, operator: str, taxonomy: DataFrame | None = None
+    points: DataFrame,
+    operator: str,
+    taxonomy: DataFrame | None = None,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Rows whose parameters are all good, reduced to their cleaned parameters.
 
     Same decisions as :func:`screen_points`, as one plain filter without messages.
     """
-    points, checks = _checks(points, operator, taxonomy)
+    points, checks = _checks(points, operator, taxonomy, limits)
     for check in checks:
         points = points.where(check.accepted)
     return points.select(
@@ -298,10 +343,13 @@ def accepted_points(
 
 
 def rejected_points(
-    points: DataFrame, operator: str, taxonomy: DataFrame | None = None
+    points: DataFrame,
+    operator: str,
+    taxonomy: DataFrame | None = None,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Rows with an error: ``query_id``, ``error_param`` and ``error``."""
-    screened = screen_points(points, operator, taxonomy)
+    screened = screen_points(points, operator, taxonomy, limits)
     return screened.where(F.col("error").isNotNull()).select(
         "query_id", "error_param", "error"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.plans.radius import RadiusOptions
-from waymark.plans.results import answer_points, composition
+from waymark.plans.results import answer_points, composition, with_data_version
 from waymark.plans.tiles import radius_counts
 
 
@@ -28,7 +28,7 @@ def share_answers(
         accepted.select(*site).distinct(), layer, group, options=options
     )
     shares = composition(counts, site).withColumn("found", F.lit(True))
-    return answer_points(accepted, shares, site, suggestion).select(
+    made = answer_points(accepted, shares, site, suggestion).select(
         "query_id",
         F.col("lat").alias("query_lat"),
         F.col("lng").alias("query_lng"),
@@ -39,3 +39,4 @@ def share_answers(
         "percentage",
         "suggestion",
     )
+    return with_data_version(made, options.data_version)

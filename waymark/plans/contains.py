@@ -46,6 +46,7 @@ class ContainsOptions:
     broadcast_site_cells: int = BROADCAST_SITE_CELLS
     rows_per_task: int = ROWS_PER_TASK
     edges_per_band: int = EDGES_PER_BAND
+    data_version: str | None = None
 
 
 DEFAULT_OPTIONS = ContainsOptions()

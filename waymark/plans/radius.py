@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geodesy
+from waymark.plans.limits import DEFAULT_LIMITS, Limits
 from waymark.plans import grid
 from waymark.plans.skew import ROWS_PER_TASK, balanced_join
 
@@ -29,15 +30,26 @@ BROADCAST_SITE_CELLS = 500_000
 BOX = ("lng_min", "lng_max", "lat_min", "lat_max")
 
 
+#: Candidate pairs per row of layer and sites up to which many sites are joined directly;
+#: with more of them the layer is summarised into tiles first.
+PAIRS_PER_ROW = 8
+
+
 @dataclass(frozen=True)
 class RadiusOptions:
-    """``prefilter``: ``"corner"`` tests the lower-left corner of a feature's box
-    against the search box before the distance, which is what the answered queries do;
-    ``"none"`` lets the distance alone decide, across the antimeridian too."""
+    """``prefilter``: ``"none"`` lets the distance alone decide, across the antimeridian
+    too; ``"corner"`` tests the lower-left corner of a feature's box against the search box
+    before the distance, which loses some features near the rim.
 
-    prefilter: str = "corner"
+    ``limits`` bounds parameters and answers; ``data_version``, if given, is noted in every
+    answer."""
+
+    prefilter: str = "none"
     broadcast_site_cells: int = BROADCAST_SITE_CELLS
     rows_per_task: int = ROWS_PER_TASK
+    pairs_per_row: int = PAIRS_PER_ROW
+    limits: Limits = DEFAULT_LIMITS
+    data_version: str | None = None
 
     def __post_init__(self):
         if self.prefilter not in ("corner", "none"):
@@ -46,6 +58,9 @@ class RadiusOptions:
 
 DEFAULT_OPTIONS = RadiusOptions()
 
+#: The search as the answered queries make it.
+CORNER_OPTIONS = RadiusOptions(prefilter="corner")
+
 
 def with_search_box(sites: DataFrame, prefilter: str) -> DataFrame:
     """Add the search box; without a prefilter a box crossing the antimeridian is cut

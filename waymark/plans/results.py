@@ -56,9 +56,9 @@ def _with_tenths(df: DataFrame, value: Column, out: str) -> DataFrame:
     )
 
 
-def with_data_version(answers: DataFrame, version: str) -> DataFrame:
-    """Note the release the layers came from in every row."""
-    return answers.withColumn("data_version", F.lit(version))
+def with_data_version(answers: DataFrame, version: str | None) -> DataFrame:
+    """Note the release the layers came from, if given, in every row."""
+    return answers if version is None else answers.withColumn("data_version", F.lit(version))
 
 
 def answer_points(

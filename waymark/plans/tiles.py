@@ -177,6 +177,45 @@ def _null_safe(column: Column) -> tuple[Column, Column]:
     return F.coalesce(column, F.lit("")), column.isNull()
 
 
+def _sizes(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Features per join key, from the tiles: ``n``."""
+    return tiles.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def _dense(spread: DataFrame, tiles: DataFrame, keys: list[str], options: RadiusOptions) -> bool:
+    """Whether candidate pairs would far outnumber the rows that make them.
+
+    The tiles are a histogram of the layer: joined with the sites per key it gives the
+    number of pairs a direct join would test."""
+    sites = spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+    both = _sizes(tiles, keys).join(sites, keys, "full")
+    n, m = (F.coalesce(c, F.lit(0)).cast("double") for c in ("n", "m"))
+    pairs, rows = both.agg(F.sum(n * m), F.sum(n + m)).first()
+    return (pairs or 0) > options.pairs_per_row * (rows or 0)
+
+
+def _joined_directly(
+    sites: DataFrame,
+    spread: DataFrame,
+    keyed: DataFrame,
+    tiles: DataFrame,
+    criteria: Criteria,
+    options: RadiusOptions,
+) -> DataFrame:
+    """Exact pairs by one shuffle join, large cells cut by what the tiles know of them."""
+    keys = ["cell", *criteria.match]
+    joined = balanced_join(
+        keyed.drop("tile", "rungs"),
+        spread.drop("rungs"),
+        keys,
+        ["_slice"],
+        sites.columns,
+        options.rows_per_task,
+        left_sizes=_sizes(tiles, keys),
+    )
+    return within_reach(criteria.apply(joined))
+
+
 def radius_counts(
     sites: DataFrame,
     layer: DataFrame,
@@ -188,6 +227,10 @@ def radius_counts(
 
     The result has the site columns, ``key`` (the group, null kept) and ``count``;
     sites without any feature are absent.
+
+    Sites that fit are broadcast.  Otherwise the layer is summarised into tiles; they say
+    how many pairs to expect, and so whether the features themselves meet the sites or
+    whole tiles are counted.
     """
     ranged = ranged_sites(sites, options)
     facts = site_facts(ranged)
@@ -204,13 +247,18 @@ def radius_counts(
     kind = [*criteria.match, *criteria.traits, "_g", "_g0"]
     keyed = _with_tiles(features, facts.pairs)
     tiles = saved(_tile_table(keyed, kind))
-    hits = _tile_hits(spread_sites(ranged), sites, tiles, criteria, options)
-    whole = hits.where("whole").select(*sites.columns, "_g", "_g0", "n")
-    rim = _open_tiles(hits.where("NOT whole"), sites, keyed, tiles, kind, options)
-    rim = rim.select(*sites.columns, "_g", "_g0", F.lit(1).cast("bigint").alias("n"))
+    spread = spread_sites(ranged)
+    one = F.lit(1).cast("bigint").alias("n")
+    if _dense(spread, tiles, ["cell", *criteria.match], options):
+        hits = _tile_hits(spread, sites, tiles, criteria, options)
+        whole = hits.where("whole").select(*sites.columns, "_g", "_g0", "n")
+        rim = _open_tiles(hits.where("NOT whole"), sites, keyed, tiles, kind, options)
+        counted = whole.unionByName(rim.select(*sites.columns, "_g", "_g0", one))
+    else:
+        pairs = _joined_directly(sites, spread, keyed, tiles, criteria, options)
+        counted = pairs.select(*sites.columns, "_g", "_g0", one)
     return (
-        whole.unionByName(rim)
-        .groupBy(*sites.columns, "_g", "_g0")
+        counted.groupBy(*sites.columns, "_g", "_g0")
         .agg(F.sum("n").alias("count"))
         .select(
             *sites.columns,
@@ -220,7 +268,14 @@ def radius_counts(
     )
 
 
-def radius_nearest(
+#: Where a row of a layer read from files comes from: file and position in it.
+ROW_KEY = ("_file", "_row")
+
+#: Files listed one by one in a scan.
+_LISTED_FILES = 10_000
+
+
+def ranked(
     sites: DataFrame,
     layer: DataFrame,
     keep: dict[str, Column],
@@ -229,45 +284,74 @@ def radius_nearest(
     criteria: Criteria = ANY,
     options: RadiusOptions = DEFAULT_OPTIONS,
 ) -> DataFrame:
-    """The ``k`` nearest features within reach of each site, ``k <= most``.
-
-    The result has the site columns, ``id``, the kept columns, ``distance``,
-    ``rank`` and ``count``.
-
-    With few sites, all features in reach are ranked in one scan; rows beyond ``most`` are
-    dropped before they are shuffled.  With many, tile counts bound the distance of the ``k``-th feature
-    first, and tiles beyond it are never opened.
-    """
+    """The ``k`` nearest features of each site; what is kept travels with every candidate."""
     ranged = ranged_sites(sites, options)
     facts = site_facts(ranged)
-    columns = [c.alias(n) for n, c in keep.items()]
+    kept = {"id": F.col("id"), **keep}
     if facts.cells <= options.broadcast_site_cells:
-        # ids may be null or repeat, so rows are not fetched again by id
-        kept = {"id": F.col("id"), **keep}
         pairs = radius_join(sites, layer, kept, criteria, options, facts)
         return nearest(pairs, sites.columns, k, most)
-    features = feature_rows(
-        layer, [*criteria.columns, F.col("id"), *columns], facts, options
-    )
+    columns = [c.alias(n) for n, c in kept.items()]
+    features = feature_rows(layer, [*criteria.columns, *columns], facts, options)
     kind = [*criteria.match, *criteria.traits]
     keyed = _with_tiles(features, facts.pairs)
     tiles = saved(_tile_table(keyed, kind))
-    hits = _tile_hits(spread_sites(ranged), sites, tiles, criteria, options)
-    # per site at most a few thousand tiles, however many features they stand for
-    per_site = W.partitionBy(*sites.columns)
-    by_reach = per_site.orderBy("far", "rungs", "tile", *criteria.traits)
-    sure = F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).over(
-        by_reach.rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    bounded = (
-        hits.withColumn("_sure", sure)
-        .withColumn(
-            "_limit", F.min(F.when(F.col("_sure") >= k, F.col("far"))).over(per_site)
+    spread = spread_sites(ranged)
+    if _dense(spread, tiles, ["cell", *criteria.match], options):
+        hits = _tile_hits(spread, sites, tiles, criteria, options)
+        # per site at most a few thousand tiles, however many features they stand for
+        per_site = W.partitionBy(*sites.columns)
+        by_reach = per_site.orderBy("far", "rungs", "tile", *criteria.traits)
+        sure = F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).over(
+            by_reach.rowsBetween(W.unboundedPreceding, W.currentRow)
         )
-        .where(
-            F.col("_limit").isNull() | (F.col("near") <= F.col("_limit") + MARGIN_M)
+        bounded = (
+            hits.withColumn("_sure", sure)
+            .withColumn(
+                "_limit", F.min(F.when(F.col("_sure") >= k, F.col("far"))).over(per_site)
+            )
+            .where(
+                F.col("_limit").isNull() | (F.col("near") <= F.col("_limit") + MARGIN_M)
+            )
         )
-    )
-    pairs = _open_tiles(bounded, sites, keyed, tiles, kind, options)
-    pairs = pairs.select(*sites.columns, "id", *keep, "distance")
+        pairs = _open_tiles(bounded, sites, keyed, tiles, kind, options)
+    else:
+        pairs = _joined_directly(sites, spread, keyed, tiles, criteria, options)
+    pairs = pairs.select(*sites.columns, *kept, "distance")
     return nearest(pairs, sites.columns, k, most)
+
+
+def radius_nearest(
+    sites: DataFrame,
+    layer: DataFrame,
+    keep: dict[str, Column],
+    k: Column,
+    most: int,
+    criteria: Criteria = ANY,
+    options: RadiusOptions = DEFAULT_OPTIONS,
+) -> DataFrame:
+    """The ``k`` nearest features within reach of each site, ``k <= most``.
+
+    The result has the site columns, ``id``, the kept columns, ``distance``,
+    ``rank`` and ``count``.
+
+    With few sites, all features in reach are ranked in one scan; rows beyond ``most`` are
+    dropped before they are shuffled.  With many, tile counts bound the distance of the
+    ``k``-th feature first, and tiles beyond it are never opened.
+
+    A layer that says where its rows come from (``ROW_KEY``) is ranked by that alone; the
+    kept columns, geometry among them, are read for the winners, from the files they are in.
+    """
+    if not set(ROW_KEY) <= set(layer.columns):
+        return ranked(sites, layer, keep, k, most, criteria, options)
+    place = {c: F.col(c) for c in ROW_KEY}
+    top = saved(ranked(sites, layer, place, k, most, criteria, options))
+    files = [r[0] for r in top.select("_file").distinct().limit(_LISTED_FILES + 1).collect()]
+    if len(files) <= _LISTED_FILES:
+        layer = layer.where(F.col("_file").isin(files))
+    kept = layer.select(*ROW_KEY, *[c.alias(n) for n, c in keep.items()])
+    kept = kept.join(top.select(*ROW_KEY).distinct(), list(ROW_KEY), "left_semi")
+    found = balanced_join(
+        top, kept, list(ROW_KEY), sites.columns, list(ROW_KEY), options.rows_per_task
+    )
+    return found.select(*sites.columns, "id", *keep, "distance", "rank", "count")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from waymark.plans import grid
 from waymark.plans.radius import BOX, with_search_box
 from waymark.plans.skew import balanced_join
+from waymark.plans.tiles import ROW_KEY
 from waymark.sources.layers import scan_layer
 
 #: Manifest rows (one per file and cell) sent to every executor.
@@ -255,7 +256,9 @@ class PrunedLayer:
 
         def read(paths: list[str]) -> DataFrame:
             reader = manifest.sparkSession.read
-            return (reader.schema(schema) if schema is not None else reader).parquet(*paths)
+            files = (reader.schema(schema) if schema is not None else reader).parquet(*paths)
+            place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+            return files.select("*", *[c.alias(n) for c, n in zip(place, ROW_KEY)])
 
         return cls(manifest.where(F.col("collection") == collection), read)
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.sources.layers import with_representative
+from waymark.plans.saved import shared_folder
+from waymark.sources.layers import layer_path, with_representative
+from waymark.sources.manifest import PrunedLayer, list_files, refresh_manifest
 from workload import shapes
+from workload.geometry_bytes import encode
 
 _TABLE_OF = {
     "places": ("customer",),
@@ -15,16 +21,32 @@ _TABLE_OF = {
     "divisions": ("region", "nation", "supplier"),
     "query_points": ("supplier",),
     "raw_points": ("customer",),
+    "raw_calls": ("customer",),
     "searches": ("part",),
+    "large_parcels": ("orders", "region"),
+    "dateline_buildings": ("orders",),
+    "dateline_points": ("supplier",),
+    "kinds": ("customer", "part"),
+}
+
+#: Derived layers by the names they have in a release.
+COLLECTIONS = {
+    "place": "places",
+    "building": "buildings",
+    "division_area": "divisions",
+    "segment": "roads",
+    "land_use": "land_use",
 }
 
+VERSION = "2026-01-21.0"
+
 
 def _table(spark: SparkSession, path: str) -> DataFrame:
-    """A driver table.  One that arrives in fewer splits than there are cores is spread
+    """A driver table.  One that arrives in fewer files than there are cores is spread
     over them, because the work per row that follows outweighs the row."""
     table = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +61,42 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One prepared layer."""
     return with_representative(derive(spark, sf_dir, name))
+
+
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark: SparkSession, sf_dir: str, collection: str) -> str:
+    """The root of a release to which a layer has been written, raw and prepared columns
+    together, in files of 1/2000 degree (about 50 m) of latitude each.  Written once per
+    session."""
+    key = spark.sparkContext.applicationId, sf_dir, collection
+    if key not in _written:
+        root = f"{shared_folder(spark)}/waymark-{uuid.uuid4().hex}"
+        table = layer(spark, sf_dir, COLLECTIONS[collection])
+        raw = encode(table.select("*", F.col("geom_type").alias("_t"), F.col("parts").alias("_p")))
+        kept = raw.withColumnsRenamed({"_t": "geom_type", "_p": "parts"})
+        tiled = kept.withColumn("tile", F.floor(F.col("bbox.ymin") * 2000))
+        path = layer_path(root, VERSION, collection)
+        tiled.repartition("tile").write.partitionBy("tile").parquet(path)
+        _written[key] = root
+    return _written[key]
+
+
+def manifest_of(spark: SparkSession, sf_dir: str, collections: tuple[str, ...]) -> DataFrame:
+    """Footprints of written layers, from the footers of their files."""
+    parts = [
+        refresh_manifest(
+            list_files(spark, layer_path(written(spark, sf_dir, c), VERSION, c)), c
+        )
+        for c in collections
+    ]
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.unionByName(part)
+    return made
+
+
+def pruned(spark: SparkSession, sf_dir: str, collection: str) -> PrunedLayer:
+    """A written layer of which searches open only the files they need."""
+    return PrunedLayer.of(manifest_of(spark, sf_dir, (collection,)), collection)

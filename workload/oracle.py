@@ -7,11 +7,13 @@ derivation of the input.
 
 from __future__ import annotations
 
+from waymark.sources.layers import THEMES
 from waymark.sources.taxonomy import BUILT_IN
 from workload import shapes
 from workload.shapes import DUCKDB
 
 _PASSES = 8
+VERSION = "2026-01-21.0"
 
 
 def _with(*ctes: tuple[str, str]) -> str:
@@ -99,8 +101,8 @@ def _prepared(name: str) -> list[tuple[str, str]]:
     return [_layer(name), *_edges(name), *reps(name)]
 
 
-def _points(radius: str = "radius_m") -> list[tuple[str, str]]:
-    base = f"SELECT * REPLACE ({radius} AS radius_m) FROM ({shapes.query_points(DUCKDB)})"
+def _points(radius: str = "radius_m", source: str = "query_points") -> list[tuple[str, str]]:
+    base = f"SELECT * REPLACE ({radius} AS radius_m) FROM ({getattr(shapes, source)(DUCKDB)})"
     return [
         ("points", base),
         (
@@ -112,7 +114,13 @@ def _points(radius: str = "radius_m") -> list[tuple[str, str]]:
     ]
 
 
-def _distances(layer: str, columns: str, where: str, tag: str = "") -> list[tuple[str, str]]:
+_CORNER = """f.bbox.xmin BETWEEN p.lng - p.d_lng AND p.lng + p.d_lng
+                AND f.bbox.ymin BETWEEN p.lat - p.d_lat AND p.lat + p.d_lat"""
+
+
+def _distances(
+    layer: str, columns: str, where: str, tag: str = "", near: str = _CORNER
+) -> list[tuple[str, str]]:
     """CTE ``hits``: pairs within reach, ``distance`` by Vincenty's iteration."""
     f = "(1 / 298.257223563)"
     a = "6378137.0"
@@ -126,8 +134,7 @@ def _distances(layer: str, columns: str, where: str, tag: str = "") -> list[tupl
               atan((1 - {f}) * tan(radians(p.lat))) AS u1,
               atan((1 - {f}) * tan(radians(f.ry))) AS u2
               FROM boxed p JOIN {layer} f
-                ON f.bbox.xmin BETWEEN p.lng - p.d_lng AND p.lng + p.d_lng
-                AND f.bbox.ymin BETWEEN p.lat - p.d_lat AND p.lat + p.d_lat
+                ON {near}
               WHERE {where}""",
         ),
         (
@@ -295,11 +302,13 @@ FROM searches s LEFT JOIN (SELECT * FROM found WHERE rank <= 50) f USING (query_
   LEFT JOIN observed o ON o.category = f.category"""
 
 
-def building_count_in_radius() -> str:
+def building_count_in_radius(
+    points: str = "query_points", layer: str = "buildings", near: str = _CORNER
+) -> str:
     ctes = [
-        *_points(),
-        *_prepared("buildings"),
-        *_distances("buildings", "f.id", "true"),
+        *_points(source=points),
+        *_prepared(layer),
+        *_distances(layer, "f.id", "true", near=near),
         ("counted", "SELECT query_id, count(*) AS n FROM hits GROUP BY query_id"),
     ]
     return f"""{_with(*ctes)}
@@ -487,16 +496,16 @@ SELECT query_id, lat AS query_lat, lng AS query_lng, locality, region, country,
 FROM points LEFT JOIN nested USING (query_id)"""
 
 
-def land_use_at_point() -> str:
+def land_use_at_point(layer: str = "land_use") -> str:
     ctes = [
         *_points(),
-        _layer("land_use"),
-        *_edges("land_use"),
-        *_containment("land_use", "true"),
+        _layer(layer),
+        *_edges(layer),
+        *_containment(layer, "true"),
         (
             "matched",
-            """SELECT query_id, id, subtype, class, names."primary" AS names_primary,
-              sources[1].dataset AS source FROM inside JOIN land_use_raw USING (id)""",
+            f"""SELECT query_id, id, subtype, class, names."primary" AS names_primary,
+              sources[1].dataset AS source FROM inside JOIN {layer}_raw USING (id)""",
         ),
     ]
     return f"""{_with(*ctes)}
@@ -557,8 +566,14 @@ SELECT query_id, CASE WHEN lat_v BETWEEN -90 AND 90 THEN lat_v END AS lat,
 FROM r"""
 
 
+_COLLECTIONS = {
+    "place": "places", "building": "buildings", "division_area": "divisions", "segment": "roads",
+    "land_use": "land_use",
+}
+
+
 def _manifest() -> list[tuple[str, str]]:
-    tables = {"place": "places", "building": "buildings", "land_use": "land_use"}
+    tables = _COLLECTIONS
     rows = " UNION ALL ".join(
         f"""SELECT '{name}' AS collection,
           concat('{name}/', CAST(CAST(floor(bbox.ymin * 2000) AS BIGINT) AS VARCHAR)) AS path,
@@ -613,25 +628,210 @@ def area_profile() -> str:
         ctes += _prepared(name)
     ctes += [
         *_distances("places", "f.id", f"{_PLACE} AND {_OPEN}", "_p"),
-        *_distances("buildings", "f.id", "true", "_b"),
-        *_distances("roads", "f.id", "f.subtype = 'road'", "_r"),
-        *_distances("land_use", "f.id", "true", "_l"),
+        *_distances("buildings", "f.id, coalesce(f.class, 'unknown') AS key", "true", "_b"),
+        *_distances("roads", "f.id, coalesce(f.class, 'unknown') AS key", "f.subtype = 'road'", "_r"),
+        *_distances("land_use", "f.id, f.subtype AS key", "true", "_l"),
         _layer("divisions"),
         *_edges("divisions"),
         *_containment("divisions", "class = 'land'"),
         _NESTED,
     ]
     counts = {"p": "place_count", "b": "building_count", "r": "total_segments", "l": "total_parcels"}
+    shares = {"b": "building_classes", "r": "road_classes", "l": "land_use_subtypes"}
+    for tag in shares:
+        ctes += [
+            (f"n_{tag}", f"SELECT query_id, key, count(*) AS n FROM hits_{tag} GROUP BY query_id, key"),
+            (
+                f"s_{tag}",
+                f"""SELECT query_id, string_agg(concat(coalesce(key, 'null'), ':', n, ':',
+                  CAST(CAST(format('{{:.1f}}', n / CAST(total AS DOUBLE) * 100) AS DOUBLE) AS VARCHAR)), ' ' ORDER BY n DESC, key NULLS FIRST) AS line
+                  FROM n_{tag} JOIN (SELECT query_id, sum(n) AS total FROM n_{tag} GROUP BY query_id) USING (query_id)
+                  GROUP BY query_id""",
+            ),
+        ]
     joins = " ".join(
         f"LEFT JOIN (SELECT query_id, count(*) AS {c} FROM hits_{t} GROUP BY query_id) {t} USING (query_id)"
         for t, c in counts.items()
     )
+    joins += " ".join(
+        f" LEFT JOIN (SELECT query_id, line AS {c} FROM s_{t}) c{t} USING (query_id)" for t, c in shares.items()
+    )
     fields = ", ".join(f"coalesce({c}, 0) AS {c}" for c in counts.values())
+    fields += ", " + ", ".join(f"coalesce({c}, '') AS {c}" for c in shares.values())
     return f"""{_with(*ctes)}
 SELECT query_id, {fields}, locality, region, country
 FROM points {joins} LEFT JOIN nested USING (query_id)"""
 
 
+def dateline_building_count() -> str:
+    return building_count_in_radius("dateline_points", "dateline_buildings", "true")
+
+
+def dateline_building_count_by_corner() -> str:
+    return building_count_in_radius("dateline_points", "dateline_buildings")
+
+
+def land_use_of_large_parcels() -> str:
+    return land_use_at_point("large_parcels")
+
+
+#: Bytes of a geometry: a header, counts of parts, rings and vertices, and the vertices.
+_WKB_BYTES = """CASE geom_type WHEN 'POINT' THEN 21 WHEN 'LINESTRING' THEN 9 + 16 * len(parts[1][1])
+  ELSE CASE geom_type WHEN 'MULTIPOLYGON' THEN 9 ELSE 0 END + list_sum(list_transform(parts,
+    lambda p: 9 + list_sum(list_transform(p, lambda r: 4 + 16 * len(r))))) END"""
+
+
+def scan_release() -> str:
+    ctes = [_layer(t) for t in _COLLECTIONS.values()]
+    rows = " UNION ALL ".join(
+        f"""SELECT '{THEMES[c]}' AS theme, '{c}' AS type, id, bbox.xmin AS xmin, bbox.ymax AS ymax,
+          CAST({_WKB_BYTES} AS INTEGER) AS bytes FROM {t}_raw"""
+        for c, t in _COLLECTIONS.items()
+    )
+    return f"{_with(*ctes)}\n{rows}"
+
+
+def scan_sources() -> str:
+    ctes = [_layer(t) for t in _COLLECTIONS.values()]
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS layer, source, count(*) AS features, max(id) AS last FROM {t}_raw, "
+        "(VALUES ('path'), ('files'), ('view'), ('frame')) s(source) GROUP BY source"
+        for c, t in _COLLECTIONS.items()
+    )
+    return f"{_with(*ctes)}\n{rows}"
+
+
+def taxonomy_from_json() -> str:
+    return f"""SELECT CAST(row_number() OVER (ORDER BY category, description) - 1 AS INTEGER) AS position,
+  category, description FROM ({shapes.kinds(DUCKDB)})"""
+
+
+def broken_geometry() -> str:
+    ctes = [cte for n in _COLLECTIONS.values() for cte in _prepared(n)]
+    ctes += _edges("places")
+    error = """CASE WHEN k % 7 = 0 THEN 'truncated' WHEN k % 11 = 0 THEN 'unsupported type'
+      WHEN k % 13 = 0 THEN 'unknown byte order' WHEN k % 17 = 0 THEN 'trailing bytes'
+      WHEN k % 19 = 0 THEN 'truncated' END"""
+    rows = " UNION ALL ".join(
+        f"""SELECT '{n}' AS layer, id, {error} AS geometry_error, geom_type,
+          coalesce(n_edges, 0) AS n_edges, round(rx, 7) AS rep_x, round(ry, 7) AS rep_y
+        FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS k FROM {n})
+          LEFT JOIN (SELECT id, CAST(count(*) AS INTEGER) AS n_edges FROM {n}_edges GROUP BY id) USING (id)"""
+        for n in _COLLECTIONS.values()
+    )
+    kept = ", ".join(
+        f"CASE WHEN geometry_error IS NULL THEN {c} END AS {c}"
+        for c in ("geom_type", "n_edges", "rep_x", "rep_y")
+    )
+    return f"{_with(*ctes)}\nSELECT layer, id, geometry_error, {kept} FROM ({rows})"
+
+
+def _judged_degrees(most: int):
+    def judge(name: str, text: str | None) -> tuple[str | None, str | None]:
+        try:
+            value = float(text)
+        except (TypeError, ValueError):
+            return None, f"{name} must be a number. Received: {text!r}"
+        if value != value or abs(value) == float("inf"):
+            return None, f"{name} must be a finite number. Received: {text!r}"
+        if abs(value) > most:
+            return None, f"{name} must be between -{most} and {most}. Received: {value}"
+        return repr(value), None
+
+    return judge
+
+
+def _judged_whole(most: int, default: int | None):
+    def judge(name: str, text: str | None) -> tuple[str | None, str | None]:
+        if text is None and default is not None:
+            return str(default), None
+        try:
+            value = int(float(text))
+        except (TypeError, ValueError, OverflowError):
+            return None, f"{name} must be a number. Received: {text!r}"
+        if not 1 <= value <= most:
+            return None, f"{name} must be between 1 and {most}. Received: {value}"
+        return str(value), None
+
+    return judge
+
+
+def _judged_word(known: tuple[str, ...], label: str):
+    def judge(name: str, text: str | None) -> tuple[str | None, str | None]:
+        if not text:
+            return None, f"{name} is required and must be a non-empty string."
+        word = text.strip().lower()
+        if not word:
+            return None, f"{name} must be a non-empty string."
+        if word not in known:
+            return None, f"Unknown {label}: '{word}'. Valid values: {', '.join(sorted(known))}"
+        return word, None
+
+    return judge
+
+
+def _judged_search(name: str, text: str | None) -> tuple[str | None, str | None]:
+    return (text or "").strip() or None, None
+
+
+def _screened(parameters: dict[str, tuple]) -> str:
+    """Screening by tables of every text that occurs, judged here one by one.
+
+    ``parameters``: by source column, the name in messages, the type, the texts, the judge.
+    """
+    ctes = [("raw", shapes.raw_calls(DUCKDB))]
+    joins, values, errors = [], [], []
+    for i, (column, (name, kind, texts, judge)) in enumerate(parameters.items()):
+        rows = [(text, *judge(name, text)) for text in dict.fromkeys(texts)]
+        listed = ", ".join(f"({', '.join(DUCKDB.text(x) for x in row)})" for row in rows)
+        ctes.append((f"t{i}", f"SELECT * FROM (VALUES {listed}) t(word, cleaned, message)"))
+        joins.append(f'JOIN t{i} ON t{i}.word IS NOT DISTINCT FROM raw."{column}"')
+        values.append(f'CAST(t{i}.cleaned AS {kind}) AS "{name}"')
+        errors.append((name, f"t{i}.message"))
+    which = " ".join(f"WHEN {m} IS NOT NULL THEN '{n}'" for n, m in errors)
+    flag = "coalesce(lower(include_geometry) IN ('true', '1', 'yes'), false) AS include_geometry"
+    return f"""{_with(*ctes)}
+SELECT query_id, {", ".join(values)}, {flag}, false AS include_closed,
+  CASE {which} END AS error_param, coalesce({", ".join(m for _, m in errors)}) AS error
+FROM raw {" ".join(joins)}"""
+
+
+_PLACE_PARAMETERS = {
+    "lat": ("lat", "DOUBLE", shapes.DEGREES, _judged_degrees(90)),
+    "lng": ("lng", "DOUBLE", shapes.DEGREES, _judged_degrees(180)),
+}
+
+
+def screen_road_points() -> str:
+    return _screened(
+        _PLACE_PARAMETERS
+        | {
+            "road_class": ("road_class", "VARCHAR", shapes.ROAD_WORDS, _judged_word(shapes.ROAD_CLASSES, "road_class")),
+            "max_radius_m": ("radius_m", "INTEGER", shapes.RADII, _judged_whole(50_000, 5000)),
+        }
+    )
+
+
+def screen_land_use_points() -> str:
+    return _screened(
+        _PLACE_PARAMETERS
+        | {
+            "radius_m": ("radius_m", "INTEGER", shapes.RADII, _judged_whole(50_000, None)),
+            "subtype": ("subtype", "VARCHAR", shapes.SUBTYPE_WORDS, _judged_word(shapes.SUBTYPES, "land use subtype")),
+            "limit": ("limit", "INTEGER", shapes.LIMITS, _judged_whole(100, 20)),
+        }
+    )
+
+
+def screen_searches() -> str:
+    return _screened({"query": ("query", "VARCHAR", shapes.QUERY_WORDS, _judged_search)})
+
+
+def _noted(build):
+    """The same with the release in every row."""
+    return lambda: f"SELECT *, '{VERSION}' AS data_version FROM ({build()})"
+
+
 ORACLES = {
     f.__name__: f
     for f in (
@@ -654,5 +854,29 @@ ORACLES = {
         prune_files_by_point,
         normalise_geometry,
         area_profile,
+        dateline_building_count,
+        dateline_building_count_by_corner,
+        land_use_of_large_parcels,
+        scan_release,
+        scan_sources,
+        taxonomy_from_json,
+        screen_road_points,
+        screen_land_use_points,
+        screen_searches,
+        broken_geometry,
     )
 }
+ORACLES["many_sites_building_count"] = building_count_in_radius
+ORACLES["many_sites_nearest_road"] = nearest_road_of_class
+ORACLES["pruned_building_count"] = building_count_in_radius
+ORACLES["pruned_places_in_radius"] = places_in_radius
+ORACLES["pruned_land_use_at_point"] = land_use_at_point
+for _name in (
+    "places_in_radius", "nearest_place_of_type", "count_places_by_type_in_radius",
+    "building_count_in_radius", "building_class_composition", "point_in_admin_boundary",
+    "road_count_by_class", "nearest_road_of_class", "road_surface_composition",
+    "land_use_at_point", "land_use_composition", "land_use_search", "area_profile",
+    "pruned_building_count", "pruned_places_in_radius", "pruned_land_use_at_point",
+    "many_sites_nearest_road", "land_use_of_large_parcels",
+):
+    ORACLES[_name] = _noted(ORACLES[_name])

@@ -41,12 +41,27 @@ class Dialect:
     def join(self, a: str, b: str) -> str:
         return f"concat({a}, {b})" if self.spark else f"list_concat({a}, {b})"
 
-    def repeat(self, n: int, item: str) -> str:
+    def repeat(self, n: int | str, item: str) -> str:
         """List of ``item`` for ``i`` in ``0..n-1``."""
         if self.spark:
-            return f"transform(sequence(0, {n - 1}), i -> {item})"
+            return f"transform(sequence(0L, cast({n} as bigint) - 1), i -> {item})"
         return f"list_transform(range({n}), lambda i: {item})"
 
+    def divided(self, a: str, b: str) -> str:
+        """Quotient of whole numbers, cut."""
+        return f"(({a}) div ({b}))" if self.spark else f"(({a}) // ({b}))"
+
+    def text(self, value: str | None) -> str:
+        """Any text, whatever characters it has."""
+        if value is None:
+            return f"CAST(NULL AS {'STRING' if self.spark else 'VARCHAR'})"
+        octets = f"unhex('{value.encode().hex()}')"
+        return f"decode({octets}, 'UTF-8')" if self.spark else f"decode({octets})"
+
+    def pick_text(self, values: tuple[str | None, ...], index: str) -> str:
+        whens = " ".join(f"WHEN {i} THEN {self.text(v)}" for i, v in enumerate(values))
+        return f"CASE ({index}) % {len(values)} {whens} END"
+
     def box(self, x0: str, x1: str, y0: str, y1: str) -> str:
         return self.struct(
             xmin=f"({x0}) / 1e6", xmax=f"({x1}) / 1e6", ymin=f"({y0}) / 1e6", ymax=f"({y1}) / 1e6"
@@ -306,3 +321,92 @@ def searches(d: Dialect) -> str:
     word = d.pick(words, f"{k} % 12")
     return f"""
 SELECT {k} AS query_id, CASE WHEN {k} % 5 = 0 THEN p_type ELSE {word} END AS query FROM part"""
+
+
+def large_parcels(d: Dialect) -> str:
+    """A polygon per region with a jagged, stepped northern border; the larger the table of
+    orders, the more edges: eight per order in the first region."""
+    r = "r_regionkey"
+    west, south = CENTRE_X - 12_000, CENTRE_Y - 12_000
+    x0 = f"({west} + {r} * 1000)"
+    step = d.divided("i * 24000000", "n")
+    x = f"(CAST({x0} AS BIGINT) * 1000 + {step}) / 1e9"
+    teeth = d.divided("i * 16", "n")
+    y = f"({CENTRE_Y + 9_000} + i * 7919 % 2003 - {teeth} % 2 * 6000) / 1e6"
+    border = d.repeat("n", d.struct(x=x, y=y))
+    corners = d.line([(f"{x0} + 24000", str(south)), (x0, str(south))])
+    first = d.line([(x0, str(CENTRE_Y + 9_000))])
+    source = d.struct(property="''", dataset="'survey'", record_id="''")
+    edges = d.divided("(SELECT count(*) FROM orders) * 8", f"1 + {r}")
+    return f"""
+SELECT concat('z', {r}) AS id, {d.struct(primary="r_name")} AS names, 'park' AS subtype,
+  CAST(NULL AS {"STRING" if d.spark else "VARCHAR"}) AS class, {d.array(source)} AS sources,
+  {d.box(x0, f"{x0} + 24000", str(south), str(CENTRE_Y + 11_002))} AS bbox, 'POLYGON' AS geom_type,
+  {d.array(d.array(d.join(border, d.join(corners, first))))} AS parts
+FROM (SELECT r_regionkey, r_name, {edges} AS n FROM region)"""
+
+
+def _beside_date_line(k: str, gap: int) -> str:
+    """Longitude of a key on either side of the date line, ``gap`` or more from it."""
+    off = f"(({k}) * 7919 % 20011 - 10005)"
+    return f"CASE WHEN {off} >= 0 THEN {off} + {gap} - 180000000 ELSE {off} - {gap} + 180000000 END"
+
+
+def dateline_buildings(d: Dialect) -> str:
+    """Square footprints on both sides of the date line, one per order."""
+    k, s = "o_orderkey", "(50 + k % 100)"
+    ring = d.ring(_rectangle(f"x - {s}", f"x + {s}", f"y - {s}", f"y + {s}"))
+    return f"""
+SELECT concat('d', k) AS id, 'house' AS class,
+  {d.box(f"x - {s}", f"x + {s}", f"y - {s}", f"y + {s}")} AS bbox,
+  'POLYGON' AS geom_type, {d.array(d.array(ring))} AS parts
+FROM (SELECT {k} AS k, {_beside_date_line(k, 200)} AS x, {y_of(k)} AS y FROM orders)"""
+
+
+def dateline_points(d: Dialect) -> str:
+    """Query points on both sides of the date line, one per supplier."""
+    k = "s_suppkey"
+    radius = f"CASE {k} % 4 WHEN 0 THEN 100 WHEN 1 THEN 250 WHEN 2 THEN 500 ELSE 1000 END"
+    return f"""
+SELECT {k} AS query_id, ({y_of(f"{k} * 13")}) / 1e6 AS lat,
+  ({_beside_date_line(f"{k} * 13", 0)}) / 1e6 AS lng, {radius} AS radius_m
+FROM supplier"""
+
+
+#: Parameters as text in all the ways callers write them.
+DEGREES = (
+    "52.5", "1_0.2_5", "1__0", "_1", "abc", "NaN", " -inf\n", None, "", "１２.５", "١٫٥", "+.5e1", "5.", ".",
+    "90.0001", "-200", "1e400", "1e16", "0x10", "it's", 'a "b"', "both ' and \"", "tab\t", "\u2003 7 \u3000", "\x1c1",
+    "\u200b1", "back\\slash", "☕", "-0", "1d",
+)
+RADII = ("500", "500.7", "0", "-0.5", "50000", "50001", "1e3", "1_000", "far", None, "inf", "9e18", "1e22", " ٣٠٠ ")
+LIMITS = (None, "20", "0", "101", "7.9", "1_0", "many", "-3")
+ROAD_WORDS = (" Residential ", "motorway", "rail", "", "   ", None, "PATH\u2003", "it's", "spaceway")
+SUBTYPE_WORDS = ("park", " Forest", "moon", "", "\u3000", None, "QUARRY", "☕☕")
+QUERY_WORDS = ("store", "  car ", "", " \u2003 ", None, "ラーメン", "%", "\x85x\x85")
+
+
+def raw_calls(d: Dialect) -> str:
+    """Calls with parameters as untyped text, one per customer."""
+    k = "c_custkey"
+    picked = {
+        "lat": d.pick_text(DEGREES, f"CASE WHEN {k} % 3 = 0 THEN {k} ELSE 0 END"),
+        "lng": d.pick_text(DEGREES, f"CASE WHEN {k} % 3 = 1 THEN {k} ELSE 0 END"),
+        "radius_m": d.pick_text(RADII, k),
+        "max_radius_m": d.pick_text(RADII, f"{k} + 3"),
+        "limit": d.pick_text(LIMITS, f"{k} * 3"),
+        "road_class": d.pick_text(ROAD_WORDS, k),
+        "subtype": d.pick_text(SUBTYPE_WORDS, k),
+        "query": d.pick_text(QUERY_WORDS, k),
+        "include_geometry": d.pick_text(("YES", "0", None, "true", "no"), k),
+    }
+    quote = "`" if d.spark else '"'
+    columns = ", ".join(f"{text} AS {quote}{name}{quote}" for name, text in picked.items())
+    return f"SELECT {k} AS query_id, {columns} FROM customer"
+
+
+def kinds(d: Dialect) -> str:
+    """Entries of a taxonomy, one per market segment, brand and size of the tables."""
+    return """
+SELECT DISTINCT lower(c_mktsegment) AS category, CASE WHEN c_mktsegment < 'F' THEN concat('About "', c_mktsegment, '"') END AS description FROM customer
+UNION ALL SELECT DISTINCT lower(p_brand), concat('Brand of size ', CAST(max(p_size) AS STRING)) FROM part GROUP BY p_brand""".replace("STRING", "STRING" if d.spark else "VARCHAR")
