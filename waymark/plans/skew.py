@@ -43,9 +43,11 @@ class _Slices:
     hash, and every key repeated for each piece."""
 
     def __init__(self, table: DataFrame, keys: list[str], counts: list[str]):
-        self.table, self.keys, self.counts = saved(table), keys, counts
+        self.keys, self.counts = keys, counts
         largest = F.max(F.greatest(*counts) if len(counts) > 1 else F.col(counts[0]))
-        self.number, self.most = self.table.agg(F.count(F.lit(1)), largest).first()
+        self.number, self.most = table.agg(F.count(F.lit(1)), largest).first()
+        # most tables have no large key; those that have are read by both sides
+        self.table = saved(table) if self.number else table
 
     def onto(self, df: DataFrame, ident: list[str]) -> DataFrame:
         """Add the slice counts of each row's key, 1 where it is not cut."""
