@@ -122,6 +122,21 @@ def test_license_templates(spark):
     assert {r.doc_id: r.labels for r in licenses(table).collect()} == {1: "bsd", 2: "", 3: ""}
 
 
+def test_license_blocks_cross_lines(spark):
+    words = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction'
+    ).split()
+    wrapped = "\n".join("// " + " ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+    apart = ("\n\n" + "filler " * 40).join(words)
+    rows = [(1, wrapped), (2, "x " * 500 + wrapped + " y" * 500), (3, apart), (4, None)]
+    assert {r.doc_id: r.labels for r in licenses(frame(spark, rows)).collect()} == {1: "mit", 2: "mit", 3: "", 4: ""}
+    own = spark.createDataFrame([("house", "the owls watch the old river bank"), ("none", None), (None, "x")], "label string, text string")
+    found = licenses(frame(spark, [(1, "see how\nThe owls watch\nthe old River; bank"), (2, "the old bank")]), templates=own).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in found} == {1: ("house", 1.0), 2: ("", 0.0)}
+    assert {r.labels for r in licenses(frame(spark, rows), templates=own.filter("false")).collect()} == {""}
+
+
 def test_context_tree(spark, rows):
     data = [(doc, text[:300]) for doc, text in rows[:12]] + [(900, None), (901, "")]
     found = {r.doc_id: r for r in scores(frame(spark, data), depth=2).collect()}

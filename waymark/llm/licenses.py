@@ -1,10 +1,12 @@
 """License notices by exact set-similarity join with templates, in DataFrame functions only.
 
-A text block is a line; a template is found in it if the block holds at least ``containment``
-of the template's distinct words. Words are ordered by how many documents hold them, rarest
-first. A block that reaches the threshold of a template must share one of the template's first
-words (prefix filter), must hold enough words at all (length filter), and from the shared word
-on both must have enough words left (positional filter). What remains is counted exactly.
+A text block is a run of words, whatever lines it stands on: as many as the template has, on
+both sides of a word. A template is found in it if the block holds at least ``containment`` of
+the template's distinct words. Words are ordered by how many documents hold them, rarest first.
+A block that reaches the threshold of a template must hold one of the template's first words
+(prefix filter), so blocks are taken around those alone; it must hold enough of the templates'
+words at all (length filter), and before and after the shared word both must have enough words
+(positional filter). What remains is counted exactly.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from waymark.llm.tables import picked
 
 CONTAINMENT = 0.8
+#: Templates of a table, held by every task.
+MAX_TEMPLATES = 5_000
 
 # Phrases with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -98,43 +101,69 @@ def _frequency_order(docs: DataFrame, words: list[str]) -> list[str]:
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
 
-def matches(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """Blocks with templates: _id, _key, line, template, label, containment.
+def _named(templates: dict[str, list[str]] | DataFrame) -> list[tuple[str, list[str], int]]:
+    """Label, distinct words and number of words of every template, as texts are cut into words."""
+    if isinstance(templates, DataFrame):
+        words = F.array_distinct(_words(F.coalesce(F.col("text"), F.lit(""))))
+        rows = templates.select("label", F.array_sort(words).alias("words"), F.size(_words(F.col("text"))).alias("n"))
+        found = rows.filter("label is not null and n > 0").limit(MAX_TEMPLATES + 1).collect()
+        if len(found) > MAX_TEMPLATES:
+            raise ValueError(f"more than {MAX_TEMPLATES} templates")
+        return [(row["label"], row["words"], row["n"]) for row in found]
+    return [(label, sorted(set(text.split())), len(text.split())) for label, texts in templates.items() for text in texts]
 
-    ``docs`` has _id, _key, _text and _words.
+
+def matches(
+    docs: DataFrame, containment: float = CONTAINMENT, templates: dict[str, list[str]] | DataFrame = TEMPLATES
+) -> DataFrame:
+    """Blocks with templates: _id, _key, at, template, label, containment.
+
+    ``docs`` has _id, _key and _words; ``at`` is the number of the word a block is taken around.
     """
     spark = docs.sparkSession
-    named = [(label, sorted(set(text.split()))) for label, texts in TEMPLATES.items() for text in texts]
-    order = _frequency_order(docs, sorted({w for _, words in named for w in words}))
+    named = _named(templates)
+    order = _frequency_order(docs, sorted({w for _, words, _ in named for w in words}))
     place = {w: i for i, w in enumerate(order)}
     prefixes, whole = [], []
-    for number, (label, words) in enumerate(named):
+    for number, (label, words, reach) in enumerate(named):
         words = sorted(words, key=place.__getitem__)
         least = math.ceil(containment * len(words) - 1e-9)
         whole.append((number, label, words, least))
-        prefixes += [(w, number, i, len(words), least) for i, w in enumerate(words[: len(words) - least + 1])]
-    first_words = sorted({p[0] for p in prefixes})
-    shortest = min(least for *_, least in whole)
-    index = spark.createDataFrame(prefixes, T.StructType.fromDDL("word string, template int, i int, size int, least int"))
-    templates = spark.createDataFrame(whole, T.StructType.fromDDL("template int, label string, words array<string>, need int"))
-    some = docs.filter(F.arrays_overlap("_words", F.array(*map(F.lit, first_words))))
-    lines = some.select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("line", "block"))
+        prefixes += [(w, number, i, len(words), least, reach) for i, w in enumerate(words[: len(words) - least + 1])]
+    first_words = F.array(*map(F.lit, sorted({p[0] for p in prefixes}))).cast("array<string>")
+    widest = max((p[5] for p in prefixes), default=0)
+    index = spark.createDataFrame(prefixes, "word string, template int, i int, size int, least int, reach int")
+    known = spark.createDataFrame(whole, "template int, label string, words array<string>, need int")
+    some = docs.filter(F.arrays_overlap("_words", first_words))
+    # words around every place of a first word; only those leave the text
+    numbered = F.transform("_words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    places = F.filter(numbered, lambda p: F.array_contains(first_words, p["word"]))
+    around = some.select("_id", "_key", "_words", F.explode(places).alias("p")).select(
+        "_id", "_key", "p.at", "p.word",
+        F.expr(f"slice(_words, greatest(p.at + 1 - {widest}, 1), p.at + 1 + {widest} - greatest(p.at + 1 - {widest}, 1) + 1)").alias("near"),
+        F.expr(f"least(p.at, {widest})").alias("middle"),
+    )
+    # both small tables have a checked size: the templates' words
+    met = around.join(F.broadcast(index), "word")
+    block = F.expr("slice(near, greatest(middle + 1 - reach, 1), middle + 1 + reach - greatest(middle + 1 - reach, 1) + 1)")
     # words of the block that any template has, in frequency order
-    held = F.array_intersect(F.array(*map(F.lit, order)), _words(F.col("block"))).alias("held")
-    lines = lines.select("_id", "_key", "line", held).filter(F.size("held") >= shortest)
-    probes = lines.select("*", F.posexplode("held").alias("j", "word"))
-    # both small tables have a fixed size: the templates above
-    met = probes.join(F.broadcast(index), "word").filter(F.size("held") >= F.col("least"))
-    rest = 1 + F.least(F.col("size") - F.col("i") - 1, F.size("held") - F.col("j") - 1)
-    pairs = met.filter(rest >= F.col("least")).select("_id", "_key", "line", "template", "held").distinct()
-    met = pairs.join(F.broadcast(templates), "template")
+    held = F.array_intersect(F.array(*map(F.lit, order)).cast("array<string>"), block)
+    met = met.withColumn("held", held).filter(F.size("held") >= F.col("least"))
+    met = met.withColumn("j", F.expr("cast(array_position(held, word) as int) - 1"))
+    bound = F.expr("least(i, j) + 1 + least(size - i - 1, size(held) - j - 1)")
+    pairs = met.filter(bound >= F.col("least")).select("_id", "_key", "at", "template", "held")
+    met = pairs.join(F.broadcast(known), "template")
     common = F.size(F.array_intersect("words", "held"))
     met = met.filter(common >= F.col("need"))
-    return met.select("_id", "_key", "line", "template", "label", (common / F.size("words")).alias("containment"))
+    return met.select("_id", "_key", "at", "template", "label", (common / F.size("words")).alias("containment"))
 
 
 def licenses(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    containment: float = CONTAINMENT,
+    templates: dict[str, list[str]] | DataFrame = TEMPLATES,
 ) -> DataFrame:
     """License labels of every text.
 
@@ -142,12 +171,13 @@ def licenses(
     those places, words from 0), base_labels, labels (of phrases and templates; both distinct,
     sorted, joined by commas), score (largest containment found, 1 where a phrase stands, else
     0). Null and empty texts have no words and no labels. Equal rows get equal results; extra
-    columns are left out.
+    columns are left out. ``templates`` are notices by label, as words in lower case, or a table
+    (label, text) of at most ``MAX_TEMPLATES`` rows; rows without label or words are ignored.
     """
     docs = picked(docs, id_col, text_col).withColumn("_key", F.xxhash64("_id", "_text"))
     docs = docs.withColumn("_words", _words(F.coalesce("_text", F.lit(""))))
     based = _based(docs).select("_id", "_key", "n_words", "n_base", "first_word", "last_word", "base_found")
-    found = matches(docs, containment).groupBy("_id", "_key").agg(
+    found = matches(docs, containment, templates).groupBy("_id", "_key").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("most")
     )
     found = found.select(F.col("_id").alias("of"), F.col("_key").alias("of_key"), "found", "most")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from waymark.llm.licenses import PHRASES, TEMPLATES
+
 _OP3 = r"""
 WITH docs AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -24,6 +28,51 @@ FROM marked GROUP BY doc_id
 
 
 
+def _op5() -> str:
+    """Templates against the words around each of their first words."""
+    listed = [(label, sorted(set(text.split())), len(text.split())) for label, texts in TEMPLATES.items() for text in texts]
+    rows = ", ".join(
+        f"({n}, '{label}', [{', '.join(repr(w) for w in words)}], {math.ceil(0.8 * len(words) - 1e-9)}, {reach})"
+        for n, (label, words, reach) in enumerate(listed)
+    )
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, pos FROM numbered WHERE "
+        + " AND ".join(f"w[pos + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split()))
+        for phrase, label in PHRASES.items()
+    )
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), numbered AS (
+  SELECT doc_id, w, unnest(range(len(w))) AS pos FROM docs
+), base AS (
+  SELECT doc_id, count(*) AS n, min(pos) AS low, max(pos) AS high, list(label) AS labels FROM ({places}) GROUP BY doc_id
+), templates AS (
+  SELECT * FROM (VALUES {rows}) t(template, label, words, need, reach)
+), used AS (
+  SELECT DISTINCT unnest(words) AS word FROM templates
+), held AS (
+  SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, w[pos + 1] AS word FROM numbered) JOIN used USING (word) GROUP BY word
+), ordered AS (
+  SELECT word, row_number() OVER (ORDER BY coalesce(n, 0), word) AS place FROM used LEFT JOIN held USING (word)
+), prefixes AS (
+  SELECT t.*, word FROM (SELECT *, unnest(words) AS word FROM templates) t JOIN ordered USING (word)
+  QUALIFY row_number() OVER (PARTITION BY template ORDER BY place) <= len(words) - need + 1
+), around AS (
+  SELECT doc_id, p.label, words, need, len(list_intersect(words, w[greatest(pos + 1 - reach, 1):pos + 1 + reach])) AS common
+  FROM numbered n JOIN prefixes p ON p.word = n.w[n.pos + 1]
+), found AS (
+  SELECT doc_id, list(label) AS labels, max(common / len(words)) AS most FROM around WHERE common >= need GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0) AS n_base, low AS first_word, high AS last_word,
+  array_to_string(list_sort(list_distinct(coalesce(b.labels, []))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels,
+  greatest(CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, coalesce(most, 0)::DOUBLE) AS score
+FROM docs LEFT JOIN base b USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
+
 def _op12(rounds: int = 10) -> str:
     """All rounds as one chain of tables; a centroid is a list of integers."""
     distance = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
@@ -72,7 +121,8 @@ WITH pieces AS (
   SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
-]')) AS piece
+
+]')) AS piece
     FROM documents)
 ), sizes AS (
   SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
@@ -101,4 +151,4 @@ FROM best QUALIFY rank <= 2000
 """
 
 
-ORACLES: dict[str, str] = {"op3_line_dedup": _OP3, "op12_centroids": _op12(), "op13_collocations": _op13()}
+ORACLES: dict[str, str] = {"op3_line_dedup": _OP3, "op5_license_scan": _op5(), "op12_centroids": _op12(), "op13_collocations": _op13()}
