@@ -80,7 +80,7 @@ def context_tree_score(rows: list[tuple], depth: int) -> dict[int, float]:
     counts: dict = defaultdict(lambda: [0, 0])
 
     def steps(text: str):
-        data = lowered(text or "").encode()
+        data = lowered(text or "").encode() + b"\xff"
         for at, byte in enumerate(data):
             context = (b"\0" * depth + data)[at : at + depth]
             for i in range(8):

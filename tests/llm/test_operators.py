@@ -137,10 +137,12 @@ def test_license_blocks_cross_lines(spark):
     assert {r.labels for r in licenses(frame(spark, rows), templates=own.filter("false")).collect()} == {""}
 
 
-def test_context_tree(spark, rows):
-    data = [(doc, text[:300]) for doc, text in rows[:12]] + [(900, None), (901, "")]
-    found = {r.doc_id: r for r in scores(frame(spark, data), depth=2).collect()}
-    base, tree = brute.base_scores(data), brute.context_tree_score(data, 2)
+@pytest.mark.parametrize("depth", [2, 4])
+def test_context_tree(spark, rows, depth):
+    data = [(doc, text[:300]) for doc, text in rows[:12]] + [(900, None), (901, ""), (902, "é"), (903, "\0\0")]
+    found = {r.doc_id: r for r in scores(frame(spark, data), depth=depth, group_bytes=200).collect()}
+    base, tree = brute.base_scores(data), brute.context_tree_score(data, depth)
+    assert found[900].score == found[901].score < 0
     for doc, _ in data:
         r = found[doc]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == base[doc][:4]

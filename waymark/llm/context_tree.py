@@ -10,6 +10,9 @@ at the deepest nodes, sums them towards the root, and gives every node
 From the root down, a node's share of ``Pw`` that is its own weighs its estimate of the next
 bit; what is left goes to its child. That gives each seen (context, byte) one probability,
 which texts look up. Nodes seen in scored texts only enter with zero counts.
+
+A text is coded with its end, a byte that UTF-8 never has, so all texts together have
+probability one at most.
 """
 
 from __future__ import annotations
@@ -30,6 +33,14 @@ DEPTH = 4
 GROUP_BYTES = 24 << 20
 _FLUSH = 2_000_000
 _WORD, _GRAM = 0, 1
+#: The end of a text.
+_END = 0xFF
+
+
+def ended(block: Block) -> Block:
+    """Every row with the end behind its last byte."""
+    data = np.insert(block.data, block.offsets[1:], np.uint8(_END))
+    return Block(data, block.offsets + np.arange(len(block.offsets)), block.first)
 
 
 def grams(block: Block, depth: int) -> np.ndarray:
@@ -77,8 +88,8 @@ def _count(depth: int):
                 block = block.lowered()
                 train = trains[block.first : block.first + len(block)]
                 words, rows = _words(block)
-                found = grams(block, depth)
-                training = np.repeat(train, np.diff(block.offsets))
+                found = grams(ended(block), depth)
+                training = np.repeat(train, np.diff(block.offsets) + 1)
                 some = [np.unique(words[train[rows]], return_counts=True)]
                 items, n = np.unique(found[training], return_counts=True)
                 unseen = np.setdiff1d(np.unique(found[~training]), items, assume_unique=True)
@@ -162,7 +173,7 @@ def _keys_of(depth: int):
         for block in blocks(table["_text"]):
             block = block.lowered()
             found.append(np.unique(_words(block)[0]))
-            found.append(_gram_keys(np.unique(grams(block, depth))))
+            found.append(_gram_keys(np.unique(grams(ended(block), depth))))
         return np.unique(np.concatenate(found))[:, None]
 
     return keys_of
@@ -179,10 +190,10 @@ def _scored(depth: int, train_tokens: int, base: float, end: float, known_end: i
             distinct = np.unique(words)
             values = find(distinct[:, None])[places(distinct, words)]
             known = ~np.isnan(values)
-            keys = _gram_keys(grams(block, depth))
+            keys = _gram_keys(grams(ended(block), depth))
             distinct = np.unique(keys)
             logs = find(distinct[:, None])[places(distinct, keys)]
-            at = np.repeat(np.arange(n), np.diff(block.offsets))
+            at = np.repeat(np.arange(n), np.diff(block.offsets) + 1)
             columns["n_tokens"].append(totals(rows, n) + 1)
             columns["n_known"].append(totals(rows[known], n) + known_end)
             columns["base_score"].append(totals(rows, n, np.where(known, values, base)) + end)
@@ -215,9 +226,10 @@ def scores(
 
     A text is held out if crc32 of its id, as text, leaves ``held_fold`` by ``folds``; a null id
     is never held out. A-Z count as lower case. Result: doc_id, held_out, n_tokens, n_known,
-    base_score, score (log10 probability of all bytes), train_tokens, n_bytes, bits_per_byte
-    (null for empty texts). Null texts count as empty: one token, the end. Without training
-    texts all contexts have zero counts: every bit costs one bit. Extra columns are left out.
+    base_score, score (log10 probability of the text: all its bytes, then the end), train_tokens,
+    n_bytes, bits_per_byte (the end's bits included; null for empty texts). Null texts count as
+    empty: one token, the end. Without training texts all contexts have zero counts: every bit
+    costs one bit. Extra columns are left out.
     """
     docs = picked(docs, id_col, text_col)
     fold = F.crc32(F.col("_id").cast("string")) % folds == held_fold

@@ -21,6 +21,8 @@ BROADCAST_BYTES = 64 << 20
 CHUNK_BYTES = 12 << 20
 #: Entries of one shard of an index.
 SHARD_ROWS = 250_000
+#: Groups of documents that ask one copy of a shard: more groups get more copies.
+COPY_CHUNKS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -97,9 +99,8 @@ def groups_for(docs: DataFrame, group_bytes: int) -> int:
     return max(-(-size // group_bytes), min(2 * parts, -(-4 * size // group_bytes)), 1)
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The frame dealt by a hash of id and text into groups ``_chunk`` of bounded size."""
-    chunks = groups_for(docs, chunk_bytes)
+def chunked(docs: DataFrame, chunks: int) -> DataFrame:
+    """The frame dealt by a hash of id and text into ``chunks`` groups ``_chunk``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)).cast("int")
     return docs.withColumn("_chunk", chunk).repartition(max(parts, chunks // 3), "_chunk")
@@ -190,7 +191,8 @@ def probed(
 
     If the stored arrays measure at most ``limit`` bytes, each task holds them all and nothing
     is shuffled. Else documents are dealt into chunks; each chunk sends its distinct keys to
-    their shards, and the answers meet the chunk again.
+    their shards, and the answers meet the chunk again. ``COPY_CHUNKS`` chunks share one copy of
+    the shards, so no group grows with the number of documents.
     """
     index = stored(index)
     binaries = [c for c in index.columns if c != "shard"]
@@ -208,7 +210,8 @@ def probed(
 
         return docs.mapInArrow(direct, result)
 
-    chunks = chunked(docs, chunk_bytes)
+    n_chunks = groups_for(docs, chunk_bytes)
+    chunks = chunked(docs, n_chunks)
 
     def ask(group: pa.Table) -> pa.Table:
         keys = distinct_rows(keys_of(group))
@@ -232,7 +235,7 @@ def probed(
             keys = np.frombuffer(blob, np.uint64).reshape(-1, width)
             known = probe(held, keys) if held else np.full(len(keys), missing)
             told.append(known.tobytes())
-        return asked.append_column("told", pa.array(told, pa.binary()))
+        return asked.drop_columns(["copy"]).append_column("told", pa.array(told, pa.binary()))
 
     def close(group: pa.Table, told: pa.Table) -> pa.Table:
         kind = np.asarray(missing).dtype
@@ -253,6 +256,9 @@ def probed(
         return finish(group.drop_columns(["_chunk"]), find)
 
     asked = chunks.groupBy("_chunk").applyInArrow(ask, "_chunk int, shard int, asked binary")
-    both = asked.groupBy("shard").cogroup(index.groupBy("shard"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit((n_chunks - 1) // COPY_CHUNKS)))
+    asked = asked.withColumn("copy", F.expr(f"cast(_chunk div {COPY_CHUNKS} as int)"))
+    copied = index.withColumn("copy", copies)
+    both = asked.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy"))
     told = both.applyInArrow(answer, "_chunk int, shard int, asked binary, told binary")
     return chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(close, result)
