@@ -430,9 +430,9 @@ def similar_documents(
     made = "doc_id long, set_id long, n_shingles long, histogram binary, bucket int, n long"
     with small_batches(spark):
         described = stored(docs.mapInArrow(_described(words), made))
-    sketch = described.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sketch = described.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SKETCH_BUCKETS, np.int64)
-    counts[sketch["bucket"].to_numpy(int)] = sketch["n"].to_numpy()
+    counts[sketch["bucket"].to_numpy()] = sketch["n"].to_numpy()
     held = spark.sparkContext.broadcast(counts)
     named = described.filter("bucket is null").select("doc_id", "set_id", "n_shingles")
     index = docs.select("_text").mapInArrow(_indexed(words, percent, held), "token long, set_id long, size int")

@@ -198,7 +198,7 @@ def probed(
     binaries = [c for c in index.columns if c != "shard"]
     size = index.agg(F.sum(sum(F.octet_length(c) for c in binaries))).first()[0] or 0
     if size <= limit:
-        rows = {row["shard"]: {c: bytes(row[c]) for c in binaries} for row in index.collect()}
+        rows = {row["shard"]: {c: row[c] for c in binaries} for row in index.toArrow().to_pylist()}
         held = docs.sparkSession.sparkContext.broadcast(rows)
 
         def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
