@@ -36,8 +36,9 @@ BUCKET_SETS = 64
 #: blocks repeat fewer rows.
 BLOCK_SETS = 1024
 BLOCK_SHINGLES = 1 << 20
-#: Rows of buckets that one task narrows at once.
+#: Rows of buckets, and bytes of their histograms, that one task narrows at once.
 _PART_ROWS = 50_000
+_PART_BYTES = 16 << 20
 #: Bytes of text scanned at once: arrays that fit into the processor's cache.
 _SCAN_BYTES = 1 << 18
 #: Sets a task remembers, to put each into the index once.
@@ -123,10 +124,15 @@ def may_link(sizes: np.ndarray, histograms: list[np.ndarray], u: np.ndarray, v:
 
 
 def _narrowed(percent: int):
-    """Splits buckets into groups that may link two components: group, set_id, asks."""
+    """Splits buckets into groups that may link two components: group, set_id, asks.
 
-    def narrow(part: pa.Table) -> pa.Table:
-        bucket, ids, roots = (one_array(part[c]).to_numpy() for c in ("bucket", "set_id", "root"))
+    Gets the buckets of a part and, once each, the sets in them.
+    """
+
+    def narrow(part: pa.Table, known: pa.Table) -> pa.Table:
+        names = one_array(known["name"]).to_numpy()
+        by = np.argsort(names)
+        bucket, ids = (one_array(part[c]).to_numpy() for c in ("bucket", "set_id"))
         asks = one_array(part["asks"]).to_numpy(zero_copy_only=False)
         # one row per bucket and set; those who ask come first
         order = np.lexsort((~asks, ids, bucket))
@@ -134,10 +140,12 @@ def _narrowed(percent: int):
         new[1:] = (bucket[order][1:] != bucket[order][:-1]) | (ids[order][1:] != ids[order][:-1])
         order = order[new]
         order = order[np.lexsort((~asks[order], bucket[order]))]
-        bucket, ids, roots, asks = bucket[order], ids[order], roots[order], asks[order]
-        sizes = one_array(part["n_shingles"]).to_numpy()[order]
-        blobs = part["histogram"].take(pa.array(order)).to_pylist()
-        histograms = [_UNPACKED[np.frombuffer(b, np.uint8)].ravel() for b in blobs]
+        bucket, ids, asks = bucket[order], ids[order], asks[order]
+        at = by[np.searchsorted(names[by], ids)]
+        roots = one_array(known["root"]).to_numpy()[at]
+        sizes = one_array(known["n_shingles"]).to_numpy()[at]
+        unpacked = [_UNPACKED[np.frombuffer(b.as_buffer(), np.uint8)].ravel() for b in one_array(known["histogram"])]
+        histograms = [unpacked[i] for i in at]
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = np.append(edges[1:], len(bucket))
         later = np.repeat(ends, ends - edges) - np.arange(len(bucket)) - 1
@@ -315,9 +323,16 @@ def _search(buckets: DataFrame, docs: DataFrame, known: DataFrame, words: int, p
     ``known`` has set_id, root, n_shingles, histogram and doc_id of every set.
     """
     met = stored(buckets.select(F.xxhash64("bucket").alias("bucket"), "set_id", "asks").distinct())
-    parts = -(-met.count() // _PART_ROWS) or 1
-    met = met.join(known.drop("doc_id"), "set_id").withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(parts)))
-    groups = stored(met.groupBy("part").applyInArrow(_narrowed(percent), "group long, set_id long, asks boolean"))
+    known = known.withColumn("bytes", F.octet_length("histogram"))
+    weights = met.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).join(known.select("set_id", "bytes"), "set_id")
+    rows, size = weights.agg(F.sum("n"), F.sum(F.col("n") * F.col("bytes"))).first()
+    parts = max(-(-(rows or 0) // _PART_ROWS), -(-(size or 0) // _PART_BYTES), 1)
+    met = met.withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(parts)))
+    # histograms are large: each goes to a part once, whatever the buckets it is in there
+    sets = met.select(F.col("part").alias("at"), F.col("set_id").alias("name")).distinct()
+    sets = sets.join(known.select(F.col("set_id").alias("name"), "root", "n_shingles", "histogram"), "name")
+    met = met.groupBy("part").cogroup(sets.groupBy("at"))
+    groups = stored(met.applyInArrow(_narrowed(percent), "group long, set_id long, asks boolean"))
     marks = groups.groupBy("group").agg(
         F.count(F.lit(1)).alias("k"), F.min("set_id").alias("a"), F.expr("bit_xor(xxhash64(set_id, asks))").alias("x"),
     )
