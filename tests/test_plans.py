@@ -250,3 +250,50 @@ def test_ranking_carries_no_geometry_of_files(spark, tmp_path, world):
         assert shown(got) == shown(want)
         near = got.where("abs(parts[0][0][0].y - lat) > 1").count()
         assert near == want.where("abs(parts[0][0][0].y - lat) > 1").count()
+
+
+LEVELS = {"few_pairs": 0, "pairs_per_row": 0, "features_per_tile": 2}
+
+
+@pytest.mark.parametrize("prefilter", ["corner", "none"])
+def test_sites_that_fit_are_not_paired_with_a_crowded_layer(world, monkeypatch, prefilter):
+    features, sites, layer, site_df = world
+    kind = dict(zip(features.id, features.kind))
+    pairs = radius_pairs(sites, features, prefilter == "corner")
+    opened, levels = [], []
+    plain_open, plain_levels = tiles._opened, tiles._levels
+    monkeypatch.setattr(tiles, "ROOT_TILES", 40)
+    monkeypatch.setattr(tiles, "_opened", lambda *a: opened.append(plain_open(*a)) or opened[-1])
+    monkeypatch.setattr(tiles, "_levels", lambda *a: levels.extend(plain_levels(*a)) or levels)
+    monkeypatch.setattr(tiles, "radius_join", None)
+    for small in (tiles.BROADCAST_TILES, 0):
+        monkeypatch.setattr(tiles, "BROADCAST_TILES", small)
+        levels.clear()
+        options = RadiusOptions(prefilter, **LEVELS)
+        got = radius_counts(site_df.select(*SITE), layer, F.col("kind"), options=options)
+        rows = {(r.lat, r.lng, r.radius_m, r.key): r["count"] for r in got.collect()}
+        assert rows == dict(Counter((*key, kind[fid]) for *key, fid in pairs))
+        assert len(levels) > 3
+    # whole tiles are counted without opening them
+    assert opened[-1].count() < len(pairs)
+
+
+@pytest.mark.parametrize("winners", [1_000_000, 0])
+def test_ranking_by_levels_gives_the_rows_of_a_direct_join(spark, world, monkeypatch, winners):
+    features, sites, layer, site_df = world
+    monkeypatch.setattr(tiles, "ROOT_TILES", 4)
+    monkeypatch.setattr(tiles, "BROADCAST_WINNERS", winners)
+    # rows that come twice, rows without id, and rows without position
+    odd = layer.unionByName(layer.limit(300)).withColumns(
+        {
+            "id": F.when(F.abs(F.hash("rep_x", "kind")) % 5 > 0, F.col("id")),
+            "rep_ex": F.when(F.abs(F.hash("rep_y", "kind")) % 7 > 0, F.col("rep_ex")),
+        }
+    ).cache()
+    keep = {"x": F.col("rep_x"), "at": F.array("rep_y")}
+    criteria = Criteria(match={"kind": F.col("kind")})
+    found = []
+    for options in (RadiusOptions("corner"), RadiusOptions("corner", **LEVELS)):
+        got = radius_nearest(site_df, odd, keep, F.col("k"), 7, criteria, options)
+        found.append(Counter(str(r.asDict()) for r in got.select(*sorted(got.columns)).collect()))
+    assert found[0] == found[1] and found[0].total() > 100

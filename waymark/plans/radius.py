@@ -30,10 +30,16 @@ BROADCAST_SITE_CELLS = 500_000
 BOX = ("lng_min", "lng_max", "lat_min", "lat_max")
 
 
-#: Candidate pairs per row of layer and sites up to which many sites are joined directly;
+#: Candidate pairs per row of layer and sites up to which they are joined directly;
 #: with more of them the layer is summarised into tiles first.
 PAIRS_PER_ROW = 8
 
+#: Candidate pairs that sites which are broadcast may test in any case.
+FEW_PAIRS = 10_000_000
+
+#: Features per tile of the finest level, at most and on average.
+FEATURES_PER_TILE = 600
+
 
 @dataclass(frozen=True)
 class RadiusOptions:
@@ -48,6 +54,8 @@ class RadiusOptions:
     broadcast_site_cells: int = BROADCAST_SITE_CELLS
     rows_per_task: int = ROWS_PER_TASK
     pairs_per_row: int = PAIRS_PER_ROW
+    few_pairs: int = FEW_PAIRS
+    features_per_tile: int = FEATURES_PER_TILE
     limits: Limits = DEFAULT_LIMITS
     data_version: str | None = None
 
@@ -158,7 +166,7 @@ def ranged_sites(sites: DataFrame, options: RadiusOptions) -> DataFrame:
     return grid.with_rungs(with_search_box(sites, options.prefilter), BOX, finer=1)
 
 
-def _never_null(ranged: DataFrame) -> DataFrame:
+def never_null(ranged: DataFrame) -> DataFrame:
     """Tell the planner that site numbers are present (screening has seen to it)."""
     numbers = ("lat", "lng", "radius_m", *BOX)
     return ranged.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
@@ -167,7 +175,7 @@ def _never_null(ranged: DataFrame) -> DataFrame:
 def spread_sites(ranged: DataFrame) -> DataFrame:
     """One row per site and grid cell, with the site's position."""
     return (
-        geodesy.with_position(_never_null(ranged), "lng", "lat", "site")
+        geodesy.with_position(never_null(ranged), "lng", "lat", "site")
         .withColumn("cell", F.explode(grid.covered_cells()))
         .drop(*(c for c in grid.SCRATCH if c != "rungs"))
     )

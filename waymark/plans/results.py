@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 from waymark.plans.skew import ROWS_PER_TASK, balanced_attach
 
 
-def nearest(pairs: DataFrame, site: list[str], k: Column, most: int) -> DataFrame:
+def nearest(
+    pairs: DataFrame, site: list[str], k: Column, most: int, ties: list[Column] | None = None
+) -> DataFrame:
     """The ``k`` nearest rows of each site, ``k <= most``, numbered in ``rank``, with
     their number in ``count``.
 
-    Ordered by distance, hence also by whole metres, then by ``id``, then by a hash of all
-    that was kept of a row.  The constant bound lets Spark drop rows beyond it before the
-    shuffle.
+    Ordered by distance, hence also by whole metres, then by ``id``, then by ``ties``: unless
+    given, a hash of all that was kept of a row.  The constant bound lets Spark drop rows
+    beyond it before the shuffle.
     """
-    rest = [c for c in pairs.columns if c not in (*site, "distance", "id")]
-    row = [F.xxhash64(*rest)] if rest else []
-    order = W.partitionBy(*site).orderBy("distance", "id", *row)
+    if ties is None:
+        rest = [c for c in pairs.columns if c not in (*site, "distance", "id")]
+        ties = [F.xxhash64(*rest)] if rest else []
+    order = W.partitionBy(*site).orderBy("distance", "id", *ties)
     ranked = pairs.withColumn("rank", F.row_number().over(order))
     top = ranked.where(F.col("rank") <= most).where(F.col("rank") <= k)
     return top.withColumn("count", F.count(F.lit(1)).over(W.partitionBy(*site)))
