@@ -2,12 +2,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.brute import as_layer, geodesic, radius_pairs, random_features, random_sites
 from waymark.functions.geometry import PARTS_TYPE
-from waymark.plans import contains, skew, tiles
+from waymark.plans import contains, opening, skew, tiles
 from waymark.plans.contains import ContainsOptions, contains_join
 from waymark.plans.radius import Criteria, RadiusOptions, radius_join
 from waymark.plans.results import composition
@@ -297,3 +298,51 @@ def test_ranking_by_levels_gives_the_rows_of_a_direct_join(spark, world, monkeyp
         got = radius_nearest(site_df, odd, keep, F.col("k"), 7, criteria, options)
         found.append(Counter(str(r.asDict()) for r in got.select(*sorted(got.columns)).collect()))
     assert found[0] == found[1] and found[0].total() > 100
+
+
+@pytest.mark.parametrize("prefilter", ["corner", "none"])
+def test_opened_tiles_are_tested_as_arrays(spark, world, monkeypatch, prefilter):
+    """Counts and ranks of opened tiles are those of a direct join, and no pair becomes a row."""
+    _, _, layer, site_df = world
+    # places that share a position, and a group that is missing in some rows
+    layer = layer.withColumn("kind", F.when(F.col("kind") != "a", F.col("kind")))
+    layer = layer.unionByName(layer.limit(300).withColumn("id", F.concat(F.lit("copy of "), "id")))
+    sites = site_df.select(*SITE).unionByName(
+        # beyond the radius up to which a chord alone decides
+        site_df.limit(3).select("lat", "lng", F.lit(70_000).cast(site_df.schema["radius_m"].dataType).alias("radius_m"))
+    ).distinct()
+    keep, k = {"kind": F.col("kind")}, F.lit(3)
+    direct = RadiusOptions(prefilter, **DIRECT)
+    counts = set(radius_counts(sites, layer, F.col("kind"), options=direct).collect())
+    ranks = set(radius_nearest(sites, layer, keep, k, 5, options=direct).collect())
+    monkeypatch.setattr(tiles, "within_reach", None)
+    # tiles of several blocks
+    options = RadiusOptions(prefilter, **{**MANY, "rows_per_task": 500, "features_per_tile": 1000})
+    assert set(radius_counts(sites, layer, F.col("kind"), options=options).collect()) == counts
+    assert set(radius_nearest(sites, layer, keep, k, 5, options=options).collect()) == ranks
+    assert len(counts) > 50 and len(ranks) > 50
+
+
+def test_blocks_are_counted_whole_or_skipped():
+    """Only blocks that the rim cuts are opened; a wide circle opens none."""
+    rng = np.random.default_rng(3)
+    n = 5000
+    place = rng.random((n, 2)) * 0.02
+    frame = pd.DataFrame(
+        {"_px": place[:, 0], "_py": place[:, 1], "rep_ex": place[:, 0] * 1e5, "rep_ey": place[:, 1] * 1e5,
+         "rep_ez": 0.0, "rep_sin": 0.0, "_g": "", "_g0": False}
+    )
+    sites = pd.DataFrame(
+        {"_site": [0, 1, 2], "radius_m": [50_000, 500, 10], "lng_min": -1.0, "lng_max": 1.0, "lat_min": -1.0,
+         "lat_max": 1.0, "site_ex": [1000.0, 1000.0, 9e5], "site_ey": 1000.0, "site_ez": 0.0, "site_sin": 0.0}
+    )
+    tables = pa.Table.from_pandas(frame), pa.Table.from_pandas(sites)
+    block = opening._in_space(place[:, 0], place[:, 1], 128)
+    order = np.argsort(block, kind="stable")
+    layer = opening._Features.of(tables[0].take(pa.array(order)), block[order])
+    meets, whole, _, _ = layer.met(opening._Sites.of(tables[1]))
+    assert whole[0].all() and not meets[2].any()
+    assert 0 < (meets & ~whole)[1].sum() < 0.6 * meets.shape[1]
+    within = np.hypot(place[:, 0] * 1e5 - 1000, place[:, 1] * 1e5 - 1000) < 500
+    found = opening._counter(*tables).to_pydict()
+    assert found["_site"] == [0, 1] and found["n"] == [n, within.sum()]

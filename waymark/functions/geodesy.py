@@ -19,6 +19,7 @@ inside whole-stage codegen.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +99,47 @@ def within_distance(df: DataFrame, a: str, b: str, radius: str) -> DataFrame:
     return near.withColumns(named).withColumn("distance", path).drop(*named)
 
 
+def _array_path(chord2: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return chord2 + c * u * u * (1 / 12 + c * u * (1 / 90))
+
+
+def arrays_within(
+    a: list[np.ndarray], b: list[np.ndarray], radius: np.ndarray, scratch: np.ndarray
+) -> np.ndarray:
+    """The test of :func:`within_distance` on arrays of positions, rounded as there: every
+    place of ``a``, a row, with every one of ``b``, a column like ``radius``.  ``scratch``
+    holds two numbers per pair."""
+    chord2, term = scratch
+    np.subtract(a[0], b[0], out=chord2)
+    chord2 *= chord2
+    for i in (1, 2):
+        np.subtract(a[i], b[i], out=term)
+        term *= term
+        chord2 += term
+    square = radius * radius
+    surely = np.where(radius <= _STRETCH_VALID_M, square * (1 - 2 * _MAX_STRETCH), -1.0)
+    near = chord2 < surely
+    # no path is shorter than its chord
+    rows, columns = np.nonzero((chord2 < square) ^ near)
+    if len(rows):
+        chord2, square = chord2[rows, columns], square[rows, 0]
+        gap, sines = a[2][columns] - b[2][rows, 0], a[3][columns] + b[3][rows, 0]
+        u = chord2 + _EP2 * gap * gap
+        c = 1 / SEMI_MAJOR_M**2 - _E2 / SEMI_MAJOR_M**2 * sines * sines * 0.25
+        near[rows, columns] = _array_path(chord2, u, c) < square
+    return near
+
+
+def array_distance(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """``distance`` as :func:`within_distance` adds it."""
+    x, y, z = (a[i] - b[i] for i in range(3))
+    chord2 = x * x + y * y + z * z
+    sines = a[3] + b[3]
+    u = chord2 + _EP2 * (z * z)
+    c = 1 / SEMI_MAJOR_M**2 - _E2 / SEMI_MAJOR_M**2 * (sines * sines * 0.25)
+    return np.sqrt(_array_path(chord2, u, c))
+
+
 def whole_metres(distance: Column) -> Column:
     """Round to the nearest integer metre, halves to even."""
     return F.rint(distance).cast("int")

@@ -38,7 +38,7 @@ PAIRS_PER_ROW = 8
 FEW_PAIRS = 10_000_000
 
 #: Features per tile of the finest level, at most and on average.
-FEATURES_PER_TILE = 600
+FEATURES_PER_TILE = 40_000
 
 
 @dataclass(frozen=True)

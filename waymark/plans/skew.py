@@ -70,7 +70,25 @@ def balanced_join(
     left_sizes: DataFrame | None = None,
     right_sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Inner join on ``keys`` in which large keys are cut on both sides.
+    """Inner join on ``keys`` in which large keys are cut on both sides; see
+    :func:`balanced_sides`."""
+    sides = balanced_sides(
+        left, right, keys, left_id, right_id, rows_per_task, left_sizes, right_sizes
+    )
+    return sides[0].join(sides[1], sides[2]).drop("_sl", "_sr")
+
+
+def balanced_sides(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_id: list[str],
+    right_id: list[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    left_sizes: DataFrame | None = None,
+    right_sizes: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join on ``keys``, large keys cut, and the keys they meet by.
 
     The sizes of keys are counted first, unless they are passed in as tables of
     :func:`key_sizes` form.
@@ -88,7 +106,7 @@ def balanced_join(
     )
     slices = _Slices(large.na.fill(1, ["_m", "_n"]), keys, ["_m", "_n"])
     if not slices.number:
-        return left.join(right, keys)
+        return left, right, keys
 
     def cut(df: DataFrame, ident: list[str], own: str, other: str, mine: str, theirs: str):
         sized = slices.onto(df, ident).withColumn(mine, _slice_of(ident, F.col(own)))
@@ -96,7 +114,7 @@ def balanced_join(
 
     cut_left = cut(left, left_id, "_m", "_n", "_sl", "_sr")
     cut_right = cut(right, right_id, "_n", "_m", "_sr", "_sl")
-    return cut_left.join(cut_right, [*keys, "_sl", "_sr"]).drop("_sl", "_sr")
+    return cut_left, cut_right, [*keys, "_sl", "_sr"]
 
 
 def balanced_attach(

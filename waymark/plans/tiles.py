@@ -3,9 +3,9 @@
 In a dense city the pairs of many sites and a layer would dwarf both.  The layer is
 therefore pre-aggregated first: *tiles* hold the number of features per kind and the
 bounds of their positions.  They form levels, each tile parted into sixteen on the next
-one, down to tiles of some hundred features.  A tile lying wholly inside a search circle
+one, down to tiles of some thousand features.  A tile lying wholly inside a search circle
 contributes its count, one wholly outside is skipped, and tiles cut by the rim are parted;
-only on the last level they are opened to test single features.  A circle with ``n``
+only on the last level they are opened to test single features, as arrays (``opening``).  A circle with ``n``
 features so meets about ``sqrt(n)`` tiles.  For top-k searches the tile counts shrink each
 circle, level by level, to one sure to hold ``k`` features.
 
@@ -19,15 +19,17 @@ circle with the ellipsoid's smallest radius of curvature.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions import geodesy
-from waymark.plans import grid
+from waymark.plans import grid, opening
+from waymark.plans.opening import MARGIN_M, MIN_CURVATURE_RADIUS_M
 from waymark.plans.radius import (
     ANY,
     BOX,
@@ -47,7 +49,7 @@ from waymark.plans.radius import (
 )
 from waymark.plans.results import nearest
 from waymark.plans.saved import saved
-from waymark.plans.skew import balanced_join, key_sizes
+from waymark.plans.skew import balanced_join, balanced_sides, key_sizes
 
 #: Tile size below the cell size, in rungs (factor 4 each).
 TILE_STEP = 2
@@ -58,15 +60,12 @@ ROOT_TILES = 256
 #: Tiles of a level (rows of about 200 bytes) that are sent to every executor.
 BROADCAST_TILES = 500_000
 
+#: Sites, or features, of one tile that are tested by one task.
+OPENED_ROWS = 50_000
+
 #: Keys of features found (about 50 bytes each) that are sent to every executor.
 BROADCAST_WINNERS = 1_000_000
 
-#: Margin in metres between tile bounds and the decisions drawn from them.
-MARGIN_M = 1e-3
-
-_MIN_CURVATURE_RADIUS_M = (
-    geodesy.SEMI_MAJOR_M * (1 - geodesy.FLATTENING) * (1 - geodesy.FLATTENING)
-)
 _AXES = ("ex", "ey", "ez")
 
 
@@ -122,7 +121,7 @@ def _longest_path() -> Column:
         for a in _AXES
     ]
     chord = F.sqrt(spans[0] * spans[0] + spans[1] * spans[1] + spans[2] * spans[2])
-    diameter = 2 * _MIN_CURVATURE_RADIUS_M
+    diameter = 2 * MIN_CURVATURE_RADIUS_M
     return F.when(
         chord < diameter, F.lit(diameter) * F.asin(chord / diameter)
     ).otherwise(F.lit(math.inf))
@@ -251,19 +250,27 @@ def _next_hits(
     return _judged(joined.drop("parent"))
 
 
-def _opened(rim: DataFrame, levels: _Levels, carried: list[str], options: RadiusOptions) -> DataFrame:
-    """Exact pairs for site-tile combinations of the last level."""
+def _opened(
+    rim: DataFrame,
+    levels: _Levels,
+    columns: list[str],
+    carried: list[str],
+    options: RadiusOptions,
+    work: Callable[[DataFrame, DataFrame, list[str]], DataFrame],
+) -> DataFrame:
+    """``work`` on the features and sites of the tiles to open."""
     keys = ["tile", *levels.kind]
-    joined = balanced_join(
-        levels.features,
+    place = ["_px", "_py", *geodesy.position_columns("rep")]
+    features, sites, keys = balanced_sides(
+        levels.features.select(*keys, *place, *columns, "_slice"),
         rim.select("_site", *keys, *carried),
         keys,
         ["_slice"],
         ["_site"],
-        options.rows_per_task,
+        min(options.rows_per_task, OPENED_ROWS),
         left_sizes=_sizes(levels.leaves, keys),
     )
-    return within_reach(joined)
+    return work(features.drop("_slice"), sites, keys)
 
 
 def _counted_by_level(
@@ -283,8 +290,7 @@ def _counted_by_level(
         counts.append(hits.where("whole").select("_site", F.inline("by_group")))
         # stored, because the code of several levels in one stage is too long to be compiled
         rim = saved(hits.where("NOT whole").select("_site", "tile", *kind, *carried))
-    pairs = _opened(rim, levels, carried, options)
-    counts.append(pairs.select("_site", *groups, F.lit(1).cast("bigint").alias("n")))
+    counts.append(_opened(rim, levels, groups, carried, options, opening.counted))
     counted = reduce(DataFrame.unionByName, counts).groupBy("_site", *groups).agg(F.sum("n").alias("n"))
     return numbered.join(counted, "_site").select(*sites.columns, *groups, "n")
 
@@ -320,11 +326,9 @@ def _nearest_by_level(
         )
     carried = [*carried, "_limit"]
     rim = saved(hits.select("_site", "tile", *kind, *carried))
-    pairs = _opened(rim, levels, carried, options).where(
-        F.col("_limit").isNull() | (F.col("distance") <= F.col("_limit") + MARGIN_M)
-    )
     rows = [c for c in features.columns if c in ("id", "_rest", *ROW_KEY)]
-    found = pairs.select("_site", "_k", *rows, "distance")
+    search = partial(opening.searched, kept=rows, most=most)
+    found = _opened(rim, levels, rows, carried, options, search)
     top = nearest(found, ["_site"], F.col("_k"), most, [F.col("_rest")]).drop("_k")
     return numbered.drop("_k").join(top, "_site").drop("_site")
 
