@@ -11,6 +11,7 @@ from waymark.functions.geodesy import whole_metres
 from waymark.operators.screening import accepted_points
 from waymark.operators.shares import share_answers
 from waymark.plans import contains
+from waymark.plans.outlines import OutlinedLayer
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
 from waymark.plans.results import answer_points, with_data_version
 from waymark.plans.tiles import radius_nearest
@@ -19,7 +20,7 @@ from waymark.sources.manifest import Layer, around, under
 
 def land_use_at_point(
     points: DataFrame,
-    parcels: Layer,
+    parcels: Layer | OutlinedLayer,
     options: contains.ContainsOptions = contains.DEFAULT_OPTIONS,
 ) -> DataFrame:
     """Every parcel that encloses the point, overlapping ones included."""

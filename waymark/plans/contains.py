@@ -10,6 +10,9 @@ height.  Each edge is stored once, in the smallest slab that holds both its ends
 looks only into the slabs that hold its band, one per level, and the crossings found in
 them are added up.  Short edges lie deep in the tree and are seen by few sites; an edge as
 tall as the polygon is seen by all, but no edge is ever copied.
+
+Polygons with more edges than a row can hold come as an ``OutlinedLayer``; their boxes take
+part in the same join, and ``outlines`` tests the pieces of their outlines.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geometry import all_segments, crossings, encloses
 from waymark.plans import grid
+from waymark.plans.outlines import OutlinedLayer, within_outlines
 from waymark.plans.saved import saved
 from waymark.plans.skew import ROWS_PER_TASK, balanced_join
 
@@ -172,9 +176,28 @@ def _within_large(
     )
 
 
+def _within_outlined(
+    sites: DataFrame,
+    near: DataFrame,
+    pieces: DataFrame,
+    keep: dict[str, Column],
+    pairs: list[int],
+    many: bool,
+    options: ContainsOptions,
+) -> DataFrame:
+    """Matches among polygons whose outlines are rows of ``pieces``."""
+    kept = F.struct(*[c.alias(n) for n, c in keep.items()]).alias("_kept")
+    candidates = _box_join(sites, near.select("bbox", "outline", kept), pairs, many, options)
+    asked = candidates.select("outline", "lat", "lng").distinct()
+    inside = within_outlines(asked, pieces, options.rows_per_task)
+    return candidates.join(inside, ["outline", "lat", "lng"], "left_semi").select(
+        *sites.columns, *[F.col(f"_kept.{n}") for n in keep]
+    )
+
+
 def contains_join(
     sites: DataFrame,
-    layer: DataFrame,
+    layer: DataFrame | OutlinedLayer,
     keep: dict[str, Column],
     options: ContainsOptions = DEFAULT_OPTIONS,
 ) -> DataFrame:
@@ -184,21 +207,26 @@ def contains_join(
     columns of the result.  ``layer`` must be prepared (``parts``, ``n_edges``); each of its
     rows is a polygon of its own, whatever its ``id``.
     """
+    outlined = isinstance(layer, OutlinedLayer)
+    rows = layer.rows if outlined else layer
     reach = sites.agg(
         F.count(F.lit(1)), F.min("lng"), F.max("lng"), F.min("lat"), F.max("lat")
     ).first()
     count, west, east, south, north = reach
-    near = layer.where(F.lit(False)) if not count else layer.where(
+    near = rows.where(F.lit(False)) if not count else rows.where(
         (F.col("bbox.xmin") <= east)
         & (F.col("bbox.xmax") >= west)
         & (F.col("bbox.ymin") <= north)
         & (F.col("bbox.ymax") >= south)
     )
     # boxes and edge counts are enough to plan the join; at most RUNGS^2 rows
-    in_use = grid.with_rungs(near.select("bbox", "n_edges"), _BOX, finer=0)
+    edges = F.lit(None).cast("int").alias("n_edges") if outlined else F.col("n_edges")
+    in_use = grid.with_rungs(near.select("bbox", edges), _BOX, finer=0)
     in_use = in_use.groupBy("rungs").agg(F.max("n_edges").alias("edges")).collect()
     pairs = sorted(r["rungs"] for r in in_use) or [0]
     many = (count or 0) * len(pairs) > options.broadcast_site_cells
+    if outlined:
+        return _within_outlined(sites, near, layer.pieces, keep, pairs, many, options)
     small = near.where(F.col("n_edges") <= options.edges_per_band).select(
         "bbox", *[c.alias(n) for n, c in keep.items()], all_segments("parts").alias("_edges")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.plans import grid
+from waymark.plans.outlines import OutlinedLayer
 from waymark.plans.radius import BOX, with_search_box
 from waymark.plans.skew import balanced_join
 from waymark.plans.tiles import ROW_KEY
@@ -289,6 +290,6 @@ def around(layer: Layer, sites: DataFrame, prefilter: str) -> DataFrame:
     return layer.around(sites, prefilter) if isinstance(layer, PrunedLayer) else layer
 
 
-def under(layer: Layer, sites: DataFrame) -> DataFrame:
+def under(layer: Layer | OutlinedLayer, sites: DataFrame) -> DataFrame | OutlinedLayer:
     """What a containment search needs of a layer."""
     return layer.under(sites) if isinstance(layer, PrunedLayer) else layer

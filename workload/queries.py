@@ -18,7 +18,7 @@ from waymark.sources import manifest
 from waymark.sources.layers import layer_path, normalise_geometry, scan_layer
 from waymark.sources.taxonomy import load_taxonomy
 from workload.geometry_bytes import encode
-from workload.layers import COLLECTIONS, VERSION, derive, layer, manifest_of, pruned, written
+from workload.layers import COLLECTIONS, VERSION, derive, layer, manifest_of, outlined_parcels, pruned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -212,7 +212,7 @@ def dateline_building_count_by_corner(spark: SparkSession, sf: str) -> DataFrame
 
 def land_use_of_large_parcels(spark: SparkSession, sf: str) -> DataFrame:
     return land_use.land_use_at_point(
-        _points(spark, sf), layer(spark, sf, "large_parcels"), INSIDE
+        _points(spark, sf), outlined_parcels(spark, sf), INSIDE
     )
 
 

@@ -323,27 +323,86 @@ def searches(d: Dialect) -> str:
 SELECT {k} AS query_id, CASE WHEN {k} % 5 = 0 THEN p_type ELSE {word} END AS query FROM part"""
 
 
-def large_parcels(d: Dialect) -> str:
-    """A polygon per region with a jagged, stepped northern border; the larger the table of
-    orders, the more edges: eight per order in the first region."""
-    r = "r_regionkey"
-    west, south = CENTRE_X - 12_000, CENTRE_Y - 12_000
-    x0 = f"({west} + {r} * 1000)"
+#: Edges in one piece of an outline.
+PIECE = 4096
+
+
+def _border(d: Dialect) -> str:
+    """Vertex ``i`` of the northern border of a large parcel."""
+    west = CENTRE_X - 12_000
     step = d.divided("i * 24000000", "n")
-    x = f"(CAST({x0} AS BIGINT) * 1000 + {step}) / 1e9"
+    x = f"(CAST(({west} + r_regionkey * 1000) AS BIGINT) * 1000 + {step}) / 1e9"
     teeth = d.divided("i * 16", "n")
     y = f"({CENTRE_Y + 9_000} + i * 7919 % 2003 - {teeth} % 2 * 6000) / 1e6"
-    border = d.repeat("n", d.struct(x=x, y=y))
+    return d.struct(x=x, y=y)
+
+
+def _parcel_edges(d: Dialect) -> str:
+    return d.divided("(SELECT count(*) FROM orders) * 8", "1 + r_regionkey")
+
+
+def _parcel_columns(d: Dialect) -> str:
+    r = "r_regionkey"
+    south = CENTRE_Y - 12_000
+    x0 = f"({CENTRE_X - 12_000} + {r} * 1000)"
+    source = d.struct(property="''", dataset="'survey'", record_id="''")
+    return f"""SELECT concat('z', {r}) AS id, {d.struct(primary="r_name")} AS names, 'park' AS subtype,
+  CAST(NULL AS {"STRING" if d.spark else "VARCHAR"}) AS class, {d.array(source)} AS sources,
+  {d.box(x0, f"{x0} + 24000", str(south), str(CENTRE_Y + 11_002))} AS bbox, 'POLYGON' AS geom_type"""
+
+
+def large_parcels(d: Dialect) -> str:
+    """A polygon per region with a jagged, stepped northern border; the larger the table of
+    orders, the more edges: eight per order in the first region."""
+    x0 = f"({CENTRE_X - 12_000} + r_regionkey * 1000)"
+    south = CENTRE_Y - 12_000
     corners = d.line([(f"{x0} + 24000", str(south)), (x0, str(south))])
     first = d.line([(x0, str(CENTRE_Y + 9_000))])
-    source = d.struct(property="''", dataset="'survey'", record_id="''")
-    edges = d.divided("(SELECT count(*) FROM orders) * 8", f"1 + {r}")
     return f"""
-SELECT concat('z', {r}) AS id, {d.struct(primary="r_name")} AS names, 'park' AS subtype,
-  CAST(NULL AS {"STRING" if d.spark else "VARCHAR"}) AS class, {d.array(source)} AS sources,
-  {d.box(x0, f"{x0} + 24000", str(south), str(CENTRE_Y + 11_002))} AS bbox, 'POLYGON' AS geom_type,
-  {d.array(d.array(d.join(border, d.join(corners, first))))} AS parts
-FROM (SELECT r_regionkey, r_name, {edges} AS n FROM region)"""
+{_parcel_columns(d)},
+  {d.array(d.array(d.join(d.repeat("n", _border(d)), d.join(corners, first))))} AS parts
+FROM (SELECT r_regionkey, r_name, {_parcel_edges(d)} AS n FROM region)"""
+
+
+def large_parcel_rows(d: Dialect) -> str:
+    """The rows of ``large_parcels`` without vertices; ``outline`` tells where they are."""
+    return f"""
+{_parcel_columns(d)}, r_regionkey AS outline
+FROM region"""
+
+
+def large_outlines(d: Dialect) -> str:
+    """Numbers of the pieces of the outlines of ``large_parcels``, of ``PIECE`` edges each.  For
+    Spark alone; :func:`outline_piece` makes their vertices."""
+    return f"""
+SELECT r_regionkey, n, explode(sequence(0L, {d.divided("n + 1", str(PIECE))})) AS at
+FROM (SELECT DISTINCT r_regionkey, {_parcel_edges(d)} AS n FROM region)"""
+
+
+def outline_piece(d: Dialect) -> list[str]:
+    """Columns of a piece, from a row of ``large_outlines``.  Vertices ``0`` to ``n - 1`` are the
+    border, the last three the corners and the first vertex again."""
+    x0 = f"({CENTRE_X - 12_000} + r_regionkey * 1000)"
+    south = CENTRE_Y - 12_000
+    vertex = f"""CASE WHEN i < n THEN {_border(d)} WHEN i = n THEN {d.vertex(f"{x0} + 24000", str(south))}
+      WHEN i = n + 1 THEN {d.vertex(x0, str(south))} ELSE {d.vertex(x0, str(CENTRE_Y + 9_000))} END"""
+    low, high = f"at * {PIECE}", f"least((at + 1) * {PIECE}, n + 2)"
+    # the border runs east in two heights; the other pieces get the box of the polygon
+    column = lambda i: d.divided(f"({i}) * 24000", "n")
+    steps = [f"({d.divided(f'({i}) * 16', 'n')} % 2)" for i in (low, high)]
+    border = d.box(
+        f"{x0} + {column(low)}", f"{x0} + {column(high)} + 1",
+        f"{CENTRE_Y + 3_000} + 6000 * least(1 - {steps[0]}, 1 - {steps[1]})",
+        f"{CENTRE_Y + 5_002} + 6000 * greatest(1 - {steps[0]}, 1 - {steps[1]})",
+    )
+    whole = d.box(x0, f"{x0} + 24000", str(south), str(CENTRE_Y + 11_002))
+    # a piece as long as a step or longer may hold several
+    return [
+        "r_regionkey AS outline",
+        "at",
+        f"CASE WHEN {high} < n AND {PIECE} * 16 < n THEN {border} ELSE {whole} END AS bbox",
+        f"transform(sequence({low}, {high}), i -> {vertex}) AS line",
+    ]
 
 
 def _beside_date_line(k: str, gap: int) -> str:
