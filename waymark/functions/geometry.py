@@ -131,6 +131,12 @@ def all_segments(parts: str) -> Column:
     return F.expr(_all_segments(parts))
 
 
+def edge_count(parts: str) -> Column:
+    """Number of edges of all rings, from the sizes of the rings alone."""
+    size = "if(ring IS NULL, NULL, greatest(size(ring) - 1, 0))"
+    return F.expr(f"aggregate(flatten({parts}), 0, (n, ring) -> n + {size})")
+
+
 def representative_point(geom_type: str, parts: str) -> Column:
     """Point: itself.  Line: a vertex of it.  Polygon: centroid.  Null when empty."""
     return F.expr(

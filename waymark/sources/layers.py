@@ -106,7 +106,7 @@ def with_representative(decoded: DataFrame) -> DataFrame:
     point = geometry.representative_point("geom_type", "parts")
     placed = (
         decoded.withColumns(
-            {"n_edges": F.array_size(geometry.all_segments("parts")), "_rep": point}
+            {"n_edges": geometry.edge_count("parts"), "_rep": point}
         )
         .withColumns({"rep_x": F.col("_rep.x"), "rep_y": F.col("_rep.y")})
         .drop("_rep")
