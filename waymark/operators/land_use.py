@@ -13,7 +13,7 @@ from waymark.operators.shares import share_answers
 from waymark.plans import contains
 from waymark.plans.outlines import OutlinedLayer
 from waymark.plans.radius import DEFAULT_OPTIONS, Criteria, RadiusOptions
-from waymark.plans.results import answer_points, with_data_version
+from waymark.plans.results import answer_lists, answer_points, with_data_version
 from waymark.plans.tiles import radius_nearest
 from waymark.sources.manifest import Layer, around, under
 
@@ -37,15 +37,20 @@ def land_use_at_point(
         "found": F.lit(True),
     }
     sites = accepted.select(*site).distinct()
-    matches = contains.contains_join(
-        sites, under(parcels, sites), keep, options
-    ).withColumn("count", F.count(F.lit(1)).over(W.partitionBy(*site)))
+    found = contains.contained(sites, under(parcels, sites), keep, options)
     # Wording of the suggestion.
     suggestion = F.lit(
         "No land use designation found for this point. The area may lack land use "
         "mapping coverage, or the point may be in water/unmapped territory."
     )
-    made = answer_points(accepted, matches, site, suggestion).select(
+    if isinstance(found, contains.Lists):
+        answers = answer_lists(
+            accepted, found.sites, found.rows, site, suggestion, options.broadcast_site_cells, options.rows_per_task
+        )
+    else:
+        counted = found.withColumn("count", F.count(F.lit(1)).over(W.partitionBy(*site)))
+        answers = answer_points(accepted, counted, site, suggestion)
+    made = answers.select(
         "query_id",
         F.col("lat").alias("query_lat"),
         F.col("lng").alias("query_lng"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymark.plans.skew import ROWS_PER_TASK, balanced_attach
+from waymark.plans.saved import saved
+from waymark.plans.skew import ROWS_PER_TASK, balanced_attach, balanced_join
 
 
 def nearest(
@@ -82,3 +83,33 @@ def answer_points(
     return joined.withColumn(
         "suggestion", F.when(F.col("found").isNull(), suggestion)
     ).drop("found")
+
+
+def answer_lists(
+    points: DataFrame,
+    sites: DataFrame,
+    lists: DataFrame,
+    site: list[str],
+    suggestion: Column,
+    broadcast_points: int,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """What :func:`answer_points` gives, from matches as lists of site numbers, with their number
+    per site in ``count``, null where there are none.
+
+    ``sites`` has ``site`` and ``_site``, ``lists`` the matches and ``_at``, an array of
+    ``_site``; both are stored.  The numbers are counted first, and the points with matches sent
+    to the lists: a match becomes a row only where it is an answer."""
+    pairs = lists.withColumn("_site", F.explode("_at")).drop("_at", "found")
+    numbers = lists.select(F.explode("_at").alias("_site")).groupBy("_site").agg(F.count(F.lit(1)).alias("count"))
+    ident = [c for c in points.columns if c not in site] or site
+    met = sites.join(numbers, "_site")
+    asked = saved(balanced_attach(points, met, site, ident, rows_per_task))
+    some = asked.where(F.col("count").isNotNull())
+    if some.count() <= broadcast_points:
+        answers = pairs.join(F.broadcast(some), "_site")
+    else:
+        matches = [c for c in pairs.columns if c != "_site"]
+        answers = balanced_join(some, pairs, ["_site"], ident, matches, rows_per_task)
+    none = asked.where(F.col("count").isNull()).withColumn("suggestion", suggestion)
+    return answers.unionByName(none, allowMissingColumns=True).drop("_site")
