@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 from waymark.plans.skew import balanced_sides
 
-#: Polygons and sites that meet in one task; a task holds their enclosed pairs as numbers.
-ROWS_AT_ONCE = 10_000
+#: Polygons, and sites, of a slice.  A task holds the enclosed pairs of two slices as numbers: at
+#: most 16 million, should every polygon enclose every site.
+ROWS_AT_ONCE = 4_000
 
 #: Pairs of a site and a polygon tested at once.
 PAIRS_AT_ONCE = 1 << 16
